@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bpe, simhash
 
-_MODULES = (simhash,)
+_MODULES = (bpe, simhash)
 
 
 def queries() -> dict:
