@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash
+from . import bpe, sharding, simhash
 
-_MODULES = (bpe, simhash)
+_MODULES = (bpe, sharding, simhash)
 
 
 def queries() -> dict:
