@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, sharding, simhash
+from . import bpe, quality, sharding, simhash, toxicity
 
-_MODULES = (bpe, quality, sharding, simhash)
+_MODULES = (bpe, quality, sharding, simhash, toxicity)
 
 
 def queries() -> dict:
