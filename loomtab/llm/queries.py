@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, sharding, simhash, toxicity
+from . import bpe, quality, sharding, simhash, token_files, toxicity
 
-_MODULES = (bpe, quality, sharding, simhash, toxicity)
+_MODULES = (bpe, quality, sharding, simhash, token_files, toxicity)
 
 
 def queries() -> dict:
