@@ -17,7 +17,7 @@ Spark's commit protocol writes the files, so lost tasks leave none behind.
 from one block. Blocks hold ``BLOCK`` tokens, or one longer document.
 
 Rows: null and empty texts have the end id only; null ids come first; rows
-that repeat an id stand side by side in order of their ids' checksum.
+that repeat an id stand side by side in order of their texts' length and hash.
 """
 
 from __future__ import annotations
@@ -226,8 +226,19 @@ def encode(df: DataFrame, path: str, end: int | None = END, id_col: str = "doc_i
 _BLOCK = "shard int, block int, first long, n long, doc_ids array<long>, doc_tokens array<long>, bits binary, ranks binary, zeros array<long>"
 
 
-def write_shards(encoded: DataFrame, directory: str, shards: int | None = None, most: int = BLOCK) -> None:
-    """Writes one file a shard in ascending id order; ``encoded`` as ``encode`` gives it."""
+def in_order(df: DataFrame, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Id and text in ascending id order over partitions, each a shard to be.
+
+    The range exchange stands before encoding: it reads its input twice, once
+    to find the ranges, and texts are cheaper to read than to encode.
+    """
+    order = [F.col(id_col), F.octet_length(text_col), F.xxhash64(text_col)]
+    rows = df.select(id_col, text_col)
+    return rows.repartitionByRange(shards or parallelism(df.sparkSession), *order).sortWithinPartitions(*order)
+
+
+def write_shards(encoded: DataFrame, directory: str, most: int = BLOCK) -> None:
+    """Writes one file a partition of ``encoded``, which ``encode`` makes of rows that are ``in_order``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -259,10 +270,7 @@ def write_shards(encoded: DataFrame, directory: str, shards: int | None = None,
         if cells:
             yield packed()
 
-    spark = encoded.sparkSession
-    order = ["id", "n_tokens", F.crc32("ids")]
-    ordered = encoded.repartitionByRange(shards or parallelism(spark), *order).sortWithinPartitions(*order)
-    ordered.mapInArrow(task, _BLOCK).write.option("compression", "zstd").parquet(directory)
+    encoded.mapInArrow(task, _BLOCK).write.option("compression", "zstd").parquet(directory)
 
 
 def matrix(row: dict) -> WaveletMatrix:
@@ -299,7 +307,7 @@ def ids_of(blocks_: DataFrame) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = f"{shared_dir(spark)}/loomtab-tokens-{uuid.uuid4().hex}"
-    write_shards(encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)), directory)
+    write_shards(encode(in_order(table(spark, sf_dir, "documents")), public_tokenizers.path(VOCABULARY)), directory)
     found = ids_of(read_shards(spark, directory))
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

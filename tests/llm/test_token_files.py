@@ -42,7 +42,7 @@ def test_every_kind_of_character(library):
 
 def test_files_hold_all_ids_in_order(spark, docs, awkward, library, tmp_path):
     where = f"file://{tmp_path}/{uuid.uuid4().hex}"
-    T.write_shards(T.encode(docs, PATH), where, 3, 700)
+    T.write_shards(T.encode(T.in_order(docs, 3), PATH), where, 700)
     back = T.read_shards(spark, where)
     got = T.ids_of(back).orderBy("start").collect()
     want = sorted((i, len(library(t)) + 1, [*library(t), 1]) for i, t in awkward)
@@ -85,5 +85,5 @@ def test_small_blocks_and_memory(spark, awkward, library, monkeypatch):
 
 def test_empty(spark, tmp_path):
     where = f"file://{tmp_path}/none"
-    T.write_shards(T.encode(spark.createDataFrame([], "doc_id long, text string"), PATH), where)
+    T.write_shards(T.encode(T.in_order(spark.createDataFrame([], "doc_id long, text string")), PATH), where)
     assert T.ids_of(T.read_shards(spark, where)).collect() == []
