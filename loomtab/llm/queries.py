@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, sharding, simhash, substrings, token_files, toxicity
+from . import bpe, lines, quality, sharding, simhash, substrings, token_files, toxicity
 
-_MODULES = (bpe, quality, sharding, simhash, substrings, token_files, toxicity)
+_MODULES = (bpe, lines, quality, sharding, simhash, substrings, token_files, toxicity)
 
 
 def queries() -> dict:
