@@ -29,14 +29,23 @@ import tempfile
 import numpy as np
 
 CAP = 255
-_TUPLE = np.dtype([("at", "<i8"), ("common", "u1")])
 _CHUNK = 1 << 20
 
 
+def _kind(n: int) -> np.dtype:
+    """Integers for positions below n."""
+    return np.dtype("<i4" if n < 1 << 31 else "<i8")
+
+
+def _tuple(n: int) -> np.dtype:
+    return np.dtype([("at", _kind(n)), ("common", "u1")])
+
+
 class Store:
     """Queues of tuples that share a bound on memory; the rest is in files of a folder of this task."""
 
-    def __init__(self, memory: int):
+    def __init__(self, memory: int, size: int):
+        self.tuple = _tuple(size)
         self.memory, self.used, self.folder, self.files = memory, 0, None, 0
         self.queues: list[Queue] = []
 
@@ -71,7 +80,7 @@ class Queue:
         return self.written - self.read + sum(len(p) for p in self.parts)
 
     def put(self, at: np.ndarray, common: np.ndarray) -> None:
-        part = np.empty(len(at), _TUPLE)
+        part = np.empty(len(at), self.store.tuple)
         part["at"], part["common"] = at, common
         self.parts.append(part)
         self.held += part.nbytes
@@ -96,7 +105,7 @@ class Queue:
         """The next tuples: at most a chunk of those on disk, then all that are in memory."""
         if self.read < self.written:
             n = min(_CHUNK, self.written - self.read)
-            out = np.fromfile(self.file, _TUPLE, n, offset=self.read * _TUPLE.itemsize)
+            out = np.fromfile(self.file, self.store.tuple, n, offset=self.read * self.store.tuple.itemsize)
             self.read += n
             return out
         out = np.concatenate(self.parts) if len(self.parts) != 1 else self.parts[0]
@@ -114,13 +123,13 @@ class Queue:
         while left:
             n = min(_CHUNK, left)
             left -= n
-            yield np.fromfile(self.file, _TUPLE, n, offset=left * _TUPLE.itemsize)[::-1]
+            yield np.fromfile(self.file, self.store.tuple, n, offset=left * self.store.tuple.itemsize)[::-1]
 
     def forwards(self):
         left, written, parts = 0, self.written, list(self.parts)
         while left < written:
             n = min(_CHUNK, written - left)
-            yield np.fromfile(self.file, _TUPLE, n, offset=left * _TUPLE.itemsize)
+            yield np.fromfile(self.file, self.store.tuple, n, offset=left * self.store.tuple.itemsize)
             left += n
         yield from parts
 
@@ -191,12 +200,13 @@ class _Scan:
 
 def types(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is S-type; the last one is."""
-    n = len(text)
-    up = text[:-1] < text[1:]
-    decided = np.append(text[:-1] != text[1:], True)
-    where = np.where(decided, np.arange(n), n)
-    where = np.minimum.accumulate(where[::-1])[::-1]
-    return np.append(up, True)[where]
+    out = np.append(text[:-1] < text[1:], True)
+    equal = np.flatnonzero(text[:-1] == text[1:])
+    if len(equal):  # a run takes the type of its last position
+        last = np.append(np.diff(equal) != 1, True)
+        ends = equal[last] + 1
+        out[equal] = out[np.repeat(ends, np.diff(np.flatnonzero(last), prepend=-1))]
+    return out
 
 
 def _run(text: np.ndarray, i: int) -> int:
@@ -299,67 +309,68 @@ def doubling(names: np.ndarray, depth: int | None = None) -> np.ndarray:
 
 def _common_of_neighbours(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Common prefixes of suffixes that follow each other, up to CAP, by eight bytes at a time."""
-    n = len(text)
-    width = text.dtype.itemsize
-    out = np.zeros(len(order), np.int64)
-    if len(order) < 2:
-        return out.astype(np.uint8)
+    n, width = len(text), text.dtype.itemsize
     step = 8 // width
-    padded = np.concatenate((text, np.zeros(step, text.dtype)))
-    raw = padded.view(np.uint8)
+    raw = np.concatenate((text, np.zeros(step, text.dtype))).view(np.uint8)
     words = np.lib.stride_tricks.as_strided(raw, (n, 8), (width, 1))
-    left, k = np.arange(1, len(order)), 0
-    while len(left) and k < CAP:
-        a, b = order[left - 1] + k, order[left] + k
-        inside = np.maximum(a, b) < n
-        left, a, b = left[inside], a[inside], b[inside]
-        x = words[a].view(np.uint64).ravel() ^ words[b].view(np.uint64).ravel()
-        low = x & (~x + np.uint64(1))
-        zeros = np.where(x == 0, 64, np.bitwise_count(low - np.uint64(1)).astype(np.int64)) // (8 * width)
-        zeros = np.minimum(zeros, n - np.maximum(a, b))
-        out[left] += zeros
-        left = left[zeros == step]
-        k += step
-    return np.minimum(out, CAP).astype(np.uint8)
+    out = np.zeros(len(order), np.uint8)
+    for first in range(1, len(order), 1 << 17):
+        left, k = np.arange(first, min(first + (1 << 17), len(order))), 0
+        sums = np.zeros(len(left), np.int64)
+        while len(left) and k < CAP:
+            a, b = order[left - 1].astype(np.int64) + k, order[left].astype(np.int64) + k
+            inside = np.maximum(a, b) < n
+            left, a, b = left[inside], a[inside], b[inside]
+            x = words[a].view(np.uint64).ravel() ^ words[b].view(np.uint64).ravel()
+            low = x & (~x + np.uint64(1))
+            equal = np.where(x == 0, 64, np.bitwise_count(low - np.uint64(1)).astype(np.int64)) // (8 * width)
+            equal = np.minimum(equal, n - np.maximum(a, b))
+            sums[left - first] += equal
+            left = left[equal == step]
+            k += step
+        out[first : first + len(sums)] = np.minimum(sums, CAP)
+    return out
 
 
 def sort_lms(text: np.ndarray, symbols: int, memory: int, base: int, depth: int | None) -> tuple[np.ndarray, np.ndarray]:
     """LMS positions in the order of their suffixes, and common prefixes of neighbours."""
     s = types(text)
-    lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
+    lms = (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(_kind(len(text)))
+    del s
     if len(lms) <= 1:
         return lms, np.zeros(len(lms), np.uint8)
     sizes = np.append(np.diff(lms) + 1, 1)
     # a first induction, from LMS positions in any order within a symbol, sorts LMS substrings
-    store = Store(memory)
+    store = Store(memory, len(text))
     try:
         order = np.argsort(text[lms], kind="stable")
         _, small = induce(text, symbols, lms[order], np.zeros(len(lms), np.uint8), store)
-        number = np.full(len(text), -1, np.int32 if len(lms) < 1 << 31 else np.int64)
+        number = np.full(len(text), -1, _kind(len(lms)))
         number[lms] = np.arange(len(lms))
         found = []
         for queue in small:
-            own = [number[part["at"]] for part in queue.forwards()]
-            if own:
-                own = np.concatenate(own)[::-1]
-                found.append(own[own >= 0])
+            own = [x[x >= 0] for x in (number[part["at"]] for part in queue.backwards())]
+            found += own
         last = np.array([len(lms) - 1], number.dtype)  # nothing induces the last position
         ranked = np.concatenate([last, *found])
     finally:
         store.close()
-    del number
+    del number, found, small, order
     a, b = lms[ranked[:-1]], lms[ranked[1:]]
     same = _equal_substrings(text, a, b, sizes[ranked[1:]], sizes[ranked[:-1]] == sizes[ranked[1:]])
-    names = np.empty(len(lms), np.int64)
+    names = np.empty(len(lms), _kind(len(lms)))
     names[ranked] = np.cumsum(np.concatenate(([0], ~same)))
+    del ranked, a, b, same, sizes
     distinct = int(names.max()) + 1
     if distinct == len(lms):
         by = np.argsort(names)
     elif len(names) <= base:
         by = doubling(names, depth)
     else:
-        by, _ = suffix_array(names.astype(np.int32 if distinct < 1 << 31 else np.int64), distinct, memory, base, depth)
-    return lms[by], _common_of_neighbours(text, lms[by])
+        by, _ = suffix_array(names, distinct, memory, base, depth)
+    del names
+    lms = lms[by]
+    return lms, _common_of_neighbours(text, lms)
 
 
 def suffix_array(text: np.ndarray, symbols: int, memory: int = 256 << 20, base: int = 1 << 24, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -376,13 +387,13 @@ def sorted_suffixes(text: np.ndarray, symbols: int, memory: int = 256 << 20, bas
     in so many symbols may come in any order.
     """
     if len(text) == 1:
-        yield np.array([(0, 0)], _TUPLE)
+        yield np.array([(0, 0)], _tuple(1))
         return
     seeds, common = sort_lms(text, symbols, memory, base, depth)
-    store = Store(memory)
+    store = Store(memory, len(text))
     try:
         big, small = induce(text, symbols, seeds, common, store)
-        yield np.array([(len(text) - 1, 0)], _TUPLE)
+        yield np.array([(len(text) - 1, 0)], store.tuple)
         for c in range(symbols):
             last = None
             if c == 0:

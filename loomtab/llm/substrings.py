@@ -167,25 +167,33 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _rows(rows, mark.view(np.int64))
 
 
+_CUT = "key long, k long, h long, start long, bytes binary"
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the segments to compare, with the key that deals them out."""
+    out: list[tuple[int, int, int, int, bytes]] = []
+
+    def packed() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True))
+        out.clear()
+        keys = np.array(columns[0], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c, pa.int64()) for c in columns[1:4]), pa.array(columns[4], pa.binary())], [f.split()[0] for f in _CUT.split(", ")])
+
     for batch in batches:
         for k, h, text, found in zip(*(batch.column(i) for i in range(4)), strict=True):
             raw = text.as_buffer()
             k, h = k.as_py(), h.as_py()
-            out = []
             for s in found.as_py():
                 fp, a, b = s["fp"] & ((1 << 64) - 1), s["start"], s["stop"]
                 if fp & 1:
-                    out += _by_context(raw, fp, a, b)
+                    out += [(key, k, h, x, part) for key, x, part in _by_context(raw, fp, a, b)]
                 else:
-                    out.append((fp, a, raw[a:b].to_pybytes()))
-            keys = np.array([x[0] for x in out], np.uint64).view(np.int64)
-            n = len(out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(np.full(n, k, np.int64)), pa.array(np.full(n, h, np.int64)), pa.array(np.array([x[1] for x in out], np.int64)), pa.array([x[2] for x in out], pa.binary())],
-                ["key", "k", "h", "start", "bytes"],
-            )
+                    out.append((fp, k, h, a, raw[a:b].to_pybytes()))
+            if len(out) > 5000:
+                yield packed()
+    if out:
+        yield packed()
 
 
 def _by_context(raw: pa.Buffer, fp: int, a: int, b: int) -> list[tuple[int, int, bytes]]:
@@ -226,7 +234,7 @@ def later_starts(texts: list[bytes], order: np.ndarray, length: int = LENGTH, me
 
     shift = int(ends[-1] + 1).bit_length()
     for part in sorted_suffixes(data, 256, memory, base, depth=length):
-        at = part["at"]
+        at = part["at"].astype(np.int64)
         doc = np.searchsorted(ends, at)
         value = rank[doc] << shift | at
         joins = part["common"] >= length
@@ -319,7 +327,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = written(prints.repartition("bucket").mapInArrow(_repeated, _RESULT), "repeats")
     wanted = found.where("fp <> 0").groupBy("k", "h").agg(F.collect_list(F.struct("start", "stop", "fp")).alias("found")).hint("shuffle_hash")
     once = docs.select("k", "h", "text")
-    cut = once.join(wanted, ["k", "h"]).mapInArrow(_cut, "key long, k long, h long, start long, bytes binary")
+    cut = once.join(wanted, ["k", "h"]).mapInArrow(_cut, _CUT)
     compared = cut.repartition("key").mapInArrow(_compared, _RESULT)
     removed = found.where("fp = 0").unionByName(written(compared, "compared"))
     spans = removed.groupBy("k", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).hint("shuffle_hash")
