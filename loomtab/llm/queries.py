@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, lines, quality, sharding, simhash, substrings, token_files, toxicity
+from . import bpe, decontaminate, lines, pii, quality, sharding, simhash, substrings, token_files, toxicity
 
-_MODULES = (bpe, decontaminate, lines, quality, sharding, simhash, substrings, token_files, toxicity)
+_MODULES = (bpe, decontaminate, lines, pii, quality, sharding, simhash, substrings, token_files, toxicity)
 
 
 def queries() -> dict:
