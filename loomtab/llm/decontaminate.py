@@ -33,7 +33,6 @@ SMALL = 200_000
 #: What separates words, before and after A-Z are lower-cased.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -71,12 +70,15 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
         n = shingles.count()
         if not n:
             continue
-        tokens = docs.select("k", "h", F.posexplode(_shingles("words", width)).alias("at", "token"))
+        # hashed in a projection of its own: the explosion and the join then compile to one loop,
+        # in which a row's words are looked at only where a token matches
+        hashed = docs.withColumn("tokens", _shingles("words", width))
+        tokens = hashed.select("k", "h", F.posexplode("tokens").alias("at", "token"))
         frequency = tokens.join(_sized(shingles.select("token").distinct(), n), "token").groupBy("token").agg(F.count("*").alias("n"))
         ranked = shingles.join(F.broadcast(frequency) if n <= SMALL else frequency, "token", "left")
         prefix = ranked.groupBy("window", "size").agg(F.min_by(F.struct("token", "offset"), F.struct(F.coalesce("n", F.lit(0)), "offset")).alias("p"))
         prefix = written(prefix.select("window", "size", "p.token", "p.offset"), "item-prefixes")
-        tokens = docs.select("k", "h", "words", F.posexplode(_shingles("words", width)).alias("at", "token"))
+        tokens = hashed.select("k", "h", "words", F.posexplode("tokens").alias("at", "token"))
         start = F.col("at") - F.col("offset")
         place = tokens.join(_sized(prefix, prefix.count()), "token").where((start >= 0) & (start + F.col("size") <= F.size("words")))
         place = place.where(F.array_join(F.slice("words", start + 1, F.col("size")), " ") == F.col("window"))
@@ -97,7 +99,7 @@ def contamination(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_
     per = places.groupBy("k", "h").agg(F.collect_set(F.struct("start", "size")).alias("places")).select("k", "h", covered.cast("long").alias("hit"))
     items = places.select("k", "h", "window").distinct().join(windows.where("item is not null").select("window", "item"), "window")
     listed = items.groupBy("k", "h").agg(F.array_sort(F.collect_set("item")).alias("found"))
-    counted = docs.select("k", "h", "id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD)).cast("long").alias("n_words"))
+    counted = docs.select("k", "h", "id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = counted.join(per, ["k", "h"], "left").join(listed, ["k", "h"], "left")
     n_hit = F.coalesce("hit", F.lit(0).cast("long"))
     return out.select(
