@@ -186,6 +186,28 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return made.join(found, "fp").select("id", "fp", "component_id")
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, with its columns, one a component: that of least id (null ids last), then least text hash.
+
+    Which row stays is a pre-aggregated minimum over (id, hash, position in the
+    input); texts are not shuffled by component, so a large group is no hot key.
+    """
+    made = written(
+        fingerprints(df.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("h")).alias("key"), F.col(text_col).alias("text")), "key", "text"),
+        "fingerprints",
+    )
+    distinct = made.groupBy("fp").agg(F.min("id").alias("least"))
+    roots = connected_components(links(distinct), "simhash-links")
+    member = distinct.join(roots, distinct.fp == roots.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
+    best = member.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.*"))
+    best = best.select(F.coalesce("doc", F.lit(-(2**63))).alias("k"), "h")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    own = df.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k"), F.xxhash64(text_col).alias("h"))
+    kept = own.join(best, ["k", "h"], "left_semi")
+    # repeated rows have one key: one of them stays, pre-aggregated
+    return kept.groupBy("k", "h").agg(F.first("row").alias("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
