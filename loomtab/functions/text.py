@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CUT_MARK = "\n…（已截断）"
+_BLANKS = " \t\n\r\f\u000b"
 
 
 def shorten(text: Column, most: int, mark: str = CUT_MARK) -> Column:
     """Trimmed text; one longer than ``most`` keeps most - 20 characters and the mark."""
-    t = F.trim(F.coalesce(text, F.lit("")))
+    t = F.btrim(F.coalesce(text, F.lit("")), F.lit(_BLANKS))
     return F.when(F.length(t) > most, F.concat(F.substring(t, 1, max(0, most - 20)), F.lit(mark))).otherwise(t)
 
 
@@ -23,7 +24,7 @@ def line_count(text: Column) -> Column:
 def unfence(code: Column) -> Column:
     """Code without the fences of a markdown block."""
     code = F.regexp_replace(F.coalesce(code, F.lit("")), r"(?m)^```python\s*", "")
-    return F.btrim(F.regexp_replace(F.regexp_replace(code, r"(?m)^```\s*", ""), r"\s*```$", ""), F.lit(" \t\n\r\f\u000b"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(code, r"(?m)^```\s*", ""), r"\s*```$", ""), F.lit(_BLANKS))
 
 
 def sse(payload: Column) -> Column:

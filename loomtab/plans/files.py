@@ -157,7 +157,7 @@ ORACLES = {
     "text_preview": """SELECT doc_id, substr(text, 1, 4000) AS preview,
         (CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END)::BIGINT AS line_count,
         length(text) >= 4000 AS preview_truncated,
-        CASE WHEN length(trim(text)) > 400 THEN substr(trim(text), 1, 380) || '...' ELSE trim(text) END AS excerpt FROM documents WHERE text IS NOT NULL""",
+        CASE WHEN length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 400 THEN substr(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1, 380) || '...' ELSE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) END AS excerpt FROM documents WHERE text IS NOT NULL""",
     "json_summary": "SELECT event_id, 'dict' AS json_type, array_to_string(json_keys(props), ',') AS json_keys, len(json_keys(props))::BIGINT AS json_key_count FROM events",
     "header_dedupe": """WITH c AS (SELECT p_partkey % 10 AS table_id, p_partkey AS position, CASE WHEN p_partkey % 7 = 0 THEN 'Unnamed: ' || p_partkey ELSE p_brand END AS name FROM part),
         n AS (SELECT *, row_number() OVER (PARTITION BY table_id, name ORDER BY position) - 1 AS k FROM c)

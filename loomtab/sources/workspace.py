@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,8 +44,8 @@ def scan(spark: SparkSession, root: str, depth: int | None = None, dotfiles: boo
 def contents(spark: SparkSession, root: str) -> DataFrame:
     """relative_path and content of the files that Spark lists below a root."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = os.path.abspath(root).rstrip("/") + "/"
-    return files.select(F.regexp_replace("path", f"^(file:)?/*{base.lstrip('/')}", "").alias("relative_path"), "content", F.col("length").alias("size_bytes"))
+    base = os.path.abspath(re.sub("^file:/*", "/", root)).rstrip("/") + "/"
+    return files.select(F.substring_index("path", base, -1).alias("relative_path"), "content", F.col("length").alias("size_bytes"))
 
 
 def tree(inventory: DataFrame) -> DataFrame:
