@@ -71,14 +71,15 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
         if not n:
             continue
         # hashed in a projection of its own: the explosion and the join then compile to one loop,
-        # in which a row's words are looked at only where a token matches
+        # in which a row's words are looked at only where a token matches. An outer explosion has
+        # no filter on its array pushed down, which would cut the text anew for each word
         hashed = docs.withColumn("tokens", _shingles("words", width))
-        tokens = hashed.select("k", "h", F.posexplode("tokens").alias("at", "token"))
+        tokens = hashed.select("k", "h", F.posexplode_outer("tokens").alias("at", "token"))
         frequency = tokens.join(_sized(shingles.select("token").distinct(), n), "token").groupBy("token").agg(F.count("*").alias("n"))
         ranked = shingles.join(F.broadcast(frequency) if n <= SMALL else frequency, "token", "left")
         prefix = ranked.groupBy("window", "size").agg(F.min_by(F.struct("token", "offset"), F.struct(F.coalesce("n", F.lit(0)), "offset")).alias("p"))
         prefix = written(prefix.select("window", "size", "p.token", "p.offset"), "item-prefixes")
-        tokens = hashed.select("k", "h", "words", F.posexplode("tokens").alias("at", "token"))
+        tokens = hashed.select("k", "h", "words", F.posexplode_outer("tokens").alias("at", "token"))
         start = F.col("at") - F.col("offset")
         place = tokens.join(_sized(prefix, prefix.count()), "token").where((start >= 0) & (start + F.col("size") <= F.size("words")))
         place = place.where(F.array_join(F.slice("words", start + 1, F.col("size")), " ") == F.col("window"))
