@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog, events, files, stats
+from . import catalog, events, files, stages, stats
 
-_MODULES = (files, catalog, events, stats)
+_MODULES = (files, catalog, events, stages, stats)
 
 
 def queries() -> dict:

@@ -184,3 +184,36 @@ def test_mutations(spark):
 def test_sse_keeps_text(spark):
     frame = _column(spark, [json.dumps({"a": "é"}, ensure_ascii=False)], T.sse)[0]
     assert frame == 'data: {"a": "é"}\n\n'
+
+
+def test_names_of_a_batch(spark):
+    from loomtab.operators import names
+
+    uploads = spark.createDataFrame([("d", "a.csv", 1), ("d", "a.csv", 2), ("d", "a (1).csv", 3), ("e", "a.csv", 4), ("d", "x" * 250 + ".csv", 5), ("d", "x" * 250 + ".csv", 6)], "directory string, name string, ord int")
+    existing = spark.createDataFrame([("d", "a.csv"), ("d", "b.csv"), ("e", None)], "directory string, name string")
+    got = {r.ord: (r.stored, r.renamed) for r in names.allocate(uploads, existing).collect()}
+    assert got[1] == ("a (1).csv", True) and got[2] == ("a (2).csv", True) and got[3] == ("a (1) (1).csv", True) and got[4] == ("a.csv", False)
+    assert got[5][0] == ("x" * 250 + ".csv")[:200] and got[6][0] != got[5][0] and len(got[6][0]) <= 200
+
+
+def test_digest_handlers(spark):
+    import io
+    import struct
+    import zipfile
+
+    from loomtab.operators import digest
+
+    word = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    xml = f'<w:document xmlns:w="{word}"><w:body>{p("Hello")}{p(" ")}<w:tbl><w:tr><w:tc>{p("a")}</w:tc><w:tc>{p("b")}</w:tc></w:tr><w:tr><w:tc>{p("")}</w:tc></w:tr></w:tbl></w:body></w:document>'
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("word/document.xml", xml)
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 16, 8)
+    files = spark.createDataFrame([("d.docx", "document_docx", raw.getvalue()), ("broken.docx", "document_docx", b"no zip"), ("i.png", "image", png), ("p.pdf", "document_pdf", b"%PDF"), ("x.bin", "binary", None)], "path string, handler_id string, content binary")
+    got = {r.path: r for r in digest.digests(files).collect()}
+    assert json.loads(got["d.docx"].digest) == {"paragraph_count": 1, "table_count": 1, "preview": "Hello\n\n[表1]\na | b", "preview_truncated": False}
+    assert got["broken.docx"].digest is None and "BadZipFile" in got["broken.docx"].error
+    assert json.loads(got["i.png"].digest) == {"width": 16, "height": 8} and got["x.bin"].size_bytes == 0
+    digest.register("own", lambda path, content: {"n": len(content)})
+    assert "own" in digest.handlers() and json.loads(digest.digests(files.limit(1).selectExpr("path", "'own' handler_id", "content")).first().digest)["n"] > 0
