@@ -39,7 +39,7 @@ from .tables import keyed, parallelism, table, written
 
 LENGTH, K = 100, 24
 MEMORY = 192 << 20
-HOT = 20_000
+HOT, STEP = 256, 8
 _FLUSH = 400_000  # segments that a task holds before it hands them on
 _ENTRY = np.dtype([("fp", "<u8"), ("seg", "<u8"), ("k", "<i8"), ("h", "<i8"), ("start", "<i8"), ("n", "<u4")])
 _RESULT = "k long, h long, start long, stop long, fp long"
@@ -197,15 +197,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_context(raw: pa.Buffer, fp: int, a: int, b: int) -> list[tuple[int, int, bytes]]:
-    """A segment in two: strings that hold (LENGTH - K) / 2 bytes before the minimizer, and those that hold so many after it."""
+    """A segment cut by how far its strings start before the minimizer, ``STEP`` distances to a piece.
+
+    All strings of a piece hold the same LENGTH - STEP + 1 bytes, whose hash is the piece's key.
+    """
     part = np.frombuffer(raw[a:b].to_pybytes(), np.uint8)
     _, place, *_ = segments(Block(0, part, np.array([0, len(part)])))
-    m, side = int(place[0]), (LENGTH - K) // 2
+    m, last = int(place[0]), len(part) - LENGTH
     prefix, out = prefix_hash(part), []
-    for first, last, low, high in ((0, min(m - side, len(part) - LENGTH), m - side, m + K), (max(m - side + 1, 0), len(part) - LENGTH, m, m + K + side)):
-        if first <= last and low >= 0 and high <= len(part):
-            key = int(mix(window_hash(prefix, np.array([low]), np.array([high])) ^ np.uint64(fp))[0])
-            out.append((key, a + first, part[first : last + LENGTH].tobytes()))
+    for near in range((m - last) // STEP * STEP, m + 1, STEP):  # distances near .. near + STEP - 1
+        first_at, last_at = max(m - near - STEP + 1, 0), min(m - near, last)
+        if first_at <= last_at:
+            shared = np.array([m - near]), np.array([m - near - STEP + 1 + LENGTH])
+            key = int(mix(window_hash(prefix, *shared) ^ np.uint64(fp))[0])
+            out.append((key, a + first_at, part[first_at : last_at + LENGTH].tobytes()))
     return out
 
 

@@ -94,10 +94,22 @@ def test_hot_minimizers_are_dealt_by_context(rows):
         block = next(iter(blocks(pa.array([raw], pa.binary()))))
         for _, _, a, b, fp in zip(*(x.tolist() for x in S.segments(block)), strict=True):
             parts = S._by_context(pa.py_buffer(raw), fp, a, b + S.LENGTH)
-            covered = [p for _, s, part in parts for p in range(s, s + len(part) - S.LENGTH + 1)]
+            covered = sorted(p for _, s, part in parts for p in range(s, s + len(part) - S.LENGTH + 1))
             assert covered == list(range(a, b + 1))
             assert all(raw[s : s + len(part)] == part for _, s, part in parts)
 
 
 def test_empty(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_equal_strings_meet_when_hot(rows):
+    """Pieces of every segment, as if all were hot: equal strings have equal keys."""
+    keys = {}
+    for _, text in rows:
+        raw = (text or "").encode()
+        block = next(iter(blocks(pa.array([raw], pa.binary()))))
+        for _, _, a, b, fp in zip(*(x.tolist() for x in S.segments(block)), strict=True):
+            for key, s, part in S._by_context(pa.py_buffer(raw), fp, a, b + S.LENGTH):
+                for p in range(len(part) - S.LENGTH + 1):
+                    assert keys.setdefault(part[p : p + S.LENGTH], key) == key
