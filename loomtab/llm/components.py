@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import discard, written
 
 
 def connected_components(links: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
@@ -38,11 +38,12 @@ def connected_components(links: DataFrame, name: str = "components", most_rounds
             .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
         small = large.join(least(large), "u")
-        edges = written(
+        last, edges = edges, written(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
             .unionByName(small.select("u", F.col("m").alias("v")))
             .distinct(), name
         )
+        discard(last)
         after = digest(edges)
         if after == before:
             break

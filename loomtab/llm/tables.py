@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,18 +15,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+
+
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_made: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared folder: cuts the lineage, outlives executors."""
+    """The rows of ``df`` as a Parquet table in the shared folder: cuts the lineage, outlives executors.
+
+    Such tables stay until ``discard`` or ``discard_since``, as a result that is read later may need them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomtab-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    _made.append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``written`` made and nothing reads any more."""
+    path = _paths.pop(df, None)
+    if path:
+        _delete(df.sparkSession, path)
+        _made.remove(path)
+
+
+def made() -> int:
+    """How many tables there are; what is made from here on can be discarded together."""
+    return len(_made)
+
+
+def discard_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Deletes the tables made since a mark, but for one that is still read."""
+    kept = _paths.get(keep)
+    for path in _made[mark:]:
+        if path != kept:
+            _delete(spark, path)
+    _made[mark:] = [kept] if kept else []
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:

@@ -84,3 +84,12 @@ def test_stages_survive_empty_tables(spark, folder, tmp_path):
 
 def test_no_swallowed_imports():
     assert not re.search(r"\btry:", open(C.__file__).read())
+
+
+def test_a_run_leaves_only_its_stages(spark, folder):
+    import glob
+
+    where = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{where}/*"))
+    assert C.run(spark, folder).count() > 0
+    assert sorted(x.rsplit("-", 2)[-2] for x in set(glob.glob(f"{where}/*")) - before) == ["decontaminate", "encode", "line_dedup", "near_dedup", "quality"]
