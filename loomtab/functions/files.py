@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The length of a stored name, and what it may not hold (beside letters and digits of any script).
 NAME_LIMIT = 200
+NOT_IN_NAMES = r"(?U)[^\w.\- ()]+"
 
 #: Declared content types by extension, used where an upload declares none.
 MIME_BY_EXTENSION = {
@@ -61,7 +63,7 @@ def safe_name(name: Column, fallback: str = "file") -> Column:
 
     Other runs become one underscore in the stem and nothing in the extension.
     """
-    base, odd = base_name(name, fallback), r"(?U)[^\w.\- ()]+"
+    base, odd = base_name(name, fallback), NOT_IN_NAMES
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace(stem(base), odd, "_"), "_{2,}", "_"), " {2,}", " ")
     body = F.btrim(body, F.lit(" ._"))
     raw = F.substring(base, F.length(stem(base)) + 1, F.length(base))

@@ -11,6 +11,8 @@ from .text import _BLANKS, shorten, tail
 HEADINGS = ("## 需求解析", "## 步骤分解")
 SILENT = "代码执行未产生任何可见输出，请检查是否编写了入口逻辑（如 demo 测试代码或 main 函数）。"
 NO_TRACE = "（尚无）"
+#: The heading of a memory document's fourth section, and that of any numbered section.
+_FOURTH, _NUMBERED = r"^##\s*4\.\s*[^\n]*\n", r"^##\s*\d+\.\s+"
 STAGES = ("planner", "coder", "worker", "reporter", "finish")
 
 
@@ -75,8 +77,8 @@ def trace_section(trace: Column, n: int = 8, most: int = 400) -> Column:
 def without_digest(memory: Column) -> Column:
     """A memory document without its fourth section, up to the next numbered heading or the end."""
     text = F.coalesce(memory, F.lit(""))
-    cut = F.regexp_replace(text, r"(?ms)\A(.*?)^##\s*4\.\s*[^\n]*\n.*?(?:(?=^##\s*\d+\.\s+)|\z)(.*)\z", "$1$2")
-    return F.when(F.regexp_like(text, F.lit(r"(?m)^##\s*4\.\s*[^\n]*\n")), stripped(cut)).otherwise(text)
+    cut = F.regexp_replace(text, rf"(?ms)\A(.*?){_FOURTH}.*?(?:(?={_NUMBERED})|\z)(.*)\z", "$1$2")
+    return F.when(F.regexp_like(text, F.lit(f"(?m){_FOURTH}")), stripped(cut)).otherwise(text)
 
 
 def log_id(dialogue: Column) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What marks a cut, and the fences of a code block, in the order in which they are removed.
 CUT_MARK = "\n…（已截断）"
+FENCES = (r"(?m)^```python\s*", r"(?m)^```\s*", r"\s*```$")
 _BLANKS = " \t\n\r\f\u000b"
 
 
@@ -23,8 +25,10 @@ def line_count(text: Column) -> Column:
 
 def unfence(code: Column) -> Column:
     """Code without the fences of a markdown block."""
-    code = F.regexp_replace(F.coalesce(code, F.lit("")), r"(?m)^```python\s*", "")
-    return F.btrim(F.regexp_replace(F.regexp_replace(code, r"(?m)^```\s*", ""), r"\s*```$", ""), F.lit(_BLANKS))
+    out = F.coalesce(code, F.lit(""))
+    for fence in FENCES:
+        out = F.regexp_replace(out, fence, "")
+    return F.btrim(out, F.lit(_BLANKS))
 
 
 def sse(payload: Column) -> Column:

@@ -3,7 +3,6 @@
 import json
 import os
 import random
-import re
 
 import pytest
 from loomtab.functions import files as N
@@ -29,17 +28,16 @@ def test_extension(spark):
     assert _column(spark, NAMES, N.extension) == [os.path.splitext(n)[1].lower() for n in NAMES]
 
 
-def _safe(name):
-    base = os.path.basename((name or "").replace("\\", "/")).strip() or "file"
-    stem, ext = os.path.splitext(base)
-    stem = re.sub(" {2,}", " ", re.sub("_{2,}", "_", re.sub(r"[^\w.\- ()]+", "_", stem))).strip(" ._") or "file"
-    tail = re.sub(r"[^\w.\- ()]+", "", ext.lstrip(".")).strip("._")
-    return (stem + (f".{tail}" if tail else ""))[:200]
+#: Upload names and what is stored for them.
+SAFE = {
+    "report.csv": "report.csv", "a\\b\\c d.txt": "c d.txt", "x/y/we?ird*name.pdf": "we_ird_name.pdf", "two  spaces__here.md": "two spaces_here.md", "数据 表.xlsx": "数据 表.xlsx",
+    "  padded .txt": "padded.txt", "...": "file", "": "file", "a.?!": "a", "._x_. .csv": "x.csv", "Ünï.Csv": "Ünï.Csv", "a (1).csv": "a (1).csv", "dir/": "file", "q" * 300 + ".csv": "q" * 200,
+}
 
 
 def test_safe_name(spark):
-    names = [*NAMES, None, "a\\b\\c d.txt", "we?ird//n*me__x  y.p!df", "数据 表.xlsx", "a" * 300 + ".csv", " ._x_. .csv", "...", "a.?!"]
-    assert _column(spark, names, N.safe_name) == [_safe(n) for n in names]
+    assert _column(spark, list(SAFE), N.safe_name) == list(SAFE.values())
+    assert _column(spark, [None], N.safe_name) == ["file"]
 
 
 def test_paths(spark):
@@ -51,7 +49,7 @@ def test_paths(spark):
 
 def test_texts(spark):
     texts = ["", "  short ", "x" * 50, None, "a\nb", "a\n"]
-    assert _column(spark, texts, lambda c: T.shorten(c, 40, "..")) == [t if len(t) <= 40 else t[:20] + ".." for t in ((x or "").strip() for x in texts)]
+    assert _column(spark, texts, lambda c: T.shorten(c, 40, "..")) == ["", "short", "x" * 20 + "..", "", "a\nb", "a"]
     assert _column(spark, texts, T.line_count) == [len((t or "").splitlines()) for t in texts]
     codes = ["```python\nx = 1\n```", "x", "", None, "```\ny\n```\n"]
     assert _column(spark, codes, T.unfence) == ["x = 1", "x", "", "", "y"]
@@ -125,42 +123,26 @@ def test_watermarked_counts(spark, tmp_path):
     assert spark.sql("SELECT sum(n) FROM counts").first()[0] == 5
 
 
-def _route(s):
-    r, no_data = s["route"], not s["data"]
-    following = "coder" if not s["code"] else "worker" if not s["ran"] else "reporter"
-    if s["force"] and r not in ("reporter", "finish"):
-        r = "reporter"
-    if r == "finish" and not s["done"]:
-        r = "planner" if not s["plan"] else "reporter" if (s["code"] and s["ran"]) or no_data else following
-    if not s["plan"] and r in ("coder", "worker", "reporter"):
-        r = "planner"
-    if s["plan"] and r == "worker" and not s["code"] and s["data"]:
-        r = "coder"
-    if s["plan"] and r == "reporter" and not s["ran"] and s["data"]:
-        r = "worker" if s["code"] else "coder"
-    if s["done"]:
-        r = "finish"
-    if s["invocations"] >= 24 and not s["done"] and s["plan"] and s["code"] and r not in ("reporter", "finish"):
-        r = "reporter"
-    if r == "planner" and s["replans"] >= 4 and s["plan"]:
-        r = "reporter" if no_data else following
-    if s["plan"] and s["code"] and s["last"] == "coder" and r == "coder" and s["data"]:
-        r = "worker"
-    if s["plan"] and s["code"] and s["corrections"] >= 5 and s["ran"] and s["failed"] and r == "coder" and s["data"]:
-        r = "worker"
-    if s["plan"] and no_data and not s["done"] and r in ("coder", "worker"):
-        r = "reporter"
-    return r
-
-
-def test_routing_of_every_state(spark):
-    from loomtab.plans.events import routing_states
-
-    states = routing_states(spark)
-    before = {r.state_id: r.asDict() for r in states.collect()}
-    after = R.clamp(states).collect()
-    assert len(after) == len(before) > 10_000
-    assert all(r.route == _route(before[r.state_id]) for r in after)
+#: What is set in a state (the rest is false or low), the decision, and the route it becomes.
+ROUTES = [
+    ("", "coder", "planner"), ("", "finish", "planner"), ("force", "worker", "planner"), ("plan", "worker", "reporter"), ("plan data", "worker", "coder"), ("plan data", "reporter", "coder"),
+    ("plan code data", "reporter", "worker"), ("plan code data", "finish", "worker"), ("plan code ran data", "finish", "reporter"), ("plan data", "finish", "coder"), ("plan", "coder", "reporter"),
+    ("plan code ran data done", "coder", "finish"), ("plan code ran data", "coder", "coder"), ("plan code ran failed data", "coder", "coder"), ("plan code ran failed data late_fixes", "coder", "worker"),
+    ("plan code data late_steps", "worker", "reporter"), ("plan code ran data late_plans", "planner", "reporter"), ("plan data late_plans", "planner", "coder"), ("plan late_plans", "planner", "reporter"),
+    ("plan code data after_coder", "coder", "worker"), ("plan code ran data force", "coder", "reporter"), ("plan", "planner", "planner"),
+]
+
+
+def test_routing(spark):
+    """A few states by hand; all 20,480 are compared with SQL in test_queries."""
+    rows = [
+        (i, route, "coder" if "after_coder" in on else "", 24 if "late_steps" in on else 1, 4 if "late_plans" in on else 0, 5 if "late_fixes" in on else 0, *(k in on.split() for k in ("plan", "code", "ran", "failed", "data", "done", "force")))
+        for i, (on, route, _) in enumerate(ROUTES)
+    ]
+    schema = "i int, route string, last string, invocations int, replans int, corrections int, plan boolean, code boolean, ran boolean, failed boolean, data boolean, done boolean, force boolean"
+    got = R.clamp(spark.createDataFrame(rows, schema)).orderBy("i").collect()
+    assert [r.route for r in got] == [want for _, _, want in ROUTES]
+    assert got[0].rule == "needs_plan" and got[-1].rule is None
 
 
 def test_uploads(spark):
