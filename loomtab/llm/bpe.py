@@ -39,8 +39,9 @@ from .tables import table
 
 NONE = np.uint32(0xFFFFFFFF)
 LONG = 192
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _ROWS = 1 << 15  # rows of a matrix
+TEXT_BYTES = 1 << 19  # texts whose new pieces are encoded together
 
 
 class PairTable:
@@ -160,10 +161,10 @@ class Bpe:
             tokens[row, at] = best
             keep = np.ones((m, w), bool)
             keep[row, at + 1] = False
-            tokens = tokens[keep].reshape(m, w - 1)
+            tokens = np.compress(keep.ravel(), tokens.ravel()).reshape(m, w - 1)
             keep = np.ones((m, w - 1), bool)
             keep[row, at] = False
-            ranks = ranks[keep].reshape(m, w - 2)
+            ranks = np.compress(keep.ravel(), ranks.ravel()).reshape(m, w - 2)
             count[rows] -= 1
             for left in (at - 1, at):  # the two pairs that the new token is part of
                 k = np.flatnonzero((left >= 0) & (left + 1 < w - 1))
@@ -174,9 +175,12 @@ class Bpe:
         out[rows, : tokens.shape[1]] = tokens
         return out, count
 
-    def pieces(self, text: str) -> list:
-        """The pieces of a text; a text with disputed characters is one piece, marked as a tuple."""
-        return [(text,)] if not text.isascii() and disputed().search(text) else self.split(text)
+    def pieces(self, text: str, latin: bool = False) -> list:
+        """The pieces of a text; a text with disputed characters is one piece, marked as a tuple.
+
+        ``latin``: the caller knows that all characters are below U+0400, where nothing is disputed.
+        """
+        return [(text,)] if not latin and not text.isascii() and disputed().search(text) else self.split(text)
 
     @cached_property
     def library(self) -> tiktoken.Encoding:
@@ -270,11 +274,13 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -
     seen, flat, starts, sizes = _Seen(), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
-        for block in blocks(texts):
+        for block in blocks(texts, TEXT_BYTES):
             part = texts.slice(block.first, len(block)).to_pylist()
             if len(seen) > REMEMBERED:
                 seen, flat, starts, sizes = _Seen(), flat[:0], starts[:0], sizes[:0]
-            numbers = [np.fromiter(map(seen.__getitem__, bpe.pieces(t)), np.int64) if t else starts[:0] for t in part]
+            latin = np.ones(len(block), bool)
+            latin[np.searchsorted(block.offsets, np.flatnonzero(block.data >= 0xD0), side="right") - 1] = False
+            numbers = [np.fromiter(map(seen.__getitem__, bpe.pieces(t, low)), np.int64) if t else starts[:0] for t, low in zip(part, latin.tolist(), strict=True)]
             if seen.new:
                 more, counts = bpe.encode_pieces(seen.new)
                 seen.new.clear()

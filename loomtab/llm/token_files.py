@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .blocks import Block, blocks, mix, prefix_hash, window_hash
-from .bpe import binary, ragged
+from .bpe import TEXT_BYTES, binary, ragged
 from .tables import parallelism, shared_dir, table
 from .wavelet import WaveletMatrix
 
 VOCABULARY, END = "word_bpe_49k.json", 1
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 BLOCK = 1 << 18
 _SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
 #: First bytes of characters up to U+01FF; anything above is left to the tokenizer.
@@ -104,15 +104,10 @@ def _latin() -> tuple[np.ndarray, np.ndarray]:
     return kind, lower
 
 
-def _plain_bytes() -> np.ndarray:
-    """Bytes that texts for the vectorised split may hold."""
-    out = np.ones(256, bool)
-    out[list(b"'\x1c\x1d\x1e\x1f")] = False
-    out[_LAST_LEAD + 1 :] = False
-    return out
-
-
-_PLAIN = _plain_bytes()
+#: Bytes that leave a text to the tokenizer.
+_ODD = np.zeros(256, bool)
+_ODD[list(b"'\x1c\x1d\x1e\x1f")] = True
+_ODD[_LAST_LEAD + 1 :] = True
 
 
 class WordTokenizer:
@@ -156,18 +151,13 @@ class WordTokenizer:
         if self.index.n > REMEMBERED:
             self.forget()
         kind, lower = _latin()
-        odd = ~_PLAIN[data]
+        odd, kinds, small = _ODD[data], kind[:256].take(data), lower[:256].astype(np.uint8).take(data)
         lead = np.flatnonzero((data >= 0xC2) & (data <= _LAST_LEAD))
-        code = np.zeros(len(data), np.int64) + data
-        two = (data[lead].astype(np.int64) & 0x1F) << 6 | (data[np.minimum(lead + 1, len(data) - 1)] & 0x3F)
-        odd[lead[(two == 0x85) | (two == 0x130)]] = True
-        code = np.where(odd | (data >= 0xC8), 0x20, code)
-        code[lead] = two
-        code[np.minimum(lead + 1, len(data) - 1)] = two
-        kinds, low = kind[code & 0x1FF], lower[code & 0x1FF]
-        small = np.where(code < 0x80, low, data).astype(np.uint8)
-        small[lead] = 0xC0 | low[lead] >> 6
-        small[np.minimum(lead + 1, len(data) - 1)] = 0x80 | low[lead] & 0x3F
+        if len(lead):  # two bytes are one character: its kind at both, its lower case in their place
+            two = (data[lead].astype(np.int64) & 0x1F) << 6 | (data[lead + 1] & 0x3F)
+            odd[lead[(two == 0x85) | (two == 0x130)]] = True
+            kinds[lead] = kinds[lead + 1] = kind[two]
+            small[lead], small[lead + 1] = 0xC0 | lower[two] >> 6, 0x80 | lower[two] & 0x3F
         docs_odd = np.unique(np.searchsorted(at, np.flatnonzero(odd), side="right") - 1)
         for i in docs_odd:
             kinds[at[i] : at[i + 1]] = _SPACE
@@ -209,7 +199,7 @@ def encode(df: DataFrame, path: str, end: int | None = END, id_col: str = "doc_i
         tokenizer = load(path)
         kind = "<u2" if max(len(tokenizer.last), end or 0) <= 1 << 16 else "<u4"
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), TEXT_BYTES):
                 flat, counts = tokenizer.encode(block)
                 if end is not None:
                     cut = np.cumsum(counts)

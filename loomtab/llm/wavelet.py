@@ -33,7 +33,7 @@ class WaveletMatrix:
         for p in range(depth):
             one = (seq & seq.dtype.type(1 << (depth - 1 - p))) != 0
             bits[p] = np.packbits(one, bitorder="little")
-            seq = np.concatenate((seq[~one], seq[one]))
+            seq = np.concatenate((np.compress(~one, seq), np.compress(one, seq)))
         step = EVERY // 8
         padded = np.zeros((depth, (n // EVERY + 1) * step), np.uint8)
         padded[:, : bits.shape[1]] = bits
@@ -105,7 +105,7 @@ class WaveletMatrix:
         for p in reversed(range(depth)):
             one = np.unpackbits(self.bits[p], count=self.n, bitorder="little").view(bool)
             z, back = int(self.zeros[p]), np.empty_like(seq)
-            back[~one] = seq[:z]
-            back[one] = seq[z:] | kind(1 << (depth - 1 - p))
+            back[np.flatnonzero(~one)] = seq[:z]
+            back[np.flatnonzero(one)] = seq[z:] | kind(1 << (depth - 1 - p))
             seq = back
         return seq
