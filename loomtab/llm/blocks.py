@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+#: Scratch arrays of a block of this size stay in a core's cache.
+BLOCK_BYTES = 1 << 18
 #: An odd multiplier has an inverse modulo 2**64, so a window's hash follows from prefix sums.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -74,20 +74,26 @@ def train(texts: list[str], labels: np.ndarray) -> dict:
     """Weights, bias and calibration (slope, offset) of P(label 1)."""
     labels = labels.astype(np.float32)
     fit = np.arange(len(labels)) % 5 != 0
-    parts = [features(b, SPEC) for b in blocks(pa.array(texts, pa.string()))]
-    kinds = [(np.concatenate([p[k][0] for p in parts]), np.concatenate([p[k][1] for p in parts])) for k in range(len(parts[0]))]
-    parts.clear()
+    # features of a few hundred documents at a time: nothing but the bucket numbers is held for all
+    parts, first = [], 0
+    for block in blocks(pa.array(texts, pa.string()), 1 << 20):
+        parts.append((slice(first, first + len(block)), features(block, SPEC)))
+        first += len(block)
     w, b = np.zeros(1 << SPEC.bits, np.float32), np.zeros(1, np.float32)
     move, shift = Adam(w.shape, 0.3), Adam(b.shape, 0.05)
+
+    def linear() -> np.ndarray:
+        return np.concatenate([scores(kinds, w, 0.0, mean=True) for _, kinds in parts]) * _SCALE + b[0]
+
     for _ in range(_ROUNDS):
-        z = scores(kinds, w, 0.0, mean=True) * _SCALE + b[0]
-        g = np.where(fit, sigmoid(z) - labels, 0).astype(np.float32) / fit.sum()
+        g = np.where(fit, sigmoid(linear()) - labels, 0).astype(np.float32) / fit.sum()
         slope = _DECAY * w
-        for index, counts in kinds:
-            slope += np.bincount(index, np.repeat(g * _SCALE / np.maximum(counts, 1), counts), len(w)).astype(np.float32)
+        for rows, kinds in parts:
+            for index, counts in kinds:
+                slope += np.bincount(index, np.repeat(g[rows] * _SCALE / np.maximum(counts, 1), counts), len(w)).astype(np.float32)
         move.step(w, slope)
         shift.step(b, g.sum(keepdims=True))
-    z = scores(kinds, w, 0.0, mean=True) * _SCALE + b[0]
+    z = linear()
     return {"weights": w.tobytes(), "bias": float(b[0]), **calibrate(z[~fit], labels[~fit])}
 
 

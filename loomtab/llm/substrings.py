@@ -319,7 +319,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells = pa.array(np.stack([rows["start"], rows["start"] + rows["n"]], axis=1).astype(np.int64).ravel())
             pairs = pa.StructArray.from_arrays([cells.take(pa.array(np.arange(0, 2 * len(rows), 2))), cells.take(pa.array(np.arange(1, 2 * len(rows), 2)))], ["start", "stop"])
             yield pa.RecordBatch.from_arrays(
-                [own.column(0), pa.array(size), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pairs), binary(block.data[keep], left)],
+                [own.column(0), pa.array(size), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pairs), binary(np.compress(keep, block.data), left)],
                 ["id", "n_bytes", "spans", "kept"],
             )
 
