@@ -34,14 +34,14 @@ def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def members_left_join_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
-    users = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("user_id"), "c_name")
+    users = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"), "c_name")
     return C.members_with_users(members, users).select("o_orderkey", "user_id", "c_name")
 
 
 def accessible_union_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("ord"))
-    own = o.where("owner % 10 = 1").withColumn("via", F.lit("own"))
-    shared = o.where("owner % 10 < 3").withColumn("via", F.lit("shared"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("ord"), "o_orderstatus")
+    own = o.where("o_orderstatus = 'F'").withColumn("via", F.lit("own")).drop("o_orderstatus")
+    shared = o.withColumn("via", F.lit("shared")).drop("o_orderstatus")
     return C.accessible(own, shared).select("session_id", "owner", "via")
 
 
@@ -62,7 +62,7 @@ def page_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    target = part.where("p_partkey % 3 = 0").select(F.col("p_brand").alias("project"), F.col("p_name").alias("path"))
+    target = part.where("p_size < 20").select(F.col("p_brand").alias("project"), F.col("p_name").alias("path"))
     staged = part.select(F.col("p_brand").alias("project"), F.col("p_name").alias("path"), F.col("p_partkey").alias("asset_id"))
     return M.insert_if_absent(target, staged, ["project", "path"])
 
@@ -78,8 +78,8 @@ def orphan_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partial_update_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    changes = s.where("s_suppkey % 2 = 0").select("s_suppkey", F.upper("s_name").alias("s_name"), F.lit(None).cast("int").alias("s_nationkey"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    changes = s.where("s_acctbal > 0").select("s_suppkey", F.upper("s_name").alias("s_name"), F.lit(None).cast("int").alias("s_nationkey"))
     return M.partial_update(s, changes, "s_suppkey", ["s_name", "s_nationkey"])
 
 
@@ -91,8 +91,8 @@ def upsert_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delete_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return M.delete_by_key(part, part.where("p_partkey % 5 = 0"), ["p_partkey"])
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    return M.delete_by_key(part, part.where("p_size < 10"), ["p_partkey"])
 
 
 def sessions_of_existing_users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,17 +121,17 @@ ORACLES = {
         LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderkey = (SELECT max(x.o_orderkey) FROM orders x WHERE x.o_custkey = c.c_custkey)""",
     "point_lookup_latest_version": "SELECT user_id AS session_id, max(event_id) AS version, arg_max(event_type, event_id) AS content FROM events GROUP BY user_id",
     "version_history": "SELECT o_orderkey AS version, o_orderstatus AS content FROM orders WHERE o_custkey = 1",
-    "members_left_join_users": "SELECT o_orderkey, o_custkey AS user_id, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) ON o_custkey = c_custkey",
-    "accessible_union_dedupe": "SELECT o_orderkey AS session_id, o_custkey AS owner, CASE WHEN o_custkey % 10 = 1 THEN 'own' ELSE 'shared' END AS via FROM orders WHERE o_custkey % 10 < 3",
+    "members_left_join_users": "SELECT o_orderkey, o_custkey AS user_id, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey",
+    "accessible_union_dedupe": "SELECT o_orderkey AS session_id, o_custkey AS owner, CASE WHEN o_orderstatus = 'F' THEN 'own' ELSE 'shared' END AS via FROM orders",
     "owned_plus_member_anti": "SELECT o_orderkey AS project_id, o_custkey AS user_id, CASE WHEN o_custkey = 4 THEN 'owner' ELSE 'member' END AS via FROM orders WHERE o_custkey = 4 OR o_custkey % 7 = 4",
     "session_counts_enriched": "SELECT c_custkey, c_name, count(o_orderkey) AS session_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL",
     "page_with_total": "SELECT s_suppkey, s_name, (SELECT count(*) FROM supplier) AS total FROM supplier ORDER BY s_suppkey LIMIT 5 OFFSET 3",
-    "insert_if_absent": "SELECT p_brand AS project, p_name AS path, min(p_partkey) AS asset_id FROM part s WHERE NOT EXISTS (SELECT 1 FROM part t WHERE t.p_partkey % 3 = 0 AND t.p_brand = s.p_brand AND t.p_name = s.p_name) GROUP BY 1, 2",
+    "insert_if_absent": "SELECT p_brand AS project, p_name AS path, min(p_partkey) AS asset_id FROM part s WHERE NOT EXISTS (SELECT 1 FROM part t WHERE t.p_size < 20 AND t.p_brand = s.p_brand AND t.p_name = s.p_name) GROUP BY 1, 2",
     "first_write_wins_title": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN c_name ELSE 'first question' END AS title, c_custkey % 3 <> 2 AS saved FROM customer",
     "orphan_assignment": "SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey * 10 WHEN c_nationkey < 10 THEN 7 END::BIGINT AS project_id, c_custkey % 4 = 0 AND c_nationkey < 10 AS assigned FROM customer",
-    "partial_update_coalesce": "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN upper(s_name) ELSE s_name END AS s_name, s_nationkey FROM supplier",
+    "partial_update_coalesce": "SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN upper(s_name) ELSE s_name END AS s_name, s_nationkey, s_acctbal FROM supplier",
     "upsert_paths": "SELECT c_custkey AS session, coalesce('/new/' || max(o_orderkey), '/old') AS path, coalesce(max(o_orderkey), 0)::BIGINT AS ord FROM customer FULL JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
-    "delete_assets": "SELECT p_partkey, p_brand FROM part WHERE p_partkey % 5 <> 0",
+    "delete_assets": "SELECT p_partkey, p_brand, p_size FROM part WHERE NOT coalesce(p_size < 10, false)",
     "sessions_of_existing_users": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
     "permissions_parse": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'data_upload,run' WHEN 3 THEN '' ELSE 'data_download' END AS permissions FROM customer",
     "platform_admins": "SELECT c_custkey, c_custkey % 3 = 0 AS is_admin FROM customer",

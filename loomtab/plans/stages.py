@@ -106,7 +106,7 @@ def last_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     w = Window.partitionBy("user_id").orderBy("event_id")
     n = F.row_number().over(w)
-    return e.select("user_id", n.cast("long").alias("version"), "event_id", "event_type").where("version % 3 = 0").select("user_id", "version", F.col("event_type").alias("given"))
+    return e.select("user_id", n.cast("long").alias("version"), "event_id", "event_type").select("user_id", "version", F.col("event_type").alias("given"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -132,5 +132,5 @@ ORACLES = {
         WHEN o_orderkey % 3 = 1 THEN 'directory' WHEN o_orderkey % 3 = 2 THEN 'missing' ELSE 'ok' END AS verdict, count(*) AS n FROM orders GROUP BY 1""",
     "project_details": """SELECT c_custkey, count(o_orderkey) AS session_count, coalesce(bool_or(o_orderkey % 3 = 0), false) AS has_raw, coalesce(bool_or(o_orderkey % 3 = 1), false) AS has_outputs, coalesce(bool_or(o_orderkey % 3 = 2), false) AS has_archive
         FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""",
-    "last_change": "SELECT user_id, version, event_type AS given FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version FROM events) WHERE version % 3 = 0",
+    "last_change": "SELECT user_id, version, event_type AS given FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version FROM events)",
 }
