@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import blocks, mix
-from .tables import table
+from .tables import bounded_batches, table
 
 NONE = np.uint32(0xFFFFFFFF)
 LONG = 192
@@ -302,6 +302,7 @@ def encode(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, i
     as installed Python packages are.
     """
 
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(lambda batches: encode_batches(batches, path, pattern), f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids binary")
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .blocks import SPACE, Block, blocks, mix, per_document, prefix_hash, window_hash, words
 from .hashed import Adam, Spec, features, gram, scores, sigmoid
-from .tables import table
+from .tables import bounded_batches, table
 
 SAMPLE = 4000
 THRESHOLD = 0.25
@@ -146,6 +146,7 @@ OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat
 
 def judge(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Counts and verdict of each row: columns id and OUT, or all columns of ``docs`` and those of OUT."""
+    bounded_batches(docs.sparkSession)
     weights = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .blocks import BASE_INV, Block, blocks, mix, powers, prefix_hash, window_hash
 from .bpe import binary
 from .induced import sorted_suffixes
-from .tables import keyed, parallelism, table, written
+from .tables import bounded_batches, keyed, parallelism, table, written
 
 LENGTH, K = 100, 24
 MEMORY = 192 << 20
@@ -326,6 +326,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id, n_bytes, spans (removed runs of bytes: array of start, stop) and kept (binary: the bytes left)."""
+    bounded_batches(df.sparkSession)
     parts = 4 * parallelism(df.sparkSession)
     docs = keyed(df, id_col, text_col).withColumn("text", F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
     prints = docs.select("k", "h", "text").mapInArrow(_fingerprints(parts), "bucket int, settled boolean, cells binary")

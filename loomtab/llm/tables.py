@@ -63,6 +63,18 @@ def discard_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
     _made[mark:] = [kept] if kept else []
 
 
+#: Rows of an Arrow batch; a batch is held by the JVM and by Python, several times over.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows where they are larger: texts are long."""
+    now = int(spark.conf.get(_BATCH))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """Columns id, text and the key (k, h) of a row: its id (null: the least long) and a hash of its text.
 

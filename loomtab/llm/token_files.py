@@ -37,7 +37,7 @@ from tokenizers import Tokenizer
 
 from .blocks import Block, blocks, mix, prefix_hash, window_hash
 from .bpe import TEXT_BYTES, binary, ragged
-from .tables import parallelism, shared_dir, table
+from .tables import bounded_batches, parallelism, shared_dir, table
 from .wavelet import WaveletMatrix
 
 VOCABULARY, END = "word_bpe_49k.json", 1
@@ -209,6 +209,7 @@ def encode(df: DataFrame, path: str, end: int | None = END, id_col: str = "doc_i
                     [batch.column(0).slice(block.first, len(block)), pa.array(counts), binary(flat.astype(kind), edges)], ["id", "n_tokens", "ids"]
                 )
 
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(task, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids binary")
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .blocks import blocks
 from .hashed import Adam, Spec, features, scores, sigmoid
-from .tables import table
+from .tables import bounded_batches, table
 
 POSITIVES, UNLABELLED, FOLDS, KEPT = 2500, 6000, 5, 1 << 14
 SPEC = Spec(bits=20, word_sizes=(1,), char_sizes=(5,), lower=True)
@@ -137,6 +137,7 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
                 z = sigmoid(scores(features(block, SPEC), w, model["bias"], mean=False)) if model else np.zeros(len(block))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), pa.array(z)], ["id", "score"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(task, f"id {rows.schema['id'].dataType.simpleString()}, score double")
 
