@@ -43,11 +43,11 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", t
     )
     running = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.select("*", F.sum("size").over(running).alias("upto"), F.row_number().over(running).alias("nth")).join(offsets, "part")
-    middle = 2 * (F.col("bytes_before") + F.col("upto")) - F.col("size")
+    # twice the place of a row's middle byte, by twice the total: whole numbers, exact at any size
     placed = written(
         placed.select(
             "id", "size", "text_crc32", F.expr("n_before + nth - 1").alias("row"),
-            F.least(F.floor(middle * shards / (2 * F.col("total"))), F.lit(shards - 1)).cast("int").alias("shard"),
+            F.least(F.expr(f"((2 * (bytes_before + upto) - size) * {shards}L) div (2 * total)"), F.lit(shards - 1)).cast("int").alias("shard"),
         ), "shards",
     )
     firsts = placed.groupBy("shard").agg(F.min("row").alias("first"))  # at most one row a shard
