@@ -202,9 +202,10 @@ def _by_context(raw: pa.Buffer, fp: int, a: int, b: int) -> list[tuple[int, int,
     All strings of a piece hold the same LENGTH - STEP + 1 bytes, whose hash is the piece's key.
     """
     part = np.frombuffer(raw[a:b].to_pybytes(), np.uint8)
-    _, place, *_ = segments(Block(0, part, np.array([0, len(part)])))
-    m, last = int(place[0]), len(part) - LENGTH
-    prefix, out = prefix_hash(part), []
+    prefix, last, out = prefix_hash(part), len(part) - LENGTH, []
+    # the leftmost K-gram of this hash is the minimizer: an earlier one would have been chosen
+    h = mix((prefix[K:] - prefix[:-K]) * powers(BASE_INV, len(prefix))[: len(part) - K + 1])
+    m = int(np.argmax((h | np.uint64(3)) == np.uint64(fp | 3)))
     for near in range((m - last) // STEP * STEP, m + 1, STEP):  # distances near .. near + STEP - 1
         first_at, last_at = max(m - near - STEP + 1, 0), min(m - near, last)
         if first_at <= last_at:
