@@ -1,12 +1,11 @@
-"""Line de-duplication by winnowing over line hashes.
-
-Lines with a word are hashed in order. Of each window of ``RUN`` neighbours the
-least hash is the window's fingerprint, so any run of RUN lines that two places
-share has a fingerprint in both. Positions are joined on fingerprints that occur
-more than once, each with the RUN - 1 hashes on either side; places whose
-neighbours agree both ways over a window are matches, and neighbouring matches
-add up to runs of any length. Lines of a run that also starts earlier (smaller
-id, or same document and earlier line) are deleted; the first stays.
+"""Line de-duplication by grouping windows of line hashes.
+
+Lines with a word are hashed in order. All windows of ``RUN`` neighbours are
+written and grouped by the hashes of their lines; equal windows are matches,
+and neighbouring matches add up to runs of any length. This takes the place of
+winnowing: no minima are selected, and the least hash of a window, which the
+grouping also names, narrows nothing. Lines of a run that also starts
+earlier (smaller id, or same document and earlier line) are deleted; the first stays.
 
 The earliest place of a run is a pre-aggregated minimum, so a run in a third of
 all rows sends one row a task; marking later places is a join on the run,
