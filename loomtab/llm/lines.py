@@ -1,77 +1,119 @@
-"""Line de-duplication by grouping windows of line hashes.
-
-Lines with a word are hashed in order. All windows of ``RUN`` neighbours are
-written and grouped by the hashes of their lines; equal windows are matches,
-and neighbouring matches add up to runs of any length. This takes the place of
-winnowing: no minima are selected, and the least hash of a window, which the
-grouping also names, narrows nothing. Lines of a run that also starts
-earlier (smaller id, or same document and earlier line) are deleted; the first stays.
-
-The earliest place of a run is a pre-aggregated minimum, so a run in a third of
-all rows sends one row a task; marking later places is a join on the run,
-which adaptive execution splits where it is hot. Lines are compared by 96 bits
-of two hashes. All work is on DataFrames.
+"""Line de-duplication by winnowing over line hashes.
+
+Lines with a word are hashed in order. Of every ``run`` neighbours the line of
+least hash (of equal ones the last) is selected: any stretch of that many lines
+that repeats has the same line selected in both places, so the selected lines,
+about 2 in run + 1, are fingerprints that no repeat can miss. Only they are
+posted, each with the lines around it that its windows reach. Postings whose
+hash occurs once go no further. The others are joined by position: a posting
+is extended to the left and to the right through every window in which it was
+selected, windows of equal lines are matches, and matches that overlap add up
+to runs of any length. Lines of a run that also starts earlier (smaller id, or
+same document and earlier line) are deleted; the first stays. A line of over
+``LONG`` words is a run in itself and is posted as such, so a repeated passage
+on one line goes as well.
+
+The earliest place of a window is a pre-aggregated minimum, so a run in a third
+of all rows sends one row a task. It is written as a table, and marking later
+places joins two plain tables, so that adaptive execution can split the places
+of a hot window. Lines are compared by 128 bits of SHA-256. All work is on DataFrames.
 
 Rows: a null text stays null and has no lines; lines without a word belong to
-no run and stay; texts of fewer than RUN lines keep all; repeated rows are one
-document; rows of one id with different texts are ordered by a hash of the
-text; null ids come first. A document can lose all its lines; its row stays.
+no run and stay; texts of fewer than ``run`` lines lose long lines only;
+repeated rows are one document; rows of one id with different texts are ordered
+by a hash of the text; null ids come first. A document can lose all its lines;
+its row stays. Other columns come back as they were, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import keyed, table, written
+from .tables import keyed, let, table, written
 
-RUN = 2
+RUN, LONG = 2, 50
 #: What a line without a word consists of.
 _BLANKS = " \t\n\v\f\r"
+_BETWEEN = r"[\x20\x09-\x0D]+"
 
 
-def _lines(text: str = "text"):
+def _lines(text: str = "text") -> Column:
     return F.split(F.col(text), "\n", -1)
 
 
-def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+def _is_long(line: Column, most: int) -> Column:
+    """Whether a line has over ``most`` words; shorter lines than so many words need aren't cut."""
+    return (F.length(line) > 2 * most) & (F.size(F.array_remove(F.split(line, _BETWEEN, -1), "")) > most)
+
+
+def postings(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
+    """Columns k, h, p (place among worded lines), f (hash), own (windows that selected it) and single; ``docs`` as ``keyed``.
+
+    ``own`` holds for each window its first place, and indexes and hashes of its lines.
+    """
+    hashed = lambda x: F.unhex(F.substring(F.sha2(x, 256), 1, 32))
+    none = F.array().cast("array<struct<p: int, q: int>>")
+    worded = F.filter(F.transform(_lines(), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: F.length(F.btrim(s["x"], F.lit(_BLANKS))) > 0)
+    lines = F.transform(worded, lambda s: F.struct(s["i"].alias("i"), hashed(s["x"]).alias("f"), _is_long(s["x"], long).alias("long")))
+
+    def selected(lines: Column) -> Column:
+        """For each window its first place q and the place p that it selects."""
+        least = lambda q: -F.array_min(F.transform(F.sequence(q, q + run - 1), lambda p: F.struct(F.get(lines, p - 1)["f"].alias("f"), (-p).alias("p"))))["p"]
+        every = F.transform(F.sequence(F.lit(1), F.size(lines) - (run - 1)), lambda q: F.struct(least(q).alias("p"), q.alias("q")))
+        return F.when(F.size(lines) >= run, every).otherwise(none)
+
+    def posting(lines: Column, windows: Column, p: Column) -> Column:
+        # only the windows that reach a place can have selected it
+        near = F.filter(F.slice(windows, F.greatest(p - run + 1, F.lit(1)), run), lambda w: w["p"] == p)
+        whole = lambda w: F.slice(lines, w["q"], run)
+        own = F.transform(near, lambda w: F.struct(w["q"].alias("q"), F.transform(whole(w), lambda s: s["i"]).alias("at"), F.transform(whole(w), lambda s: s["f"]).alias("around")))
+        line = F.get(lines, p - 1)
+        return F.struct(p.alias("p"), line["f"].alias("f"), line["i"].alias("i"), line["long"].alias("single"), own.alias("own"))
+
+    def posted(lines: Column, windows: Column) -> Column:
+        alone = F.filter(F.transform(lines, lambda s, i: F.when(s["long"], i + 1)), lambda p: p.isNotNull())
+        return F.transform(F.array_distinct(F.concat(F.transform(windows, lambda w: w["p"]), alone)), lambda p: posting(lines, windows, p))
+
+    # a row of the result holds a few lines' hashes, never those of the whole text
+    every = let(lines, lambda lines: let(selected(lines), lambda windows: posted(lines, windows)))
+    return docs.where("text is not null").select("k", "h", F.explode(every).alias("x")).select("k", "h", "x.*")
+
+
+def repeated_lines(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
     """Columns k, h and gone (indexes of lines to delete) of documents that lose lines; ``docs`` as ``keyed``."""
-    marked = F.transform(_lines(), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("a"), F.hash(x).alias("b"), (F.length(F.btrim(x, F.lit(_BLANKS))) > 0).alias("word")))
-    lines = docs.where("text is not null").select("k", "h", F.filter(marked, lambda x: x["word"]).alias("lines")).where(F.size("lines") >= run)
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size("lines") - (run - 1)),
-        lambda p: F.struct(p.alias("p"), F.transform(F.slice("lines", p, run), lambda x: x["i"]).alias("at"), F.transform(F.slice("lines", p, run), lambda x: F.struct(x["a"], x["b"])).alias("around")),
-    )
-    places = lines.select("k", "h", F.explode(windows).alias("w")).select("k", "h", "w.p", "w.at", "w.around")
-    places = places.withColumn("fingerprint", F.array_min(F.transform("around", lambda x: x["a"])))
-    places = written(places, "line-windows")
-    first = places.groupBy("fingerprint", "around").agg(F.min(F.struct("k", "h", "p")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = places.join(first, ["fingerprint", "around"]).where(F.struct("k", "h", "p") > F.col("first"))
+    posted = written(postings(docs, run, long), "line-postings")
+    again = written(posted.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "line-hashes")
+    single = F.when(F.col("single"), F.array(F.struct(F.col("p").alias("q"), F.array("i").alias("at"), F.array("f").alias("around"))))
+    reached = F.concat("own", F.coalesce(single, F.array().cast("array<struct<q: int, at: array<int>, around: array<binary>>>")))
+    places = written(posted.join(again, "f").select("k", "h", F.explode(reached).alias("w")).select("k", "h", "w.q", "w.at", "w.around"), "line-windows")
+    first = places.groupBy("around").agg(F.min(F.struct("k", "h", "q")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = places.join(written(first, "line-firsts"), "around").where(F.struct("k", "h", "q") > F.col("first"))
     return later.groupBy("k", "h").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))
 
 
-def remove_repeated_lines(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows and columns of ``df``, without the deleted lines in the text, and the index list ``__gone``."""
-    plain = [c for c in df.columns]
-    own = df.select(F.struct(*[F.col(f"`{c}`") for c in plain]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _rewritten(df: DataFrame, run: int, id_col: str, text_col: str) -> DataFrame:
+    """Columns row (all of ``df``), text (without the deleted lines) and gone (their indexes, null for none)."""
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     docs = own.withColumns({"k": F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))), "h": F.xxhash64("text")})
-    gone = repeated_lines(keyed(df, id_col, text_col), run).hint("shuffle_hash")
-    joined = docs.join(gone, ["k", "h"], "left")
+    joined = docs.join(repeated_lines(keyed(df, id_col, text_col), run).hint("shuffle_hash"), ["k", "h"], "left")
     lines = _lines()
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    return joined.withColumn("__text", text).select(
-        *[(F.col("__text") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in plain], F.coalesce("gone", F.array().cast("array<int>")).alias("__gone")
-    )
+    return joined.select("row", text.alias("text"), "gone")
+
+
+def remove_repeated_lines(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows and columns of ``df``, without the deleted lines in the text."""
+    return _rewritten(df, run, id_col, text_col).select(*[(F.col("text") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in df.columns])
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    whole = docs.select("doc_id", "text", F.size(_lines()).cast("long").alias("n_lines"))
-    found = remove_repeated_lines(whole)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(_lines()).cast("long").alias("n_lines"))
+    found = _rewritten(docs, RUN, "doc_id", "text")
     return found.select(
-        "doc_id", F.greatest(F.coalesce("n_lines", F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.size("__gone").cast("long").alias("n_removed"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+        "row.doc_id", F.greatest(F.coalesce("row.n_lines", F.lit(0)), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
 
 
@@ -86,8 +128,12 @@ WITH lines AS (
     SELECT a.doc_id, a.p, a.i AS i1, b.i AS i2,
            row_number() OVER (PARTITION BY a.line, b.line ORDER BY a.doc_id, a.p) AS nth
     FROM worded a JOIN worded b ON a.doc_id = b.doc_id AND b.p = a.p + 1
+), singles AS (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS nth
+    FROM worded WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) > 50
 ), gone AS (
     SELECT DISTINCT doc_id, unnest([i1, i2]) AS i FROM pairs WHERE nth > 1
+    UNION SELECT doc_id, i FROM singles WHERE nth > 1
 ), kept AS (
     SELECT l.doc_id, count(g.i) AS n_removed, count(*) AS n_lines,
            coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 import weakref
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,11 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once a row, however often it is used: a lambda's variable isn't put in place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """Columns id, text and the key (k, h) of a row: its id (null: the least long) and a hash of its text.
 
