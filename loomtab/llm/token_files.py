@@ -1,7 +1,7 @@
 """Token ids of whole texts, packed as wavelet matrices in one compressed file a shard.
 
 Encoding: words repeat, texts don't, so a task has the tokenizer encode each
-distinct piece (the matches of the tokenizer's own split pattern) once and
+distinct piece (the matches of the tokenizer's own split pattern, told apart by their bytes) once and
 puts a document's ids together from those of its pieces. Cutting into pieces
 is done on bytes for texts of ASCII and accented Latin letters; a text with
 any other character, a control character or an apostrophe (which may begin a
@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .blocks import Block, blocks, mix, prefix_hash, window_hash
+from .blocks import Block, blocks
 from .bpe import TEXT_BYTES, binary, ragged
+from .pieces import PieceIndex
 from .tables import bounded_batches, parallelism, shared_dir, table
 from .wavelet import WaveletMatrix
 
@@ -48,48 +49,6 @@ _SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
 _LAST_LEAD = 0xC7
 
 
-class HashIndex:
-    """64-bit keys -> 0, 1, 2, ... in order of arrival; open addressing over arrays."""
-
-    def __init__(self, most: int):
-        bits = (4 * most).bit_length()
-        self.shift = np.uint64(64 - bits)
-        self.keys = np.zeros((1 << bits) + (1 << 16), np.uint64)
-        self.values = np.zeros(len(self.keys), np.int32)
-        self.n = 0
-
-    def _walk(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Slot of each key, or the free slot where its search ends; and whether it was found."""
-        slot = (mix(keys) >> self.shift).astype(np.int64)
-        have = self.keys[slot]
-        found = have == keys
-        odd = np.flatnonzero(~found & (have != 0))
-        while len(odd):
-            slot[odd] += 1
-            have = self.keys[slot[odd]]
-            found[odd] = have == keys[odd]
-            odd = odd[(have != keys[odd]) & (have != 0)]
-        return slot, found
-
-    def number(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of each key, and where the keys that are new first stand in ``keys``."""
-        keys = np.where(keys == 0, np.uint64(1), keys)
-        slot, found = self._walk(keys)
-        out = self.values[slot]
-        missing = np.flatnonzero(~found)
-        new, first = np.unique(keys[missing], return_index=True)
-        first = missing[first]
-        left = np.arange(len(new))
-        while len(left):  # several new keys may end at one free slot: one of them takes it
-            at, _ = self._walk(new[left])
-            _, one = np.unique(at, return_index=True)
-            self.keys[at[one]], self.values[at[one]] = new[left[one]], self.n + left[one]
-            left = np.delete(left, one)
-        self.n += len(new)
-        out[missing] = self.n - len(new) + np.searchsorted(new, keys[missing])
-        return out, first
-
-
 @lru_cache(maxsize=1)
 def _latin() -> tuple[np.ndarray, np.ndarray]:
     """Kind and lower-case code of the characters up to U+01FF."""
@@ -123,7 +82,7 @@ class WordTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.index, self.flat = HashIndex(2 * REMEMBERED), np.zeros(0, np.uint32)
+        self.index, self.flat = PieceIndex(2 * REMEMBERED), np.zeros(0, np.uint32)
         self.starts = self.sizes = np.zeros(0, np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -171,10 +130,9 @@ class WordTokenizer:
         starts, ends = edges[:-1], edges[1:]
         solid = kinds[starts] != _SPACE
         starts, ends = starts[solid], ends[solid]
-        numbers, new = self.index.number(window_hash(prefix_hash(small), starts, ends))
-        if len(new):
-            raw = small.tobytes()
-            self._learn([raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+        numbers, new = self.index.number(small, starts, ends)
+        if new:
+            self._learn([piece.decode() for piece in new])
         flat, sizes = ragged(self.flat, self.starts[numbers], self.sizes[numbers])
         upto = np.concatenate(([0], np.cumsum(sizes)))
         cut = upto[np.searchsorted(starts, at)]

@@ -87,3 +87,28 @@ def test_empty(spark, tmp_path):
     where = f"file://{tmp_path}/none"
     T.write_shards(T.encode(T.in_order(spark.createDataFrame([], "doc_id long, text string")), PATH), where)
     assert T.ids_of(T.read_shards(spark, where)).collect() == []
+
+
+def test_pieces_of_equal_hash_have_their_own_ids(spark, library, tmp_path):
+    """Two long words with one polynomial hash, and short ones that any hash may send to one slot."""
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    texts = [thue, other, f"{thue} x {other}", "a\0 a", "a", "abcdefgh", "abcdefghi", "abcdefghijklmnop", "abcdefghijklmnopq"]
+    assert _encode(texts) == [library(t) for t in texts]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.ids_crc32 for r in T.op9_token_files(spark, str(tmp_path)).collect()}
+    assert got == {i: zlib.crc32(np.array([*library(t), 1], "<u4").tobytes()) for i, t in enumerate(texts)}
+
+
+def test_a_crowded_slot(monkeypatch):
+    """Every piece has one hash: bytes alone tell them apart."""
+    from loomtab.llm import pieces
+
+    monkeypatch.setattr(pieces, "mix", lambda x: np.zeros_like(x) + np.uint64(7))
+    data = np.frombuffer(b"aabbabaacaab", np.uint8)
+    starts, ends = np.array([0, 2, 0, 4, 1, 6, 9]), np.array([2, 4, 2, 6, 2, 8, 11])
+    index = pieces.PieceIndex(10)
+    numbers, new = index.number(data, starts, ends)
+    assert [new[i] for i in numbers] == [data[a:b].tobytes() for a, b in zip(starts, ends)]
+    again, none = index.number(data, starts, ends)
+    assert (again == numbers).all() and none == [] and len(set(new)) == len(new) == index.n
