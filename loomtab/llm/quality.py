@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .blocks import SPACE, Block, blocks, mix, per_document, prefix_hash, window_hash, words
 from .hashed import Adam, Spec, features, gram, scores, sigmoid
+from .pieces import PieceIndex
 from .tables import bounded_batches, table
 
 SAMPLE = 4000
@@ -64,12 +65,30 @@ def base_counts(block: Block) -> dict[str, np.ndarray]:
         place = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
         hit = np.flatnonzero(twice[place] == keys)
         first = np.repeat(np.cumsum(counts) - counts, each) + np.arange(len(grams)) - np.repeat(np.cumsum(each) - each, each)
+        hit = _equal_windows(data, hit, owner, first, starts, ends)
         np.add.at(covered, first[hit], 1)
         np.add.at(covered, first[hit] + WINDOW, -1)
     out["n_repeat_words"] = per_document(counts, (np.cumsum(covered)[:-1] > 0).astype(np.int64))
     return out
 
 
+def _equal_windows(data: np.ndarray, hit: np.ndarray, owner: np.ndarray, first: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of windows whose hash occurs twice in their document, those whose words do.
+
+    Words are numbered by their bytes, runs of 2, 4 and 8 words by the numbers of their halves.
+    """
+    if not len(hit):
+        return hit
+    number, _ = PieceIndex(len(starts)).number(data, starts, ends)
+    size = 1
+    while size < WINDOW:
+        number = np.unique(number[:-size] * len(starts) + number[size:], return_inverse=True)[1]
+        size *= 2
+    key = owner[hit].astype(np.int64) * len(starts) + number[first[hit]]
+    _, place, times = np.unique(key, return_inverse=True, return_counts=True)
+    return hit[times[place] > 1]
+
+
 def train(texts: list[str], labels: np.ndarray) -> dict:
     """Weights, bias and calibration (slope, offset) of P(label 1)."""
     labels = labels.astype(np.float32)

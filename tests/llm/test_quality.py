@@ -76,3 +76,13 @@ def test_empty_tables_and_no_labels(spark, labelled):
     none = spark.createDataFrame([], docs.schema)
     assert Q.judge(none, Q.fitted(none, labels)).collect() == []
     assert Q.fitted(docs, labels.where("quality = 1")) is None
+
+
+def test_words_of_equal_hash_are_not_equal(spark):
+    """A word over a and b and its complement have one polynomial hash; their windows are no repeats."""
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    texts = [(1, " ".join([thue] + list("cdefghi") + [other] + list("cdefghi"))), (2, " ".join([thue] * 9 + [other] * 12)), (3, " ".join([thue, *"0123456", other] * 9))]
+    got = sorted(tuple(r)[:7] for r in Q.judge(spark.createDataFrame(texts, "doc_id long, text string"), None).drop("quality_score").collect())
+    assert got == [(i, *_base(t)) for i, t in texts]
+    assert got[0][5] == 0
