@@ -26,6 +26,7 @@ ids come first. Matches never cross documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ LENGTH, K = 100, 24
 MEMORY = 192 << 20
 HOT, STEP = 256, 8
 _FLUSH = 400_000  # segments that a task holds before it hands them on
-_ENTRY = np.dtype([("fp", "<u8"), ("seg", "<u8"), ("k", "<i8"), ("h", "<i8"), ("start", "<i8"), ("n", "<u4")])
+_ENTRY = np.dtype([("fp", "<u8"), ("seg", "<u8"), ("seg2", "<u8"), ("k", "<i8"), ("h", "<i8"), ("start", "<i8"), ("n", "<u4")])
 _RESULT = "k long, h long, start long, stop long, fp long"
 
 
@@ -88,14 +89,20 @@ def _merge(rows: np.ndarray) -> np.ndarray:
 
 def _settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of equal segments the earliest is kept, the others are removed; rows come back by fingerprint."""
-    rows = rows[np.lexsort((rows["start"], rows["h"], rows["k"], rows["seg"], rows["fp"]))]
+    rows = rows[np.lexsort((rows["start"], rows["h"], rows["k"], rows["seg2"], rows["seg"], rows["fp"]))]
     first = np.ones(len(rows), bool)
-    first[1:] = (rows["fp"][1:] != rows["fp"][:-1]) | (rows["seg"][1:] != rows["seg"][:-1])
+    first[1:] = (rows["fp"][1:] != rows["fp"][:-1]) | (rows["seg"][1:] != rows["seg"][:-1]) | (rows["seg2"][1:] != rows["seg2"][:-1])
     lead = rows[np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
     same = ~first & (rows["k"] == lead["k"]) & (rows["h"] == lead["h"]) & (rows["start"] == lead["start"])  # repeated rows
     return rows[first], _merge(rows[~first & ~same])
 
 
+def _digests(raw: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2 of each stretch, in two columns: bytes are removed on equal digests, so no weaker hash will do."""
+    made = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)])
+    return np.frombuffer(made, "<u8").reshape(-1, 2).T
+
+
 def _fingerprints(parts: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -120,7 +127,8 @@ def _fingerprints(parts: int):
                 if not len(a):
                     continue
                 rows = np.empty(len(a), _ENTRY)
-                rows["fp"], rows["seg"] = fp, window_hash(prefix_hash(block.data), a, b + LENGTH)
+                rows["fp"] = fp
+                rows["seg"], rows["seg2"] = _digests(block.data.tobytes(), a, b + LENGTH)
                 rows["k"], rows["h"] = k[block.first + owner], h[block.first + owner]
                 rows["start"], rows["n"] = a - block.offsets[owner], b + LENGTH - a
                 held.append(rows)

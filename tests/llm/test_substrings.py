@@ -113,3 +113,12 @@ def test_equal_strings_meet_when_hot(rows):
             for key, s, part in S._by_context(pa.py_buffer(raw), fp, a, b + S.LENGTH):
                 for p in range(len(part) - S.LENGTH + 1):
                     assert keys.setdefault(part[p : p + S.LENGTH], key) == key
+
+
+def test_stretches_of_equal_polynomial_hash_stay(spark):
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    rows = [(1, thue), (2, other), (3, thue[:300]), (4, "x" + other[500:900])]
+    want = _brute([(i, t.encode()) for i, t in rows], S.LENGTH)
+    for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert [tuple(x) for x in r.spans] == _runs(want[r.id][0][1])
