@@ -15,9 +15,9 @@ def connected_components(links: DataFrame, name: str = "components", most_rounds
     to the least neighbour it knows, so the number of links never grows and a
     chain of length n needs about log n rounds. The links of a round are a
     table in the shared folder, not a lineage. Loops are ignored; a node
-    without links isn't in the result. A hub's neighbours are read by a join on
-    the hub, which adaptive execution splits where one hub is hot; the least
-    neighbour itself is a pre-aggregated minimum.
+    without links isn't in the result. The least neighbour is a pre-aggregated
+    minimum, and a table before the hub's neighbours are joined with it: of a
+    join of two plain tables, adaptive execution splits a hot hub.
     """
 
     def least(e: DataFrame) -> DataFrame:
@@ -33,17 +33,19 @@ def connected_components(links: DataFrame, name: str = "components", most_rounds
     before = digest(edges)
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            both.join(least(both).withColumn("m", F.least("u", "m")), "u").where("v > u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        nearest = written(least(both).withColumn("m", F.least("u", "m")), name)
+        large = written(
+            both.join(nearest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name
         )
-        small = large.join(least(large), "u")
+        lesser = written(least(large), name)
+        small = large.join(lesser, "u")
         last, edges = edges, written(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
             .unionByName(small.select("u", F.col("m").alias("v")))
             .distinct(), name
         )
-        discard(last)
+        for gone in (last, nearest, large, lesser):
+            discard(gone)
         after = digest(edges)
         if after == before:
             break

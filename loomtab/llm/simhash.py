@@ -1,18 +1,23 @@
 """SimHash near-duplicates through a byte-position index with count filtering.
 
 Two 64-bit fingerprints that differ in at most ``BITS`` = 2 bits differ in at
-most two of their eight bytes, so they share at least six positional bytes.
-A list of all fingerprints that hold one byte value at one position would have
-N / 256 entries, and tallying pairs over such lists is quadratic. The index
-is therefore keyed by every choice of six byte positions with the six values
-there (28 postings a distinct fingerprint): whoever meets under a key has a
-tally of six or more, nobody else can reach it. The tally of a pair counts its
-equal positional bytes; the pair is then verified by its differing bits.
-
-Under one key only two bytes are free, so it never holds more than 65,536
-distinct fingerprints however many copies a document has. Large keys are not
-paired off: each member is probed with the 136 patterns of one or two flipped
-bits, and a key gives a spanning star of each group it finds, not all pairs.
+most two of their eight bytes, so of eight positional bytes they share at least
+six. The inverted index lists fingerprints by positional bytes: a posting holds
+the four bytes of two of the four pairs of neighbouring positions, of which two
+fingerprints within reach share at least one posting of their six. (A list by
+one byte holds 1/256 of a corpus; by four it is short.) Pairs that meet in a
+list are tallied by the positional bytes they share; pairs that reach the
+guaranteed ``SHARED`` = 6 are retained and verified by their differing bits.
+
+Lists of over ``HOT`` distinct fingerprints, found by a pre-aggregated count,
+are split by two more positions (six choices again): a pair with six shared
+bytes shares one of these as well. Under six bytes only two are free, so a list
+holds at most 65,536 fingerprints however many copies a document has. Split
+lists that are still large are not paired off: each member is probed with the
+136 patterns of one or two flipped bits, which reach the tally by construction;
+a list gives a spanning star of each group it finds, not all its pairs.
+Postings are dealt over partitions sized by their number, sorted, and read as a
+stream, so a task holds one list at a time.
 
 Rows: a null or empty text, or one of white space only, has fingerprint zero
 and is linked like any other. Repeated rows have equal fingerprints, hence one
@@ -31,14 +36,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .tables import bounded_batches, table, written
+from .tables import bounded_batches, parallelism, table, written
 
 BITS, WORDS, SEED = 2, 3, 42
 SHARED = 8 - BITS
 _CHUNK = 1 << 15  # shingles whose bits are unpacked at once
-#: One mask for each choice of SHARED byte positions.
-MASKS = np.array([sum(0xFF << (8 * p) for p in chosen) for chosen in combinations(range(8), SHARED)], np.uint64)
-_PAIRED = 128  # keys of up to so many members are compared by pairs
+_mask = lambda places: sum(0xFF << (8 * p) for p in places)
+_NEIGHBOURS = ((0, 1), (2, 3), (4, 5), (6, 7))
+#: Choices of positional bytes: first those of lists by four bytes, then those of lists by six.
+FOURS = [_mask(a + b) for a, b in combinations(_NEIGHBOURS, 2)]
+MASKS = np.array([*FOURS, *(_mask(x) for x in combinations(range(8), SHARED))], np.uint64)
+HOT = 128  # lists by four bytes of more members are split; lists of up to so many are compared by pairs
+PART = 2_000_000  # postings of a partition
 
 
 def _majorities(texts: list[bytes | None]) -> np.ndarray:
@@ -110,13 +119,19 @@ def _squeeze(values: np.ndarray, mask: int) -> np.ndarray:
     return (byte(low) | byte(high) << np.uint64(8)).astype(np.uint32)
 
 
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs reach the tally and then hold to their bits."""
+    both = a ^ b
+    retained = np.flatnonzero(tally(both) >= SHARED)
+    return retained[popcount(both[retained]) <= BITS]
+
+
 def _star(members: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join each group of one key: members are distinct and sorted."""
+    """Links that join each group of one list: members are distinct and sorted."""
     n = len(members)
-    if n <= _PAIRED:
+    if n <= HOT:
         a, b = np.triu_indices(n, 1)
-        both = members[a] ^ members[b]
-        near = (tally(both) >= SHARED) & (popcount(both) <= BITS)
+        near = _near(members[a], members[b])
         a, b = a[near], b[near]
     else:
         free = _squeeze(members, mask)
@@ -138,53 +153,86 @@ def _star(members: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
     return members[root[leaf]], members[leaf]
 
 
+def _listed(choice: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links among whole lists, which come one after another with their members in order."""
+    key = fp & MASKS[choice]
+    same = (choice[1:] == choice[:-1]) & (key[1:] == key[:-1])
+    once = np.concatenate(([True], ~same | (fp[1:] != fp[:-1])))  # a list that two splits lead to names its members twice
+    choice, fp, key = choice[once], fp[once], key[once]
+    edge = np.flatnonzero(np.concatenate(([True], (choice[1:] != choice[:-1]) | (key[1:] != key[:-1]), [True])))
+    size = np.diff(edge)
+    two = edge[:-1][size == 2]
+    two = two[_near(fp[two], fp[two + 1])]
+    u, v = [fp[two]], [fp[two + 1]]
+    for at, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        a, b = _star(fp[at : at + n], int(MASKS[choice[at]]))
+        u.append(a), v.append(b)
+    return np.concatenate(u), np.concatenate(v)
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among fingerprints of one partition that share a key (choice of positions, masked value)."""
-    parts: list[list[np.ndarray]] = [[] for _ in MASKS]
+    """Links among fingerprints of one partition that share a list; rows are sorted by list and fingerprint."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    count = 0
+
+    def settled(last: bool) -> Iterator[pa.RecordBatch]:
+        choice, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        if not last:  # the list that is open waits for its other members
+            key = fp & MASKS[choice]
+            done = int(np.flatnonzero((choice != choice[-1]) | (key != key[-1]))[-1]) + 1 if (choice[0] != choice[-1]) or (key[0] != key[-1]) else 0
+            held.append((choice[done:], fp[done:]))
+            choice, fp = choice[:done], fp[:done]
+        if len(fp):
+            u, v = _listed(choice, fp)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+
     for batch in batches:
-        choice, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-        for c in np.unique(choice):
-            parts[c].append(fp[choice == c])
-    for c, part in enumerate(parts):
-        if not part:
-            continue
-        mask = int(MASKS[c])
-        fp = np.concatenate(part)
-        part.clear()
-        key = fp & MASKS[c]
-        order = np.lexsort((fp, key))
-        fp, key = fp[order], key[order]
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        size = np.diff(edge)
-        two = edge[:-1][size == 2]
-        both = fp[two] ^ fp[two + 1]
-        two = two[(tally(both) >= SHARED) & (popcount(both) <= BITS)]
-        u, v = [fp[two]], [fp[two + 1]]
-        for at, n in zip(edge[:-1][size > 2], size[size > 2], strict=True):
-            a, b = _star(fp[at : at + n], mask)
-            u.append(a), v.append(b)
-        u, v = np.concatenate(u).view(np.int64), np.concatenate(v).view(np.int64)
-        if len(u):
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-
-def links(distinct: DataFrame) -> DataFrame:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
+        count += len(batch)
+        if count >= 1 << 16:
+            yield from settled(False)
+            count = 0
+    if held:
+        yield from settled(True)
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def postings(distinct: DataFrame, hot: int = HOT) -> DataFrame:
+    """Columns choice, key and fp: one row for each list that a fingerprint stands in; ``distinct`` has fp."""
+    fours = F.array(*[F.struct(F.lit(i).alias("choice"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(FOURS)])
+    made = distinct.select(F.explode(fours).alias("x"), "fp").select("x.choice", F.col("fp").bitwiseAND(F.col("x.mask")).alias("key"), "fp")
+    made = written(made, "simhash-postings")
+    crowded = written(made.groupBy("choice", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("choice", "key"), "simhash-crowded")
+    sixes = {int(m): i for i, m in enumerate(MASKS) if i >= len(FOURS)}
+    more = lambda m: [m | _mask(x) for x in combinations([p for p in range(8) if not m >> (8 * p) & 0xFF], 2)]
+    wider = F.array(*[F.array(*[F.struct(F.lit(sixes[x]).alias("choice"), F.lit(_signed(x)).alias("mask")) for x in more(m)]) for m in FOURS])
+    split = made.join(crowded, ["choice", "key"]).select(F.explode(F.get(wider, F.col("choice"))).alias("x"), "fp")
+    split = split.select("x.choice", F.col("fp").bitwiseAND(F.col("x.mask")).alias("key"), "fp")
+    return made.join(crowded, ["choice", "key"], "left_anti").unionByName(split)
+
+
+def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """Columns u and v: links that connect all fingerprints within BITS of each other; ``distinct`` has fp."""
-    masks = F.array(*[F.lit(int(m) - (1 << 64) if int(m) >> 63 else int(m)) for m in MASKS])
-    postings = distinct.select(F.posexplode(masks).alias("choice", "mask"), "fp")
-    dealt = postings.repartition("choice", F.col("fp").bitwiseAND(F.col("mask"))).select("choice", "fp")
+    listed = written(postings(distinct, hot), "simhash-lists")
+    parts = max(parallelism(distinct.sparkSession), -(-listed.count() // PART))
+    dealt = listed.repartition(parts, "choice", "key").sortWithinPartitions("choice", "key", "fp").select("choice", "fp")
     return dealt.mapInArrow(_links, "u long, v long")
 
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, fp and component_id, the least id whose fingerprint can be reached over links."""
     made = written(fingerprints(df, id_col, text_col), "fingerprints")
-    distinct = made.groupBy("fp").agg(F.min("id").alias("least"))
+    distinct = written(made.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     roots = connected_components(links(distinct), "simhash-links")
-    member = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = member.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
+    member = written(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-members")
+    linked = written(member.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-linked")
     found = written(member.join(linked, "root").select("fp", "component_id"), "simhash-components")
-    return made.join(found, "fp").select("id", "fp", "component_id")
+    return made.join(found, "fp").select("id", "fp", "component_id")  # two plain tables: a hot fingerprint can be split
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +245,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         fingerprints(df.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("h")).alias("key"), F.col(text_col).alias("text")), "key", "text"),
         "fingerprints",
     )
-    distinct = made.groupBy("fp").agg(F.min("id").alias("least"))
+    distinct = written(made.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     roots = connected_components(links(distinct), "simhash-links")
     member = distinct.join(roots, distinct.fp == roots.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
     best = member.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.*"))
