@@ -10,8 +10,12 @@ shingle in the window says where the window would have to start (positional
 bound) and end (length bound), and the document's words there are compared with
 the window's.
 
-Benchmark sides are broadcast where their rows are at most ``SMALL`` by count;
-beyond that they are shuffled, and adaptive execution splits hot shingles.
+All documents are cut once to find where shingles of the benchmark stand, which
+gives both the frequencies and the places of prefixes, and once to count words;
+those with candidates are cut once more. Benchmark sides are broadcast where
+their rows are at most ``SMALL`` by count; beyond that keys and places are
+shuffled by token, never words, and of the joins of plain tables adaptive
+execution splits hot shingles.
 Windows of equal words are one row however many items have them. Nothing is
 emitted for pairs of documents.
 
@@ -59,43 +63,57 @@ def item_windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return cut.withColumn("window", F.array_join("words", " ")).distinct()
 
 
-def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Columns k, h, start (from 0), size and window: all places of windows in documents (``docs`` as ``keyed``)."""
+def shingle_places(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """Columns k, h, at and token: where the ``wanted`` tokens stand in documents.
+
+    Hashed in a projection of its own: the explosion and the join then compile to one loop. An outer
+    explosion has no filter on its array pushed down, which would cut the text anew for each word.
+    Beside a token there are only the key and the place, so this can be shuffled by token.
+    """
+    hashed = docs.select("k", "h", words(F.col("text")).alias("words")).select("k", "h", _shingles("words", width).alias("tokens"))
+    return hashed.select("k", "h", F.posexplode_outer("tokens").alias("at", "token")).join(wanted, "token")
+
+
+def candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """Columns k, h and places (array of start, size, window): where prefixes say that windows may stand."""
     distinct = windows.select("words", "window", F.size("words").alias("size")).distinct()
-    found = None
+    spark, found = docs.sparkSession, None
     for width in range(1, SHINGLE + 1):  # windows of one or two words have shingles of as many
         own = distinct.where(F.col("size") == width if width < SHINGLE else F.col("size") >= width)
-        shingles = own.select("window", "words", "size", F.posexplode(_shingles("words", width)).alias("offset", "token")).where(F.col("offset") <= F.col("size") - width)
+        shingles = own.select("window", "size", F.posexplode(_shingles("words", width)).alias("offset", "token")).where(F.col("offset") <= F.col("size") - width)
         shingles = written(shingles, "item-shingles")
         n = shingles.count()
         if not n:
             continue
-        # hashed in a projection of its own: the explosion and the join then compile to one loop,
-        # in which a row's words are looked at only where a token matches. An outer explosion has
-        # no filter on its array pushed down, which would cut the text anew for each word
-        hashed = docs.withColumn("tokens", _shingles("words", width))
-        tokens = hashed.select("k", "h", F.posexplode_outer("tokens").alias("at", "token"))
-        frequency = tokens.join(_sized(shingles.select("token").distinct(), n), "token").groupBy("token").agg(F.count("*").alias("n"))
+        places = written(shingle_places(docs, _sized(shingles.select("token").distinct(), n), width), "shingle-places")
+        frequency = places.groupBy("token").agg(F.count("*").alias("n"))
         ranked = shingles.join(F.broadcast(frequency) if n <= SMALL else frequency, "token", "left")
         prefix = ranked.groupBy("window", "size").agg(F.min_by(F.struct("token", "offset"), F.struct(F.coalesce("n", F.lit(0)), "offset")).alias("p"))
         prefix = written(prefix.select("window", "size", "p.token", "p.offset"), "item-prefixes")
-        tokens = hashed.select("k", "h", "words", F.posexplode_outer("tokens").alias("at", "token"))
         start = F.col("at") - F.col("offset")
-        place = tokens.join(_sized(prefix, prefix.count()), "token").where((start >= 0) & (start + F.col("size") <= F.size("words")))
-        place = place.where(F.array_join(F.slice("words", start + 1, F.col("size")), " ") == F.col("window"))
-        part = place.select("k", "h", start.alias("start"), "size", "window")
+        part = places.join(_sized(prefix, prefix.count()), "token").where(start >= 0).select("k", "h", start.alias("start"), "size", "window")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        spark = docs.sparkSession
-        return spark.createDataFrame([], "k long, h long, start int, size int, window string")
-    return written(found.distinct(), "window-places")
+        return spark.createDataFrame([], "k long, h long, places array<struct<start: int, size: int, window: string>>")
+    return found.groupBy("k", "h").agg(F.collect_set(F.struct("start", "size", "window")).alias("places"))
+
+
+def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """Columns k, h, start (from 0), size and window: all places of windows in documents (``docs`` as ``keyed``).
+
+    Only documents with candidates are read again and cut, one row a document with all its candidates.
+    """
+    near = written(candidates(docs, windows), "window-candidates")
+    cut = docs.select("k", "h", "text").join(_sized(near, near.count()), ["k", "h"]).select("k", "h", words(F.col("text")).alias("words"), "places")
+    stands = lambda p: (p["start"] + p["size"] <= F.size("words")) & (F.array_join(F.slice("words", p["start"] + 1, p["size"]), " ") == p["window"])
+    return written(cut.select("k", "h", F.explode(F.filter("places", stands)).alias("p")).select("k", "h", "p.*").distinct(), "window-places")
 
 
 def contamination(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text: str = "text") -> DataFrame:
     """Columns k, h, id, n_words, n_hit (words inside any window), items (sorted item ids) and contaminated, one row a document."""
     docs = keyed(df, id_col, text_col)
     windows = written(item_windows(bench, item_col, bench_text), "item-windows")
-    places = hits(docs.select("k", "h", words(F.col("text")).alias("words")), windows)
+    places = hits(docs, windows)
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["start"], p["start"] + p["size"] - 1)))))
     per = places.groupBy("k", "h").agg(F.collect_set(F.struct("start", "size")).alias("places")).select("k", "h", covered.cast("long").alias("hit"))
     items = places.select("k", "h", "window").distinct().join(windows.where("item is not null").select("window", "item"), "window")

@@ -84,3 +84,23 @@ def test_empty(spark, tables):
     docs = spark.createDataFrame(tables[0], "doc_id long, text string")
     assert D.contamination(none, empty).collect() == []
     assert all(r.n_hit == 0 and not r.contaminated for r in D.contamination(docs, empty).collect())
+
+
+def test_no_words_beside_tokens(spark, tables):
+    """Where tokens are shuffled, rows hold a key, a place and a token; texts and words stay where they are."""
+    from loomtab.llm.tables import keyed
+
+    docs = keyed(spark.createDataFrame(tables[0], "doc_id long, text string"), "doc_id", "text")
+    wanted = spark.createDataFrame([(i,) for i in range(10)], "token long").hint("merge")
+    plan = D.shingle_places(docs, wanted, 3)._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(x for x in plan.split("\n") if "Generate posexplode" in x)
+    assert "words" not in generate and "text" not in generate
+    assert D.shingle_places(docs, wanted, 3).columns == ["token", "k", "h", "at"]
+
+
+def test_a_long_text_and_one_window_many_times(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(1, " ".join(f"w{i % 997}" for i in range(30_000)) + " " + item), (2, f"{item} . " * 2000), (3, item.replace("ten", "TEN"))]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("a", item)], "item_id string, text string")
+    got = sorted((r.id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in D.contamination(docs, items).collect())
+    assert got == [(1, 30_013, 13, ["a"], False), (2, 26_000, 26_000, ["a"], True), (3, 13, 13, ["a"], True)]
