@@ -16,8 +16,11 @@ from a sparse table over the scanned batch and a carried minimum a symbol. They
 are capped at ``CAP``.
 
 The LMS suffixes themselves are sorted by naming the LMS substrings, which a
-first induction sorts, and recursing on the string of names. A string of at
-most ``base`` names is sorted in memory by prefix doubling.
+first induction sorts, and recursing on the string of names. A string of at most
+``base`` names is sorted by prefix doubling, as in a queue for each of so many
+symbols there are a tuple or two; beyond that it is sorted like the text. Types
+and numbers of positions are arrays in files once they outgrow an eighth of
+``memory``, as the text may be.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ import numpy as np
 
 CAP = 255
 _CHUNK = 1 << 20
+NAMES = 1 << 22  # names that prefix doubling sorts in memory, at some 48 bytes each
 
 
 def _kind(n: int) -> np.dtype:
@@ -41,8 +45,17 @@ def _tuple(n: int) -> np.dtype:
     return np.dtype([("at", _kind(n)), ("common", "u1")])
 
 
+def scratch() -> str:
+    """Where Spark itself spills: its local folders, which it clears when a worker goes."""
+    folders = os.environ.get("SPARK_LOCAL_DIRS") or tempfile.gettempdir()
+    return min(folders.split(","), key=lambda f: hash((f, os.getpid())))
+
+
 class Store:
-    """Queues of tuples that share a bound on memory; the rest is in files of a folder of this task."""
+    """Queues of tuples and arrays that share a bound on memory; the rest is in files of a folder of this task."""
+
+    #: Bytes that this worker has put into files so far, for tests and figures.
+    spilled = 0
 
     def __init__(self, memory: int, size: int):
         self.tuple = _tuple(size)
@@ -55,10 +68,18 @@ class Store:
 
     def path(self) -> str:
         if self.folder is None:
-            self.folder = tempfile.mkdtemp(prefix="induced-")
+            self.folder = tempfile.mkdtemp(prefix="induced-", dir=scratch())
         self.files += 1
         return os.path.join(self.folder, str(self.files))
 
+    def array(self, n: int, kind) -> np.ndarray:
+        """An array of n zeros; in a file, of which the system holds what it has room for, if it is over an eighth of the bound."""
+        size = n * np.dtype(kind).itemsize
+        if size <= self.memory // 8:
+            return np.zeros(n, kind)
+        Store.spilled += size
+        return np.memmap(self.path(), kind, "w+", shape=(n,))
+
     def spill(self) -> None:
         for q in sorted(self.queues, key=lambda q: -q.held):
             if self.used <= self.memory // 2 or not q.held:
@@ -95,6 +116,7 @@ class Queue:
             for part in self.parts:
                 part.tofile(f)
                 self.written += len(part)
+                Store.spilled += part.nbytes
         self._let_go()
 
     def _let_go(self) -> None:
@@ -198,17 +220,32 @@ class _Scan:
             self.queues[s].put(at[source[a:b]] - 1, value[a:b])
 
 
-def types(text: np.ndarray) -> np.ndarray:
-    """Whether each suffix is S-type; the last one is."""
-    out = np.append(text[:-1] < text[1:], True)
-    equal = np.flatnonzero(text[:-1] == text[1:])
-    if len(equal):  # a run takes the type of its last position
-        last = np.append(np.diff(equal) != 1, True)
-        ends = equal[last] + 1
-        out[equal] = out[np.repeat(ends, np.diff(np.flatnonzero(last), prepend=-1))]
+def types(text: np.ndarray, out: np.ndarray | None = None, chunk: int = _CHUNK) -> np.ndarray:
+    """Whether each suffix is S-type; the last one is. From the end on, a chunk at a time."""
+    n = len(text)
+    out = np.empty(n, bool) if out is None else out
+    out[n - 1] = True
+    for stop in range(n - 1, 0, -chunk):
+        start = max(stop - chunk, 0)
+        part = np.asarray(text[start : stop + 1])
+        own = np.append(part[:-1] < part[1:], bool(out[stop]))
+        equal = np.flatnonzero(part[:-1] == part[1:])
+        if len(equal):  # a run takes the type of its last position
+            last = np.append(np.diff(equal) != 1, True)
+            own[equal] = own[np.repeat(equal[last] + 1, np.diff(np.flatnonzero(last), prepend=-1))]
+        out[start:stop] = own[:-1]
     return out
 
 
+def leftmost(s: np.ndarray, kind, chunk: int = _CHUNK) -> np.ndarray:
+    """Positions of S-type suffixes whose predecessor is L-type."""
+    parts = []
+    for a in range(1, len(s), chunk):
+        b = min(a + chunk, len(s))
+        parts.append((np.flatnonzero(np.asarray(s[a:b]) & ~np.asarray(s[a - 1 : b - 1])) + a).astype(kind))
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
 def _run(text: np.ndarray, i: int) -> int:
     """Equal symbols from position i on, up to CAP."""
     part = text[i : i + CAP]
@@ -334,9 +371,11 @@ def _common_of_neighbours(text: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def sort_lms(text: np.ndarray, symbols: int, memory: int, base: int, depth: int | None) -> tuple[np.ndarray, np.ndarray]:
     """LMS positions in the order of their suffixes, and common prefixes of neighbours."""
-    s = types(text)
-    lms = (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(_kind(len(text)))
-    del s
+    store = Store(memory, len(text))
+    try:
+        lms = leftmost(types(text, store.array(len(text), bool)), _kind(len(text)))
+    finally:
+        store.close()
     if len(lms) <= 1:
         return lms, np.zeros(len(lms), np.uint8)
     sizes = np.append(np.diff(lms) + 1, 1)
@@ -345,11 +384,11 @@ def sort_lms(text: np.ndarray, symbols: int, memory: int, base: int, depth: int
     try:
         order = np.argsort(text[lms], kind="stable")
         _, small = induce(text, symbols, lms[order], np.zeros(len(lms), np.uint8), store)
-        number = np.full(len(text), -1, _kind(len(lms)))
-        number[lms] = np.arange(len(lms))
+        number = store.array(len(text), _kind(len(lms) + 1))  # of LMS positions from 1 on
+        number[lms] = np.arange(1, len(lms) + 1)
         found = []
         for queue in small:
-            own = [x[x >= 0] for x in (number[part["at"]] for part in queue.backwards())]
+            own = [x[x > 0] - number.dtype.type(1) for x in (np.asarray(number[part["at"]]) for part in queue.backwards())]
             found += own
         last = np.array([len(lms) - 1], number.dtype)  # nothing induces the last position
         ranked = np.concatenate([last, *found])
@@ -373,13 +412,13 @@ def sort_lms(text: np.ndarray, symbols: int, memory: int, base: int, depth: int
     return lms, _common_of_neighbours(text, lms)
 
 
-def suffix_array(text: np.ndarray, symbols: int, memory: int = 256 << 20, base: int = 1 << 24, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(text: np.ndarray, symbols: int, memory: int = 256 << 20, base: int = NAMES, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions in suffix order and the common prefix with the one before, as arrays (for tests and recursion)."""
     parts = list(sorted_suffixes(text, symbols, memory, base, depth))
     return np.concatenate([p["at"] for p in parts]), np.concatenate([p["common"] for p in parts])
 
 
-def sorted_suffixes(text: np.ndarray, symbols: int, memory: int = 256 << 20, base: int = 1 << 24, depth: int | None = None):
+def sorted_suffixes(text: np.ndarray, symbols: int, memory: int = 256 << 20, base: int = NAMES, depth: int | None = None):
     """Chunks of (position, common prefix with the one before) in suffix order.
 
     ``text`` holds symbols below ``symbols`` and ends with a 0 that is its one

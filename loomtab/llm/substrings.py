@@ -25,6 +25,7 @@ ids come first. Matches never cross documents.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -33,13 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import BASE_INV, Block, blocks, mix, powers, prefix_hash, window_hash
+from .blocks import BASE_INV, Block, blocks, mix, powers, prefix_hash, text_arrays, window_hash
 from .bpe import binary
-from .induced import sorted_suffixes
+from .induced import NAMES, Store, scratch, sorted_suffixes
 from .tables import bounded_batches, keyed, parallelism, table, written
 
 LENGTH, K = 100, 24
-MEMORY = 192 << 20
+MEMORY = 24 << 20  # bytes of queues and arrays that a shard's task holds before it uses files
+PART, SHARD = 64 << 20, 4 << 20  # bytes of fingerprints, and of segments, that a partition is to have
 HOT, STEP = 256, 8
 _FLUSH = 400_000  # segments that a task holds before it hands them on
 _ENTRY = np.dtype([("fp", "<u8"), ("seg", "<u8"), ("seg2", "<u8"), ("k", "<i8"), ("h", "<i8"), ("start", "<i8"), ("n", "<u4")])
@@ -223,84 +225,105 @@ def _by_context(raw: pa.Buffer, fp: int, a: int, b: int) -> list[tuple[int, int,
     return out
 
 
-def later_starts(texts: list[bytes], order: np.ndarray, length: int = LENGTH, memory: int = MEMORY, base: int = 1 << 24) -> list[np.ndarray]:
-    """For each text, the starts of its strings of ``length`` bytes that occur earlier too.
+def later_starts(data: np.ndarray, ends: np.ndarray, rank: np.ndarray, length: int = LENGTH, memory: int = MEMORY, base: int = NAMES) -> Iterator[np.ndarray]:
+    """Positions in ``data``, in order and a chunk at a time, of strings of ``length`` bytes that occur earlier too.
 
-    Earlier: in a text of smaller ``order``, or earlier in the same text.
+    ``data`` holds texts one after another, as bytes plus one, each ended by a 0 at
+    ``ends``. Earlier: in a text of smaller ``rank``, or earlier in the same text; texts
+    of equal rank are copies. What grows with ``data`` is in files beyond ``memory``.
     """
-    sizes = np.array([len(t) for t in texts], np.int64)
-    raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-    ends = np.cumsum(sizes + 1) - 1
-    data = raw + np.uint8(1)  # UTF-8 has no byte 255, so 0 is free to end texts
-    data[ends] = 0
-    rank = np.empty(len(texts), np.int64)
-    rank[np.argsort(order, kind="stable")] = np.arange(len(texts))
-    later: list[np.ndarray] = []
-    best = group = None  # of the group that is open between chunks: least (rank, start), and its members so far
-    waiting: list[np.ndarray] = []
-
-    def close() -> None:
-        nonlocal waiting
-        if waiting and sum(map(len, waiting)) > 1:
-            every = np.concatenate(waiting)
-            later.append(every[every != every.min()])
-        waiting = []
-
-    shift = int(ends[-1] + 1).bit_length()
-    for part in sorted_suffixes(data, 256, memory, base, depth=length):
-        at = part["at"].astype(np.int64)
-        doc = np.searchsorted(ends, at)
-        value = rank[doc] << shift | at
-        joins = part["common"] >= length
-        # lone strings, the bulk, drop out; groups of two or more stay whole
-        head = np.flatnonzero(~joins)
-        if len(head) == 0:
-            waiting.append(value)
-            continue
-        if head[0]:
-            waiting.append(value[: head[0]])
+    begins = np.concatenate(([0], ends[:-1] + 1))
+    shift = int(np.diff(ends, prepend=-1).max()).bit_length()
+    store = Store(memory, len(data))
+    try:
+        later = store.array(len(data), bool)
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []  # of the group that is open between chunks
+
+        def close() -> None:
+            if sum(len(at) for at, _ in waiting) > 1:
+                at, value = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                later[at[value != value.min()]] = True
+            waiting.clear()
+
+        for part in sorted_suffixes(data, 256, memory, base, depth=length):
+            at = part["at"].astype(np.int64)
+            doc = np.searchsorted(ends, at)
+            value = rank[doc] << shift | at - begins[doc]
+            head = np.flatnonzero(part["common"] < length)
+            if len(head) == 0:
+                waiting.append((at, value))
+                continue
+            if head[0]:
+                waiting.append((at[: head[0]], value[: head[0]]))
+            close()
+            if len(head) > 1:  # lone strings, the bulk, drop out; groups of two or more stay whole
+                inner = slice(head[0], head[-1])
+                size = np.diff(head)
+                mine = np.repeat(np.minimum.reduceat(value[: head[-1]], head[:-1]), size)
+                later[at[inner][(value[inner] != mine) & np.repeat(size > 1, size)]] = True
+            waiting.append((at[head[-1] :], value[head[-1] :]))
         close()
-        stop = np.append(head[1:], len(at))
-        if len(head) > 1:
-            size = stop[:-1] - head[:-1]
-            inner = slice(head[0], head[-1])
-            least = np.minimum.reduceat(value[: head[-1]], head[:-1])
-            mine = np.repeat(least, size)
-            v = value[inner]
-            later.append(v[(v != mine) & np.repeat(size > 1, size)])
-        waiting = [value[head[-1] :]]
-    close()
-    at = np.sort(np.concatenate(later) & ((1 << shift) - 1)) if later else np.zeros(0, np.int64)
-    at = at[at + length <= ends[np.searchsorted(ends, at)]]  # what agrees across the end of a text is no string of it
-    cut = np.searchsorted(at, np.concatenate(([0], ends + 1)))
-    begins = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
-    return [at[cut[i] : cut[i + 1]] - begins[i] for i in range(len(texts))]
+        for a in range(0, len(data), 1 << 20):
+            at = np.flatnonzero(later[a : a + (1 << 20)]) + a
+            # what agrees across the end of a text is no string of it
+            yield at[at + length <= ends[np.searchsorted(ends, at)]]
+    finally:
+        store.close()
+
+
+class _Shard:
+    """Texts of one partition as they come, one after another; in a file beyond the bound."""
+
+    def __init__(self, memory: int):
+        self.memory, self.held, self.file, self.sizes, self.size = memory, [], None, [], 0
+
+    def add(self, column: pa.Array) -> None:
+        data, at = text_arrays(column)
+        sizes = np.diff(at)
+        out = np.zeros(len(data) + len(sizes), np.uint8)
+        # UTF-8 has no byte 255, so bytes go up by one and 0 is free to end texts
+        out[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data + np.uint8(1)
+        self.sizes.append(sizes)
+        self.size += len(out)
+        self.held.append(out)
+        if self.file is None and self.size > self.memory // 8:
+            self.file = tempfile.TemporaryFile(prefix="shard-", dir=scratch())
+        if self.file is not None:
+            for part in self.held:
+                part.tofile(self.file)
+            self.held.clear()
+
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        """All bytes and where texts end."""
+        ends = np.cumsum(np.concatenate(self.sizes) + 1) - 1
+        if self.file is None:
+            return np.concatenate(self.held), ends
+        self.file.flush()
+        return np.memmap(self.file, np.uint8, "r", shape=(self.size,)), ends
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One partition is a shard: strings of its segments that occur earlier, as stretches of bytes."""
-    k, h, start, texts = [], [], [], []
+    keys, shard = [], _Shard(MEMORY)
     for batch in batches:
-        for out, i in ((k, 1), (h, 2), (start, 3)):
-            out.append(batch.column(i).to_numpy())
-        texts += batch.column(4).to_pylist()
-    if not texts:
+        if len(batch):
+            keys.append(np.stack([batch.column(i).to_numpy() for i in (1, 2, 3)]))
+            shard.add(batch.column(4))
+    if not keys:
         return
-    k, h, start = map(np.concatenate, (k, h, start))
-    _, one = np.unique(np.rec.fromarrays((k, h, start)), return_index=True)  # repeated rows are one document
-    k, h, start, texts = k[one], h[one], start[one], [texts[i] for i in one]
-    order = np.empty(len(texts), np.int64)
-    order[np.lexsort((start, h, k))] = np.arange(len(texts))
-    found = []
-    for i, at in enumerate(later_starts(texts, order)):
-        if len(at):
-            run = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1] + 1)))
-            rows = np.zeros(len(run), _ENTRY)
-            rows["k"], rows["h"], rows["start"] = k[i], h[i], start[i] + at[run]
-            rows["n"] = at[np.append(run[1:], len(at)) - 1] - at[run] + LENGTH
-            found.append(rows)
-    if found:
-        rows = _merge(np.concatenate(found))
+    k, h, start = np.concatenate(keys, axis=1)
+    _, rank = np.unique(np.rec.fromarrays((k, h, start)), return_inverse=True)  # of repeated rows all have one rank
+    data, ends = shard.done()
+    for at in later_starts(data, ends, rank):
+        if not len(at):
+            continue
+        doc = np.searchsorted(ends, at)
+        run = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]))))
+        last, doc = at[np.append(run[1:], len(at)) - 1], doc[run]
+        rows = np.zeros(len(run), _ENTRY)
+        rows["k"], rows["h"] = k[doc], h[doc]
+        rows["start"], rows["n"] = start[doc] + at[run] - (ends[doc] - np.concatenate(shard.sizes)[doc]), last - at[run] + LENGTH
+        rows = _merge(rows)
         yield _rows(rows, np.zeros(len(rows), np.int64))
 
 
@@ -336,14 +359,16 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id, n_bytes, spans (removed runs of bytes: array of start, stop) and kept (binary: the bytes left)."""
     bounded_batches(df.sparkSession)
-    parts = 4 * parallelism(df.sparkSession)
     docs = keyed(df, id_col, text_col).withColumn("text", F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(4 * parallelism(df.sparkSession), size // PART)  # entries are about as many bytes as the texts
     prints = docs.select("k", "h", "text").mapInArrow(_fingerprints(parts), "bucket int, settled boolean, cells binary")
-    found = written(prints.repartition("bucket").mapInArrow(_repeated, _RESULT), "repeats")
+    found = written(prints.repartition(parts, "bucket").mapInArrow(_repeated, _RESULT), "repeats")
     wanted = found.where("fp <> 0").groupBy("k", "h").agg(F.collect_list(F.struct("start", "stop", "fp")).alias("found")).hint("shuffle_hash")
     once = docs.select("k", "h", "text")
     cut = once.join(wanted, ["k", "h"]).mapInArrow(_cut, _CUT)
-    compared = cut.repartition("key").mapInArrow(_compared, _RESULT)
+    size = found.where("fp <> 0").agg(F.sum(F.col("stop") - F.col("start"))).first()[0] or 0
+    compared = cut.repartition(max(parallelism(df.sparkSession), size // SHARD), "key").mapInArrow(_compared, _RESULT)
     removed = found.where("fp = 0").unionByName(written(compared, "compared"))
     spans = removed.groupBy("k", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).hint("shuffle_hash")
     rows = docs.join(spans, ["k", "h"], "left").select("id", "text", "spans")

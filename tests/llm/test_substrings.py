@@ -76,16 +76,68 @@ def test_equal_strings_have_equal_minimizers(rows):
                 assert seen.setdefault(raw[p : p + S.LENGTH], (m - p, f)) == (m - p, f)
 
 
+def _later(texts, rank, length, memory, base):
+    """Starts of later strings by text, as the shard of one task finds them."""
+    shard = S._Shard(memory)
+    for i in range(0, len(texts), 7):
+        shard.add(pa.array(texts[i : i + 7], pa.binary()))
+    data, ends = shard.done()
+    at = np.concatenate(list(S.later_starts(data, ends, np.array(rank), length, memory, base)))
+    doc = np.searchsorted(ends, at)
+    return [(at[doc == i] - (ends[i] - len(t))).tolist() for i, t in enumerate(texts)]
+
+
 @pytest.mark.parametrize("memory", [300, 1 << 20])
 def test_later_starts_in_a_shard(rows, memory):
     texts = sorted({(t or "").encode() for _, t in rows if t and len(t) < 1500})
-    order = np.arange(len(texts))
     r = random.Random(1)
     r.shuffle(texts)
     want = _brute(list(enumerate(texts)), 40)
-    for got, i in zip(S.later_starts(texts, order, 40, memory, base=100), range(len(texts)), strict=True):
+    for got, i in zip(_later(texts, range(len(texts)), 40, memory, 100), range(len(texts)), strict=True):
         text, gone = want[i][0]
-        assert {q for p in got.tolist() for q in range(p, p + 40)} == gone
+        assert {q for p in got for q in range(p, p + 40)} == gone
+    twice = _later(texts + texts[:5], [*range(len(texts)), *range(5)], 40, memory, 100)
+    assert twice[: len(texts)] == _later(texts, range(len(texts)), 40, memory, 100) and twice[len(texts) :] == twice[:5]
+
+
+def test_a_shard_of_many_times_the_memory(tmp_path, monkeypatch):
+    """Text, types, numbers, queues and flags are in files; names are sorted by recursion; nothing stays."""
+    from loomtab.llm import induced as I
+
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", str(tmp_path))
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(400)]
+    passage = " ".join(r.choice(words) for _ in range(40)).encode()
+    texts = [" ".join(r.choice(words) for _ in range(1500)).encode() + passage * (i % 3) for i in range(25)]
+    memory, before, recursions = 1 << 14, I.Store.spilled, []
+    deeper = I.suffix_array
+    monkeypatch.setattr(I, "suffix_array", lambda *a: (recursions.append(len(a[0])), deeper(*a))[1])
+    got = _later(texts, range(len(texts)), 100, memory, 64)
+    total = sum(map(len, texts))
+    assert total > 10 * memory and I.Store.spilled - before > 10 * total and len(recursions) >= 2
+    want = _brute(list(enumerate(texts)), 100)
+    for i, starts in enumerate(got):
+        assert {q for p in starts for q in range(p, p + 100)} == want[i][0][1]
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_queues_spill_in_a_query(spark, rows, monkeypatch):
+    """Tasks of the operator itself use files where their bound is small, with the same result."""
+    from loomtab.llm import induced as I
+
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = sorted((r.id, r.spans) for r in S.remove_repeats(frame).collect())
+    column = pa.array([t.encode() for _, t in rows if t], pa.binary())
+    n = len(column)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n)), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int64)), column], ["key", "k", "h", "start", "bytes"])
+    found = []
+    for memory in (1 << 24, 1 << 12):
+        monkeypatch.setattr(S, "MEMORY", memory)
+        monkeypatch.setattr(S.later_starts, "__defaults__", (S.LENGTH, memory, 64))
+        before = I.Store.spilled
+        found.append([b.to_pydict() for b in S._compared(iter([batch]))])
+        assert (I.Store.spilled > before) == (memory < 1 << 20)
+    assert found[0] == found[1] and want
 
 
 def test_hot_minimizers_are_dealt_by_context(rows):
