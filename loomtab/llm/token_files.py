@@ -9,12 +9,14 @@ contraction) goes to the tokenizer whole. What a task remembers is dropped at
 ``REMEMBERED`` pieces, which changes no result.
 
 Files: ids, with the end id after each document, are put in ascending id order
-by a range exchange, and each partition is a shard: one Parquet file whose
-rows are blocks of whole documents, a wavelet matrix each (bit-planes, rank
-directory, zeros of each plane) with the documents' ids and token counts.
-Spark's commit protocol writes the files, so lost tasks leave none behind.
-``ids_of`` reads them back; ``WaveletMatrix`` answers access, rank and select
-from one block. Blocks hold ``BLOCK`` tokens, or one longer document.
+by a range exchange, and each partition is a shard: one Parquet file that holds
+a wavelet matrix (bit-planes, rank directory, zeros of each plane) over all its
+tokens, with the documents' ids and token counts. There are as many shards as
+``SHARD`` bytes of text ask for; one that outgrows ``BLOCK`` tokens, as many equal
+rows would make it, goes on in a further matrix in the same file. Spark's commit
+protocol writes the files, so lost tasks leave none behind. ``ids_of`` reads them
+back; ``tokens_at`` (access), ``counts_of`` (rank) and ``occurrences_of`` (select)
+answer from the packed planes over all shards, by global position.
 
 Rows: null and empty texts have the end id only; null ids come first; rows
 that repeat an id stand side by side in order of their texts' length and hash.
@@ -43,7 +45,8 @@ from .wavelet import WaveletMatrix
 
 VOCABULARY, END = "word_bpe_49k.json", 1
 REMEMBERED = 250_000
-BLOCK = 1 << 18
+SHARD = 8 << 20  # bytes of text that a shard is to have
+BLOCK = 1 << 22
 _SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
 #: First bytes of characters up to U+01FF; anything above is left to the tokenizer.
 _LAST_LEAD = 0xC7
@@ -183,7 +186,10 @@ def in_order(df: DataFrame, shards: int | None = None, id_col: str = "doc_id", t
     """
     order = [F.col(id_col), F.octet_length(text_col), F.xxhash64(text_col)]
     rows = df.select(id_col, text_col)
-    return rows.repartitionByRange(shards or parallelism(df.sparkSession), *order).sortWithinPartitions(*order)
+    if shards is None:
+        size = rows.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+        shards = max(parallelism(df.sparkSession), -(-size // SHARD))
+    return rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
 
 
 def write_shards(encoded: DataFrame, directory: str, most: int = BLOCK) -> None:
@@ -237,28 +243,87 @@ def read_shards(spark: SparkSession, directory: str) -> DataFrame:
     return found.join(F.broadcast(offsets), "shard").withColumn("start", F.col("offset") + F.col("first")).drop("offset")
 
 
+def _matrices(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[dict, WaveletMatrix]]:
+    """The blocks of a partition one at a time: the row without its planes, and the matrix."""
+    for batch in batches:
+        for i in range(len(batch)):
+            row = {name: batch.column(name)[i].as_py() for name in names}
+            yield row, matrix({name: batch.column(name)[i].as_py() for name in ("n", "bits", "ranks", "zeros")})
+
+
 def ids_of(blocks_: DataFrame) -> DataFrame:
-    """Columns id, start, n_tokens and ids (binary: little-endian unsigned 32-bit) of each document in the files."""
+    """Columns id, start, n_tokens and ids (binary: little-endian unsigned 32-bit) of each document in the files.
+
+    Beside them, from the planes: first_id (access), n_before (occurrences of that id before the document in its
+    matrix) and previous (global position of the last of these, null for none).
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
-                edges = np.concatenate(([0], np.cumsum(row["doc_tokens"])))
-                ids = matrix(row).decode().astype("<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + edges[:-1]), pa.array(np.diff(edges)), binary(ids, edges)],
-                    ["id", "start", "n_tokens", "ids"],
-                )
+        for row, m in _matrices(batches, ["start", "doc_ids", "doc_tokens"]):
+            edges = np.concatenate(([0], np.cumsum(row["doc_tokens"])))
+            at = edges[:-1]
+            some = np.flatnonzero(np.diff(edges) > 0)
+            first, before, previous = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            first[some] = m.accesses(at[some])
+            before[some] = m.ranks_of(first[some], at[some])
+            again = np.flatnonzero(before > 0)
+            previous[again] = m.selects(first[again], before[again] - 1) + row["start"]
+            none = np.diff(edges) == 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + at), pa.array(np.diff(edges)), binary(m.decode().astype("<u4"), edges),
+                 pa.array(first, mask=none), pa.array(before, mask=none), pa.array(previous, mask=before == 0)],
+                ["id", "start", "n_tokens", "ids", "first_id", "n_before", "previous"],
+            )
+
+    return blocks_.mapInArrow(task, "id long, start long, n_tokens long, ids binary, first_id long, n_before long, previous long")
+
+
+def tokens_at(blocks_: DataFrame, positions: DataFrame) -> DataFrame:
+    """Columns position and token of the distinct global ``positions`` (column position) that exist: access.
+
+    A block gets the positions that fall into it, as one array; the ranges of blocks, a few numbers each, are broadcast.
+    """
+    ranges = blocks_.select("start", "n")
+    own = positions.where("position is not null").select(F.col("position").cast("long").alias("position")).distinct()
+    own = own.join(F.broadcast(ranges), (F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + F.col("n")))
+    asked = own.groupBy("start").agg(F.collect_list("position").alias("positions"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, m in _matrices(batches, ["start", "positions"]):
+            at = np.array(row["positions"], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m.accesses(at - row["start"]))], ["position", "token"])
+
+    return blocks_.where("n > 0").join(asked, "start").mapInArrow(task, "position long, token long")
+
+
+def counts_of(blocks_: DataFrame, tokens: list[int]) -> DataFrame:
+    """Columns token and n: how often each of a few tokens occurs in all shards, from the planes: rank."""
+    wanted = sorted(set(tokens))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, m in _matrices(batches, []):
+            yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int64()), pa.array(m.ranks_of(wanted, np.full(len(wanted), m.n)))], ["token", "n"])
+
+    return blocks_.mapInArrow(task, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def occurrences_of(blocks_: DataFrame, tokens: list[int]) -> DataFrame:
+    """Columns token and position (global) of all occurrences of a few tokens, from the planes: select."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, m in _matrices(batches, ["start"]):
+            for token in sorted(set(tokens)):
+                at = m.occurrences(token) + row["start"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), token)), pa.array(at)], ["token", "position"])
 
-    return blocks_.mapInArrow(task, "id long, start long, n_tokens long, ids binary")
+    return blocks_.mapInArrow(task, "token long, position long")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     directory = f"{shared_dir(spark)}/loomtab-tokens-{uuid.uuid4().hex}"
     write_shards(encode(in_order(table(spark, sf_dir, "documents")), public_tokenizers.path(VOCABULARY)), directory)
     found = ids_of(read_shards(spark, directory))
-    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "first_id", "n_before", "previous")
 
 
 QUERIES = {"op9_token_files": op9_token_files}

@@ -49,6 +49,18 @@ def test_files_hold_all_ids_in_order(spark, docs, awkward, library, tmp_path):
     assert [(r.id, r.n_tokens, list(memoryview(bytes(r.ids)).cast("I"))) for r in got] == want
     assert [r.start for r in got] == np.cumsum([0, *(w[1] for w in want)])[:-1].tolist()
     assert back.count() > 6
+    flat = [x for w in want for x in w[2]]
+    starts = dict(zip((r.start for r in back.collect()), (r.n for r in back.collect())))
+    for r in got:  # what the planes say of each document's first token
+        block = max(s for s in starts if s <= r.start)
+        before = [i for i in range(block, r.start) if flat[i] == r.first_id]
+        assert (r.first_id, r.n_before, r.previous) == (flat[r.start], len(before), before[-1] if before else None)
+    asked = [0, 5, len(flat) - 1, len(flat), -1, 5, None, 700]
+    seen = T.tokens_at(back, spark.createDataFrame([(x,) for x in asked], "position long")).collect()
+    assert sorted(map(tuple, seen)) == [(x, flat[x]) for x in (0, 5, 700, len(flat) - 1)]
+    tokens = [1, flat[0], flat[7], 48_000, 10**6]
+    assert sorted(map(tuple, T.counts_of(back, tokens).collect())) == sorted((x, flat.count(x)) for x in set(tokens))
+    assert sorted(map(tuple, T.occurrences_of(back, tokens).collect())) == sorted((x, i) for x in set(tokens) for i, y in enumerate(flat) if x == y)
     row = max(back.collect(), key=lambda b: b.n).asDict()
     m, ids = T.matrix(row), T.matrix(row).decode()
     for i in (0, len(ids) // 2, len(ids) - 1):
@@ -76,6 +88,9 @@ def test_wavelet_matrix(n):
             with pytest.raises(IndexError):
                 m.select(v, len(at))
         assert all(m.access(i) == ids[i] for i in range(0, n, max(1, n // 50)))
+        assert (m.accesses(np.arange(n)) == ids).all()
+        for v in {*ids[:5].tolist()}:
+            assert (m.occurrences(v) == np.flatnonzero(ids == v)).all()
 
 
 def test_small_blocks_and_memory(spark, awkward, library, monkeypatch):
@@ -86,7 +101,9 @@ def test_small_blocks_and_memory(spark, awkward, library, monkeypatch):
 def test_empty(spark, tmp_path):
     where = f"file://{tmp_path}/none"
     T.write_shards(T.encode(T.in_order(spark.createDataFrame([], "doc_id long, text string")), PATH), where)
-    assert T.ids_of(T.read_shards(spark, where)).collect() == []
+    back = T.read_shards(spark, where)
+    assert T.ids_of(back).collect() == T.counts_of(back, [1]).collect() == T.occurrences_of(back, [1]).collect() == []
+    assert T.tokens_at(back, spark.createDataFrame([(0,)], "position long")).collect() == []
 
 
 def test_pieces_of_equal_hash_have_their_own_ids(spark, library, tmp_path):
