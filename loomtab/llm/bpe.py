@@ -6,14 +6,15 @@ rank is merged until no pair has a rank. Inside a task the distinct pieces
 that are new go into matrices by length (rows padded to the bucket's width),
 and in each round every row that still has a ranked pair merges one, so all
 live rows lose one column together; finished rows leave the matrix. Ranks of
-pairs come from an open-addressed hash table. Pieces of over ``LONG`` bytes
-would make a matrix quadratic; they are merged with a heap over a linked list,
-in the same order.
+pairs come from an open-addressed hash table. Matrices have at most ``_CELLS``
+cells. A row of over ``LONG`` bytes would take as many rounds as it has bytes, each
+over all of it; such pieces merge the same pairs in the same order, leftmost of
+least rank first, from a heap over a linked list.
 
 What a task remembers of pieces is dropped at ``REMEMBERED`` entries: that
 bounds memory and changes no result. The pattern library and the tokenizer's
-library know different versions of Unicode; a text with a letter or digit that
-only one of them knows is encoded by the latter as a whole. Rows: null and empty texts have no ids;
+know different versions of Unicode; letters and digits that are new to the
+latter are cut as it cuts them, as neither. Rows: null and empty texts have no ids;
 texts are never cut; repeated rows are encoded each; lone surrogates cannot
 occur in Spark's strings. Other columns are not read.
 """
@@ -38,9 +39,10 @@ from .blocks import blocks, mix
 from .tables import bounded_batches, table
 
 NONE = np.uint32(0xFFFFFFFF)
-LONG = 192
+LONG = 512
 REMEMBERED = 200_000
-_ROWS = 1 << 15  # rows of a matrix
+_CELLS = 1 << 20  # of a matrix
+_OTHER = "\u00a4"  # neither letter nor digit nor white space, in any Unicode
 TEXT_BYTES = 1 << 19  # texts whose new pieces are encoded together
 
 
@@ -96,7 +98,7 @@ class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pattern = pattern
-        self.split = regex.compile(pattern).findall
+        self.split, self.places = regex.compile(pattern).findall, regex.compile(pattern).finditer
         self.pairs = PairTable(ranks)
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.uint32)
         size = max(ranks.values()) + 1
@@ -108,34 +110,33 @@ class Bpe:
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
         self.at = np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
 
+    @cached_property
+    def ranked(self) -> dict[int, int]:
+        """The table of pairs for one look at a time."""
+        filled = self.pairs.ranks != NONE
+        return dict(zip(self.pairs.keys[filled].tolist(), self.pairs.ranks[filled].tolist(), strict=True))
+
     def _long(self, piece: bytes) -> list[int]:
         ids = self.bytes[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
+        n, rank_of = len(ids), self.ranked
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        first = self.pairs(np.array(ids[:-1], np.uint32), np.array(ids[1:], np.uint32)).tolist()
-        heap = [(r, i) for i, r in enumerate(first) if r != NONE]
+        rank = [rank_of.get(a << 32 | b, -1) for a, b in zip(ids, ids[1:])] + [-1]  # of the pair that starts at i
+        heap = [(r, i) for i, r in enumerate(rank) if r >= 0]
         heapq.heapify(heap)
-        rank = [*first, int(NONE)]  # of the pair that starts at i
-
-        def look(i: int) -> None:
-            j = after[i]
-            rank[i] = int(self.pairs(np.array([ids[i]], np.uint32), np.array([ids[j]], np.uint32))[0]) if j < n else int(NONE)
-            if rank[i] != NONE:
-                heapq.heappush(heap, (rank[i], i))
-
         while heap:
             r, i = heapq.heappop(heap)
             if rank[i] != r:
                 continue
             j = after[i]
-            ids[i], rank[j] = r, -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            ids[j] = None
-            look(i)
-            if before[i] >= 0:
-                look(before[i])
+            ids[i], ids[j], rank[j] = r, None, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+            for left, right in ((i, k), (before[i], i)):  # the two pairs that the new token is part of
+                if left >= 0:
+                    found = rank[left] = rank_of.get(ids[left] << 32 | ids[right], -1) if right < n else -1
+                    if found >= 0:
+                        heapq.heappush(heap, (found, left))
         return [x for x in ids if x is not None]
 
     def _matrix(self, tokens: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,26 +176,18 @@ class Bpe:
         out[rows, : tokens.shape[1]] = tokens
         return out, count
 
-    def pieces(self, text: str, latin: bool = False) -> list:
-        """The pieces of a text; a text with disputed characters is one piece, marked as a tuple.
-
-        ``latin``: the caller knows that all characters are below U+0400, where nothing is disputed.
-        """
-        return [(text,)] if not latin and not text.isascii() and disputed().search(text) else self.split(text)
+    def pieces(self, text: str, latin: bool = False) -> list[str]:
+        """The pieces of a text. ``latin``: the caller knows that all characters are below U+0400, where nothing is new."""
+        if latin or text.isascii() or not too_new().search(text):
+            return self.split(text)
+        return [text[m.start() : m.end()] for m in self.places(too_new().sub(_OTHER, text))]
 
-    @cached_property
-    def library(self) -> tiktoken.Encoding:
-        return tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
-
-    def encode_pieces(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces one after another, and how many each has."""
         known, pieces = self.ranks, list(pieces)
         result: list = [None] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
-            if isinstance(piece, tuple):
-                result[i] = self.library.encode_ordinary(piece[0])
-                continue
             piece = pieces[i] = piece.encode()
             rank = known.get(piece)
             if rank is not None:
@@ -207,8 +200,9 @@ class Bpe:
         sizes = np.array([len(x) if x else 0 for x in result], np.int64)
         made = []
         for width, members in buckets.items():
-            for k in range(0, len(members), _ROWS):
-                part = members[k : k + _ROWS]
+            most = max(1, _CELLS // width)
+            for k in range(0, len(members), most):
+                part = members[k : k + most]
                 widths = np.array([len(pieces[i]) for i in part])
                 tokens = np.full((len(part), width), NONE)
                 tokens[np.arange(width)[None, :] < widths[:, None]] = self.bytes[np.frombuffer(b"".join([pieces[i] for i in part]), np.uint8)]
@@ -248,13 +242,19 @@ def load(path: str, pattern: str) -> Bpe:
 
 
 @lru_cache(maxsize=1)
-def disputed() -> regex.Pattern:
-    """Letters and digits of ``regex`` that an older Unicode has not assigned."""
+def too_new() -> regex.Pattern:
+    """Letters and digits of the pattern library that the tokenizer's library takes for neither.
+
+    It is asked about each that Python's tables have not assigned: only after a letter or digit is ``'s`` a piece.
+    """
+    ranks = {bytes([b]): b for b in range(256)} | {b"'s": 256}
+    asked = tiktoken.Encoding("asked", pat_str=r"'s|\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+|\s+", mergeable_ranks=ranks, special_tokens={})
     named = regex.compile(r"[\p{L}\p{N}]")
     odd = [c for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn" and named.match(chr(c))]
+    odd = [c for c in odd if asked.encode_ordinary(f"{chr(c)}'s")[-1] != 256]
     starts = [c for c, before in zip(odd, [-1, *odd]) if c != before + 1]
     ends = [c for c, after in zip(odd, [*odd[1:], -1]) if c != after - 1]
-    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]")
+    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]" if odd else r"(?!)")
 
 
 class _Seen(dict):
