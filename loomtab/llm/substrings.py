@@ -119,7 +119,8 @@ def _fingerprints(parts: int):
             yield _packed(names, kept[order], edges, False)
             if len(removed):
                 cut = np.unique(np.append(np.arange(0, len(removed), 5000), len(removed)))
-                yield _packed(mix(cut[:-1].astype(np.uint64)) % np.uint64(parts), removed, cut, True)
+                dealt = mix(cut[:-1].astype(np.uint64) + (kept["fp"][0] | np.uint64(1)))  # anywhere: they meet nothing there
+                yield _packed(dealt % np.uint64(parts), removed, cut, True)
 
         count = 0
         for batch in batches:
