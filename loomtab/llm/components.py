@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import discard, written
+from .tables import discard, parallelism, written
+
+ROWS = 500_000  # links that one task writes
 
 
 def connected_components(links: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
@@ -26,6 +28,10 @@ def connected_components(links: DataFrame, name: str = "components", most_rounds
     def digest(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
+    def kept(e: DataFrame, rows: int) -> DataFrame:
+        # the number of links never grows, so its last count bounds what a few tasks would have to write
+        return written(e.coalesce(rows // ROWS + 1) if rows // ROWS < parallelism(e.sparkSession) else e, name)
+
     # v < u from here on: each node points at smaller ones
     edges = written(
         links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name
@@ -33,19 +39,16 @@ def connected_components(links: DataFrame, name: str = "components", most_rounds
     before = digest(edges)
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        nearest = written(least(both).withColumn("m", F.least("u", "m")), name)
-        large = written(
-            both.join(nearest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name
-        )
-        lesser = written(least(large), name)
-        small = large.join(lesser, "u")
-        last, edges = edges, written(
+        nearest = kept(least(both).withColumn("m", F.least("u", "m")), 2 * before[0])
+        large = both.join(nearest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = large.join(least(large), "u")
+        last, edges = edges, kept(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
             .unionByName(small.select("u", F.col("m").alias("v")))
-            .distinct(), name
+            .distinct(), before[0]
         )
-        for gone in (last, nearest, large, lesser):
-            discard(gone)
+        discard(last)
+        discard(nearest)
         after = digest(edges)
         if after == before:
             break

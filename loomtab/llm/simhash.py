@@ -206,7 +206,6 @@ def postings(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """Columns choice, key and fp: one row for each list that a fingerprint stands in; ``distinct`` has fp."""
     fours = F.array(*[F.struct(F.lit(i).alias("choice"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(FOURS)])
     made = distinct.select(F.explode(fours).alias("x"), "fp").select("x.choice", F.col("fp").bitwiseAND(F.col("x.mask")).alias("key"), "fp")
-    made = written(made, "simhash-postings")
     crowded = written(made.groupBy("choice", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("choice", "key"), "simhash-crowded")
     sixes = {int(m): i for i, m in enumerate(MASKS) if i >= len(FOURS)}
     more = lambda m: [m | _mask(x) for x in combinations([p for p in range(8) if not m >> (8 * p) & 0xFF], 2)]
@@ -218,9 +217,8 @@ def postings(distinct: DataFrame, hot: int = HOT) -> DataFrame:
 
 def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """Columns u and v: links that connect all fingerprints within BITS of each other; ``distinct`` has fp."""
-    listed = written(postings(distinct, hot), "simhash-lists")
-    parts = max(parallelism(distinct.sparkSession), -(-listed.count() // PART))
-    dealt = listed.repartition(parts, "choice", "key").sortWithinPartitions("choice", "key", "fp").select("choice", "fp")
+    parts = max(parallelism(distinct.sparkSession), -(-len(FOURS) * distinct.count() // PART))
+    dealt = postings(distinct, hot).repartition(parts, "choice", "key").sortWithinPartitions("choice", "key", "fp").select("choice", "fp")
     return dealt.mapInArrow(_links, "u long, v long")
 
 
@@ -229,7 +227,7 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     made = written(fingerprints(df, id_col, text_col), "fingerprints")
     distinct = written(made.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     roots = connected_components(links(distinct), "simhash-links")
-    member = written(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-members")
+    member = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = written(member.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-linked")
     found = written(member.join(linked, "root").select("fp", "component_id"), "simhash-components")
     return made.join(found, "fp").select("id", "fp", "component_id")  # two plain tables: a hot fingerprint can be split
