@@ -3,47 +3,93 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.files import NAME_LIMIT, safe_name
+from ..functions.files import NAME_LIMIT, safe_name, stem
 
+#: Characters of a name that all its numbered forms begin with, whatever the number takes.
+_COMMON = 100
+
+
+def _suffix(name: Column) -> Column:
+    """The extension with its dot, in the name's own case."""
+    return F.substring(name, F.length(stem(name)) + 1, F.length(name))
+
+
+def numbered(name: Column, n: Column) -> Column:
+    """The n-th form of a name: itself for 0, else ``stem (n).ext`` with as much of the stem as fits."""
+    mark, end = F.concat(F.lit(" ("), n.cast("string"), F.lit(")")), _suffix(name)
+    room = F.greatest(F.lit(1), NAME_LIMIT - F.length(mark) - F.length(end))
+    return F.when(n == 0, name).otherwise(F.concat(F.substring(stem(name), F.lit(1), room), mark, end))
+
+
+def _family(name: Column) -> Column:
+    """What names have in common if a form of one may be a form of another: the start of the stem before any number, and the extension."""
+    end = _suffix(name)
+    first = F.rtrim(F.regexp_replace(stem(name), r"(?s) \(.*$", ""))
+    room = F.greatest(F.lit(1), F.least(F.lit(_COMMON), NAME_LIMIT - 20 - F.length(end)))
+    return F.concat(F.substring(first, F.lit(1), room), F.lit("/"), end)
 
-def allocate(uploads: DataFrame, existing: DataFrame, directory: str = "directory", name: str = "name", order: str = "ord") -> DataFrame:
-    """Adds safe, stored and renamed: the first free ``stem (N).ext`` of the upload's directory, in order of arrival.
 
-    Each choice depends on those before it, so uploads of one directory are
-    taken one after another; of the existing names only those that an upload's
-    stem can collide with are sent along. A directory's batch of uploads is one
-    request, which its sender bounds.
+def _free(wanted: DataFrame, have: DataFrame) -> DataFrame:
+    """Uploads of families in which only one name is asked for: the k-th upload takes the k-th number that is free.
+
+    Of taken numbers t0 < t1 < ... the i-th leaves t_i - i free ones below it, so number k + |{i: t_i - i <= k}| is
+    the k-th free one: a running count over uploads and taken numbers in one order.
     """
-    wanted = uploads.withColumn("safe", safe_name(F.col(name)))
-    have = existing.select(directory, F.col(name).alias("taken")).where("taken is not null and taken <> ''").distinct()
-    stems = wanted.select(directory, _stem(F.col("safe")).alias("key")).distinct()
-    have = have.withColumn("key", _stem(F.col("taken"))).join(stems, [directory, "key"], "left_semi").groupBy(directory).agg(F.collect_list("taken").alias("taken_"))
-    rows = wanted.join(have, directory, "left")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema) + ", stored string, renamed boolean"
-
-    def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order).reset_index(drop=True)
-        first = frame["taken_"].iloc[0]
-        used = set() if first is None else set(first)
-        stored = []
-        for safe in frame["safe"]:
-            made, n = safe, 0
-            dot = safe.rfind(".")
-            stem, ext = (safe[:dot], safe[dot:]) if dot > 0 and safe[:dot].strip(".") else (safe, "")
-            while made in used:
+    names = wanted.select("d", "safe", "family").distinct()
+    digits = F.regexp_extract(stem(F.col("taken")), r"(?s) \(([0-9]{1,15})\)$", 1)
+    n = F.when(F.col("taken") == F.col("safe"), F.lit(0).cast("long")).otherwise(F.nullif(digits, F.lit("")).cast("long"))
+    names = names.select(F.col("d").alias("d_"), "safe", F.col("family").alias("family_"))
+    taken = have.join(names, F.col("d").eqNullSafe(F.col("d_")) & (F.col("family") == F.col("family_"))).withColumn("n", n).where(F.col("n").isNotNull() & (numbered(F.col("safe"), F.col("n")) == F.col("taken")))
+    per_name = Window.partitionBy("d", "safe")
+    taken = taken.select("d", "safe", "n").distinct().withColumn("at", F.col("n") - F.row_number().over(per_name.orderBy("n")) + 1)
+    asked = wanted.select("d", "safe", "row", (F.row_number().over(per_name.orderBy("o")) - 1).cast("long").alias("at"), F.lit(1).alias("own"))
+    both = asked.unionByName(taken.select("d", "safe", "at", F.lit(0).alias("own")), allowMissingColumns=True)
+    before = F.sum(1 - F.col("own")).over(per_name.orderBy("at", "own").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("k", F.col("at") + before).where("own = 1").select("row", "safe", numbered(F.col("safe"), F.col("k")).alias("stored"))
+
+
+def _in_turn(wanted: DataFrame, have: DataFrame) -> DataFrame:
+    """Uploads of families in which several names are asked for: each choice depends on those before it."""
+    ask = wanted.select("d", "family", "o", "safe", stem(F.col("safe")).alias("first"), _suffix(F.col("safe")).alias("last"))
+    types = {f.name: f.dataType.simpleString() for f in ask.schema}
+
+    def place(asked: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
+        used, turn, stored = set(taken["taken"]), {}, []
+        asked = asked.sort_values("o")
+        for name, first, end in asked[["safe", "first", "last"]].itertuples(index=False):
+            n = turn.get(name, 0)
+            while (made := name if n == 0 else f"{first[: max(1, NAME_LIMIT - len(f' ({n})') - len(end))]} ({n}){end}") in used:
                 n += 1
-                suffix = f" ({n})"
-                made = stem[: max(1, NAME_LIMIT - len(suffix) - len(ext))] + suffix + ext
+            turn[name] = n
             used.add(made)
             stored.append(made)
-        return frame.drop(columns="taken_").assign(stored=stored, renamed=[a != b for a, b in zip(stored, frame["safe"], strict=True)])
+        return asked.assign(stored=stored)[["d", "o", "stored"]]
 
-    return rows.groupBy(directory).applyInPandas(place, schema)
+    made = ask.groupBy("d", "family").cogroup(have.groupBy("d", "family")).applyInPandas(place, f"d {types['d']}, o {types['o']}, stored string")
+    made = made.select(F.col("d").alias("d_"), F.col("o").alias("o_"), "stored")
+    return wanted.join(made, F.col("d").eqNullSafe(F.col("d_")) & (F.col("o") == F.col("o_"))).select("row", "safe", "stored")
 
 
-def _stem(name):
-    """What names that may collide have in common: the first characters, without number and extension."""
-    return F.lower(F.substring(F.regexp_replace(name, r"( \(\d+\))?(\.[^.]*)?$", ""), 1, 150))
+def allocate(uploads: DataFrame, existing: DataFrame, directory: str = "directory", name: str = "name", order: str = "ord") -> DataFrame:
+    """Columns of ``uploads``, then safe, stored and renamed: the first free ``stem (N).ext`` of the upload's directory, in order of arrival.
+
+    ``order`` is total within a directory. Names that cannot meet are settled apart, so a directory is no group:
+    families of one name by windows, against taken numbers only; families of several names one upload after
+    another. Names of ``existing`` that are null or empty do not count. Input columns named safe, stored or
+    renamed are replaced; null names get the fallback's name.
+    """
+    kept = [c for c in uploads.columns if c not in ("safe", "stored", "renamed")]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept])
+    wanted = uploads.select(row.alias("row"), F.col(f"`{directory}`").alias("d"), F.col(f"`{order}`").alias("o"), safe_name(F.col(f"`{name}`")).alias("safe"))
+    wanted = wanted.withColumn("family", _family(F.col("safe")))
+    have = existing.select(F.col(f"`{directory}`").alias("d"), F.col(f"`{name}`").alias("taken")).where("taken is not null and taken <> ''").distinct().withColumn("family", _family(F.col("taken")))
+    several = wanted.groupBy("d", "family").agg((F.min("safe") != F.max("safe")).alias("several"))
+    several = several.select(F.col("d").alias("d_"), F.col("family").alias("family_"), "several")
+    same = F.col("d").eqNullSafe(F.col("d_")) & (F.col("family") == F.col("family_"))
+    wanted = wanted.join(several, same).drop("d_", "family_")
+    mixed = have.join(several.where("several"), same, "left_semi")
+    done = _free(wanted.where("not several"), have).unionByName(_in_turn(wanted.where("several"), mixed))
+    return done.select("row.*", "safe", "stored", (F.col("stored") != F.col("safe")).alias("renamed"))

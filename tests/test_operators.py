@@ -178,6 +178,45 @@ def test_names_of_a_batch(spark):
     assert got[5][0] == ("x" * 250 + ".csv")[:200] and got[6][0] != got[5][0] and len(got[6][0]) <= 200
 
 
+def _one_by_one(uploads, existing):
+    """Names as a folder would give them, one upload after another."""
+    from loomtab.functions.files import NAME_LIMIT
+
+    used, out = {}, {}
+    for d, n in existing:
+        used.setdefault(d, set()).add(n)
+    for d, name, o in sorted(uploads, key=lambda u: u[2]):
+        taken, n, made = used.setdefault(d, set()), 0, name
+        dot = name.rfind(".")
+        first, end = (name[:dot], name[dot:]) if dot > 0 and name[:dot].strip(".") else (name, "")
+        while made in taken:
+            n += 1
+            made = first[: max(1, NAME_LIMIT - len(f" ({n})") - len(end))] + f" ({n}){end}"
+        taken.add(made)
+        out[o] = made
+    return out
+
+
+def test_unique_names_like_a_folder(spark):
+    import random
+
+    from loomtab.operators import names
+
+    r = random.Random(2)
+    pool = ["a.csv", "a (1).csv", "a (1) (1).csv", "a (2).csv", "A.csv", "a.CSV", "a", "a (1)", "b.csv", "b (7).csv", "b (08).csv", "x" * 196 + ".csv", "x" * 192 + " (1).csv", "y" * 150 + "." + "e" * 40, "y (1" + "z" * 190]
+    existing = [(d, n) for d in "pqr" for n in r.sample(pool, 7)] + [("q", f"b ({i}).csv") for i in (0, 1, 2, 5, 6)] + [("q", "b.csv"), ("h", "c (3).csv")]
+    uploads = [(r.choice("pqr"), r.choice(pool), i) for i in range(250)] + [("h", "c.csv", 1000 + i) for i in range(300)] + [(None, "c.csv", 2000), (None, "c.csv", 2001)]
+    frame = spark.createDataFrame([(*u, "kept") for u in uploads], "directory string, name string, ord int, taken_ string").repartition(5)
+    got = names.allocate(frame, spark.createDataFrame(existing, "directory string, name string"))
+    assert got.columns == ["directory", "name", "ord", "taken_", "safe", "stored", "renamed"]
+    rows = got.collect()
+    assert {x.ord: x.stored for x in rows} == _one_by_one(uploads, existing) and len(rows) == len(uploads)
+    assert all(x.renamed == (x.stored != x.safe) and x.taken_ == "kept" for x in rows)
+    again = [("d", "a (1).csv", 1)], [("d", "a (1).csv"), ("d", "a (1) (1).csv")]
+    one = names.allocate(spark.createDataFrame(again[0], "directory string, name string, ord int"), spark.createDataFrame(again[1], "directory string, name string")).first()
+    assert one.stored == "a (1) (2).csv"
+
+
 def test_digest_handlers(spark):
     import io
     import struct
