@@ -104,7 +104,11 @@ def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     Only documents with candidates are read again and cut, one row a document with all its candidates.
     """
     near = written(candidates(docs, windows), "window-candidates")
-    cut = docs.select("k", "h", "text").join(_sized(near, near.count()), ["k", "h"]).select("k", "h", words(F.col("text")).alias("words"), "places")
+    n_docs, n_places = near.agg(F.count("*"), F.sum(F.size("places"))).first()
+    own = docs.select("k", "h", "text")
+    if (n_places or 0) > SMALL // 8:  # windows are words: only keys are broadcast, to shuffle no other texts than those with candidates
+        own = own.join(_sized(near.select("k", "h"), n_docs), ["k", "h"], "left_semi")
+    cut = own.join(_sized(near, 8 * (n_places or 0)), ["k", "h"]).select("k", "h", words(F.col("text")).alias("words"), "places")
     stands = lambda p: (p["start"] + p["size"] <= F.size("words")) & (F.array_join(F.slice("words", p["start"] + 1, p["size"]), " ") == p["window"])
     return written(cut.select("k", "h", F.explode(F.filter("places", stands)).alias("p")).select("k", "h", "p.*").distinct(), "window-places")
 
