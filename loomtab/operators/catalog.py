@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.files import last_part
+
 
 def newest_first(df: DataFrame, key: str = "id") -> DataFrame:
     return df.orderBy(F.desc(key))
@@ -59,3 +61,59 @@ def dedupe_names(df: DataFrame, name: str, group: str, position: str) -> DataFra
     named = df.withColumn("name_", F.when(trimmed == "", F.concat(F.lit("Unnamed: "), F.col(position).cast("string"))).otherwise(trimmed))
     k = F.row_number().over(Window.partitionBy(group, "name_").orderBy(position)) - 1
     return named.withColumn("column_name", F.when(k == 0, F.col("name_")).otherwise(F.concat_ws("_", "name_", k.cast("string")))).drop("name_")
+
+
+def listed(df: DataFrame, key: str | None, order: str = "id", id_col: str | None = None) -> DataFrame:
+    """Rows of every key, newest first, with their ``place`` from 1; rows whose ``id_col`` is blank are left out before."""
+    if id_col:
+        df = df.where(F.trim(F.coalesce(F.col(id_col), F.lit(""))) != "")
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*([key] if key else [])).orderBy(F.desc(order))))
+
+
+def first_of(df: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
+    """One row for each key, that of least ``order``: a lookup that takes the first match, for all keys at once."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+
+
+def reachable_projects(users: DataFrame, projects: DataFrame, members: DataFrame) -> DataFrame:
+    """Columns user_id, id and via: projects a user owns, those of others they are a member of; every project for admins.
+
+    users: user_id, is_admin; projects: id, user_id; members: project_id, user_id. A project is listed once a user,
+    as owner if they own it. Admins are few by their office: pairing them with projects is their list.
+    """
+    plain = users.where(~F.coalesce("is_admin", F.lit(False))).select("user_id")
+    owned = projects.join(plain, "user_id").select("user_id", "id")
+    joined = members.join(plain, "user_id").select("user_id", F.col("project_id").alias("id")).where("id is not null and id <> 0").distinct()
+    joined = joined.join(projects.select("id"), "id", "left_semi").join(owned, ["user_id", "id"], "left_anti").select("user_id", "id")
+    admins = users.where("is_admin").select("user_id")
+    every = admins.join(projects.select("id"), F.lit(True))
+    return owned.withColumn("via", F.lit("owner")).unionByName(joined.withColumn("via", F.lit("member"))).unionByName(every.withColumn("via", F.lit("admin")))
+
+
+def accessible_sessions(sessions: DataFrame, reachable: DataFrame, project: int | None = None) -> DataFrame:
+    """Columns user_id, session_id, project_id and via: a user's own sessions, then those of projects they reach, each once.
+
+    Blank ids are left out; a session without a project has that through which it was reached; ``project`` keeps the
+    sessions of one project, after sessions were made unique.
+    """
+    live = sessions.where("trim(coalesce(session_id, '')) <> ''")
+    own = live.select("user_id", "session_id", "id", F.nullif("project_id", F.lit(0)).alias("project_id"), F.lit("own").alias("via"))
+    through = reachable.select("user_id", F.col("id").alias("through")).join(live.drop("user_id"), F.col("through") == F.col("project_id"))
+    shared = through.select("user_id", "session_id", "id", F.coalesce(F.nullif("project_id", F.lit(0)), "through").alias("project_id"), F.lit("project").alias("via"))
+    both = own.unionByName(shared)
+    first = both.groupBy("user_id", "session_id").agg(F.min_by(F.struct("project_id", "via"), F.struct(F.col("via") != "own", -F.col("id"))).alias("r"))
+    out = first.select("user_id", "session_id", "r.*")
+    return out if project is None else out.where(F.col("project_id") == project)
+
+
+def original_names(files: DataFrame, assets: DataFrame) -> DataFrame:
+    """``files`` with the original name that the catalog knows for a project's path, else the last part of the path."""
+    known = assets.where("trim(coalesce(original_name, '')) <> ''").groupBy("project_id", "relative_path").agg(F.min_by("original_name", "id").alias("original_name"))
+    return files.join(known, ["project_id", "relative_path"], "left").withColumn("original_name", F.coalesce("original_name", last_part(F.col("relative_path"))))
+
+
+def default_first(projects: DataFrame) -> DataFrame:
+    """A user's projects with their ``place``: the default one first, the others newest first."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("is_default"), F.desc("id"))
+    return projects.withColumn("place", F.row_number().over(w))

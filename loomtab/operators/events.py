@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import shorten
+
 CHUNK, COMPLETE = "llm_chunk", "llm_complete"
 #: Event types after which a session's stream ends.
 TERMINAL = ("streaming_ended", "streaming_error", "error")
@@ -58,3 +60,67 @@ def rollup_results(results: DataFrame, key: str, order: str) -> DataFrame:
         key, "success", F.array_join(F.transform("r", lambda x: x["log"]), "\n").alias("logs"),
         F.transform(F.filter("r", lambda x: ~x["success"]), lambda x: x["error"]).alias("errors"),
     )
+
+
+def increments(before: DataFrame, after: DataFrame, session: str = "session_id", place: str = "place", value: str = "event") -> DataFrame:
+    """What a reader who has seen ``before`` is sent of ``after``, one row a session that has any.
+
+    More events: only the last; as many: the last that changed; fewer: nothing. Rows are events with their place;
+    sizes and the last change are pre-aggregated, so a long session is no single group.
+    """
+    n_before = before.groupBy(session).agg(F.count("*").alias("n_before"))
+    end = after.groupBy(session).agg(F.count("*").alias("n_after"), F.max_by(value, place).alias("last"))
+    old = before.select(session, place, F.col(value).alias("old_"))
+    changed = after.join(old, [session, place]).where(~F.col(value).eqNullSafe(F.col("old_"))).groupBy(session).agg(F.max_by(value, place).alias("changed"))
+    out = end.join(n_before, session, "left").join(changed, session, "left").withColumn("n_before", F.coalesce("n_before", F.lit(0)))
+    event = F.when(F.col("n_after") > F.col("n_before"), F.col("last")).when(F.col("n_after") == F.col("n_before"), F.col("changed"))
+    return out.select(session, event.alias(value)).where(F.col(value).isNotNull())
+
+
+def snapshot_then_tail(events: DataFrame, seen: DataFrame, session: str = "session_id", version: str = "version") -> DataFrame:
+    """What a reader who comes back gets: the events up to the version of the snapshot, then newer ones.
+
+    ``part`` is snapshot or tail. Where the snapshot's last event is terminal nothing follows; else the tail ends with
+    the first terminal event.
+    """
+    known = events.join(seen, session).withColumn("part", F.when(F.col(version) <= F.col("seen"), "snapshot").otherwise("tail"))
+    ends = known.groupBy(session).agg(
+        F.max_by(F.when(F.col("part") == "snapshot", is_terminal(F.col("type"))), F.when(F.col("part") == "snapshot", F.col(version))).alias("over_"),
+        F.min(F.when((F.col("part") == "tail") & is_terminal(F.col("type")), F.col(version))).alias("end_"),
+    )
+    out = known.join(ends, session)
+    follows = ~F.coalesce("over_", F.lit(False)) & (F.col("end_").isNull() | (F.col(version) <= F.col("end_")))
+    return out.where((F.col("part") == "snapshot") | follows).drop("over_", "end_", "seen")
+
+
+def sse_events(frames: DataFrame, text: str = "text") -> DataFrame:
+    """Events of streams of server-sent frames, one row an event: complete lines that begin with ``data:`` and hold JSON.
+
+    Columns of ``frames`` but the text, then place (of the line) and payload (as it was sent). What follows the last
+    line break is an unfinished line; blank, other and malformed lines are dropped.
+    """
+    lines = F.split(F.col(text), "\n", -1)
+    rest = [F.col(f"`{c}`") for c in frames.columns if c != text]
+    each = frames.select(*rest, F.posexplode(F.slice(lines, F.lit(1), F.size(lines) - 1)).alias("place", "line_"))
+    blanks = F.lit(" \t\r\f\u000b ")
+    line = each.withColumn("line_", F.btrim("line_", blanks)).where(F.startswith("line_", F.lit("data:")))
+    sent = line.withColumn("payload", F.btrim(F.substring("line_", 6, 1 << 30), blanks)).where("payload <> ''")
+    return sent.where(F.try_parse_json("payload").isNotNull()).drop("line_")
+
+
+def appended(log: DataFrame, produced: DataFrame, session: str = "session_id", version: str = "version", order: str = "at") -> DataFrame:
+    """Events to append: ``produced`` ones with versions that go on from the log's last, in order of production.
+
+    They are written first and delivered from the log, so whoever reads never sees an event that is not kept.
+    """
+    last = log.groupBy(session).agg(F.max(version).alias("last_"))
+    n = F.row_number().over(Window.partitionBy(session).orderBy(order))
+    return produced.join(last, session, "left").withColumn(version, (F.coalesce("last_", F.lit(0)) + n).cast("long")).drop("last_")
+
+
+#: Fixed value: characters of a report that a memory document quotes.
+EXCERPT = 3000
+
+
+def report_excerpt(report: Column) -> Column:
+    return shorten(report, EXCERPT)

@@ -44,3 +44,54 @@ def partial_update(df: DataFrame, changes: DataFrame, key: str, allowed: list[st
 
 def delete_by_key(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def get_or_create(target: DataFrame, staged: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
+    """What each staged key gets: the id the target has for it (``created`` false), else that of its least staged row."""
+    known = target.groupBy(*keys).agg(F.min(id_col).alias("known"))
+    asked = staged.groupBy(*keys).agg(F.min(id_col).alias("new"))
+    return asked.join(known, keys, "left").select(*keys, F.coalesce("known", "new").alias(id_col), F.col("known").isNull().alias("created"))
+
+
+def create(target: DataFrame, staged: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``staged`` with ``outcome``: duplicate where the target has the key or an earlier staged row takes it, else created."""
+    first = staged.groupBy(*keys).agg(F.min(order).alias("first_"))
+    out = staged.join(first, keys).join(target.select(*keys).distinct().withColumn("taken_", F.lit(True)), keys, "left")
+    taken = F.coalesce("taken_", F.lit(False)) | (F.col(order) > F.col("first_"))
+    return out.withColumn("outcome", F.when(taken, "duplicate").otherwise("created")).drop("first_", "taken_")
+
+
+def new_sessions(target: DataFrame, staged: DataFrame) -> DataFrame:
+    """Sessions as they are stored: a project only where its id is above zero; ids that exist are refused."""
+    return create(target, staged, ["session_id"], "id").withColumn("project_id", F.when(F.col("project_id") > 0, F.col("project_id")))
+
+
+def new_tasks(staged: DataFrame, payload: list[str]) -> DataFrame:
+    """Tasks as they are stored: pending, with their payload as JSON."""
+    return staged.select("id", "project_id", F.lit("pending").alias("status"), F.to_json(F.struct(*payload)).alias("payload"))
+
+
+#: The name that a user's first project has, which no other may take.
+DEFAULT_PROJECT = "默认项目"
+
+
+def new_projects(users: DataFrame, projects: DataFrame, staged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged projects with their outcome (blank and reserved names are refused), and default projects of users without one."""
+    name = F.trim(F.coalesce("name", F.lit("")))
+    out = staged.withColumn("outcome", F.when(name == "", "blank").when(name == DEFAULT_PROJECT, "reserved").otherwise("created"))
+    missing = users.select("user_id").distinct().join(projects.where("is_default").select("user_id"), "user_id", "left_anti")
+    return out, missing.select("user_id", F.lit(DEFAULT_PROJECT).alias("name"), F.lit(True).alias("is_default"))
+
+
+def promote(users: DataFrame, phone: str | None) -> DataFrame:
+    """``users`` with the role admin for the one whose phone is the setting's; no one where it is blank."""
+    wanted = (phone or "").strip()
+    hit = (F.trim("phone") == wanted) & (F.coalesce("role", F.lit("")) != "admin") if wanted else F.lit(False)
+    return users.withColumn("promoted", F.coalesce(hit, F.lit(False))).withColumn("role", F.when(F.col("promoted"), "admin").otherwise(F.col("role")))
+
+
+def registered(files: DataFrame, assets: DataFrame, extensions: list[str], target: Column) -> DataFrame:
+    """Files of the listed extensions as assets below ``target``, with the id the catalog has or a new one."""
+    ext = F.lower(F.regexp_extract("relative_path", r"(\.[^./]*)$", 1))
+    staged = files.where(ext.isin(extensions)).select("project_id", target.alias("relative_path"), "id")
+    return get_or_create(assets, staged, ["project_id", "relative_path"])

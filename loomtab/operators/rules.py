@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.files import clean_mime, extension
@@ -97,3 +97,45 @@ def rollup_text(counts: DataFrame) -> DataFrame:
     return counts.agg(F.array_join(F.transform(items, lambda x: F.concat_ws("=", x["category"], x["n_files"].cast("string"))), ", ").alias("summary"))
 
 
+def upserted(custom: DataFrame, offered: DataFrame, handlers: list[str], order: str = "at") -> tuple[DataFrame, DataFrame]:
+    """Offered rules with ``outcome``, and the table of custom rules with the accepted ones, the last of each id, in their places.
+
+    Refused are a blank id, one of the built-in rules, an unknown handler and an unknown category, in that order. A
+    rule that replaces another keeps its ordinal; new ones follow in order of arrival.
+    """
+    name = F.trim(F.coalesce("format_id", F.lit("")))
+    outcome = (
+        F.when(name == "", "no_id").when(F.startswith(name, F.lit("builtin.")), "protected").when(~F.col("handler_id").isin(*handlers), "unknown_handler")
+        .when(~F.col("category").isin(*DEEP, "binary"), "unknown_category").otherwise("stored")
+    )
+    judged = offered.withColumn("outcome", outcome)
+    rest = [c for c in custom.columns if c not in ("format_id", "ordinal")]
+    last = judged.where("outcome = 'stored'").groupBy("format_id").agg(F.max_by(F.struct(*rest), order).alias("r"), F.min(order).alias("first_"))
+    base = custom.agg(F.coalesce(F.max("ordinal") + 1, F.lit(0)).alias("base_"))
+    new = last.join(custom.select("format_id"), "format_id", "left_anti").select("format_id", "r", F.row_number().over(Window.orderBy("first_")).alias("n_"))  # rules that people keep: few
+    new = new.join(F.broadcast(base)).select("format_id", "r.*", (F.col("base_") + F.col("n_") - 1).cast("int").alias("ordinal"))
+    old = custom.join(last.select("format_id", "r"), "format_id", "left")
+    kept = old.select("format_id", *[F.when(F.col("r").isNotNull(), F.col(f"r.{c}")).otherwise(F.col(c)).alias(c) for c in rest], "ordinal")
+    return judged, kept.unionByName(new)
+
+
+def deleted(custom: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Asked ids with ``outcome`` (protected, deleted, unknown), and the custom rules that stay."""
+    ids = asked.withColumn("format_id", F.trim(F.coalesce("format_id", F.lit("")))).distinct()
+    have = custom.select("format_id").distinct().withColumn("have_", F.lit(True))
+    built_in = F.startswith("format_id", F.lit("builtin."))
+    judged = ids.join(have, "format_id", "left").withColumn("outcome", F.when(built_in, "protected").when(F.col("have_"), "deleted").otherwise("unknown")).drop("have_")
+    return judged, custom.join(judged.where("outcome = 'deleted'").select("format_id"), "format_id", "left_anti")
+
+
+def by_id(rules_: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rule of each asked id, custom ones first; null columns where there is none."""
+    rest = [c for c in rules_.columns if c != "format_id"]
+    first = rules_.groupBy("format_id").agg(F.min_by(F.struct(*rest), F.struct(F.col("builtin").cast("int"), "ordinal")).alias("r"))
+    return asked.join(first, "format_id", "left").select(*asked.columns, "r.*")
+
+
+def catalog_entry(resolved: DataFrame) -> DataFrame:
+    """What the catalog says of a file (columns path, size_bytes and those of ``resolve``)."""
+    deep = F.col("format_id").isNotNull() & F.col("category").isin(*DEEP)
+    return resolved.select(F.col("path").alias("relative_path"), F.col("category").alias("file_category"), "size_bytes", "format_id", "handler_id", deep.alias("deep_parse"))

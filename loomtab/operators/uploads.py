@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.files import is_safe_relative
+
 MIB = 1 << 20
 CHUNK_LEAST, CHUNK_DEFAULT, CHUNK_MOST, TTL_SECONDS = MIB, 5 * MIB, 10 * MIB, 86_400
 
@@ -57,3 +59,58 @@ def merged(parts: DataFrame, key: str, part: str, content: str) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct(part, F.col(content).alias("c"))))
     text = F.array_join(F.transform(ordered, lambda x: x["c"]), "")
     return parts.groupBy(key).agg(text.alias("content")).withColumns({"sha256": F.sha2("content", 256), "n_bytes": F.octet_length("content")})
+
+
+LARGEST = 2048 * MIB
+
+
+def size_verdict(size: Column) -> Column:
+    """Whether an upload of so many bytes is taken: not empty, and at most 2048 MB."""
+    return F.when(F.coalesce(size, F.lit(0)) <= 0, "empty").when(size > LARGEST, "too_large").otherwise("ok")
+
+
+def raw_copy_verdict(path: Column, exists: Column) -> Column:
+    """Whether a project's file may be copied to a session: below ``raw/`` once slashes are alike, inside the project, and there."""
+    clean = F.ltrim(F.translate(F.trim(F.coalesce(path, F.lit(""))), "\\", "/"), F.lit("/"))
+    below = F.startswith(clean, F.lit("raw/")) & is_safe_relative(clean) & (F.length(clean) > 4)
+    climbs = F.array_contains(F.split(clean, "/"), "..")
+    return F.when(~below | climbs, "bad_path").when(~F.coalesce(exists, F.lit(False)), "missing").otherwise("ok")
+
+
+def remaining_seconds(created: Column, now: Column) -> Column:
+    """Seconds that an upload still lives, by the caller's clock; never below zero."""
+    return F.greatest(F.lit(0), TTL_SECONDS - (F.unix_timestamp(now) - F.unix_timestamp(created)))
+
+
+def verified(parts: DataFrame, content: str = "content", checksum: str = "checksum") -> DataFrame:
+    """``parts`` with actual (SHA-256 of their bytes) and matches: no checksum, or the same one in either case, trimmed."""
+    asked = F.lower(F.trim(F.coalesce(F.col(checksum), F.lit(""))))
+    return parts.withColumn("actual", F.sha2(F.col(content), 256)).withColumn("matches", (asked == "") | (asked == F.col("actual")))
+
+
+def merged_bytes(parts: DataFrame, manifests: DataFrame, key: str = "upload_id") -> DataFrame:
+    """Parts of each upload joined in order as bytes: n_bytes, sha256 and outcome (incomplete, size, ok); content where ok.
+
+    parts: key, part, content (binary); manifests: key, total, size. An upload is bounded by ``LARGEST``, a value that
+    Spark's rows hold just short of; sizes are summed before any bytes are joined, so a wrong one costs nothing.
+    """
+    inside = parts.join(manifests, key).where((F.col("part") >= 0) & (F.col("part") < F.col("total")))
+    once = inside.groupBy(key, "part").agg(F.first("content").alias("content"))
+    sums = once.groupBy(key).agg(F.count("*").alias("held"), F.sum(F.octet_length("content")).alias("n_bytes"))
+    state = manifests.join(sums, key, "left").select(key, "size", F.when(F.coalesce("held", F.lit(0)) < F.col("total"), "incomplete").when(F.coalesce("n_bytes", F.lit(0)) != F.col("size"), "size").otherwise("ok").alias("outcome"), F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"))
+    good = once.join(state.where("outcome = 'ok'").select(key), key, "left_semi")
+    ordered = F.array_sort(F.collect_list(F.struct("part", "content")))
+    joined = F.aggregate(ordered, F.to_binary(F.lit(""), F.lit("utf-8")), lambda acc, x: F.concat(acc, x["content"]))
+    whole = good.groupBy(key).agg(joined.alias("content"))
+    return state.join(whole, key, "left").select(key, "outcome", "n_bytes", F.sha2("content", 256).alias("sha256"), "content")
+
+
+_MANIFEST = "upload_id string, created_at string, size long"
+
+
+def sweep(folders: DataFrame, now: Column, manifest: str = "manifest") -> DataFrame:
+    """Upload folders with ``verdict``: remove_missing (no manifest), remove_corrupt (not JSON, or without a time), expired, or keep."""
+    made = F.from_json(F.col(manifest), _MANIFEST)
+    created = F.try_to_timestamp(made["created_at"])
+    age = F.unix_timestamp(now) - F.unix_timestamp(created)
+    return folders.withColumn("verdict", F.when(F.col(manifest).isNull(), "remove_missing").when(created.isNull(), "remove_corrupt").when(age > TTL_SECONDS, "expired").otherwise("keep"))

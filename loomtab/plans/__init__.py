@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog, events, files, stages, stats
+from . import catalog, events, files, requests, stages, stats
 
-_MODULES = (files, catalog, events, stages, stats)
+_MODULES = (files, catalog, events, stages, stats, requests)
 
 
 def queries() -> dict:
