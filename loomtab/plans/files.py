@@ -71,7 +71,7 @@ def text_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind, keys, count, length = workspace.json_summary(F.col("props"))
+    kind, keys, count, _, _ = workspace.json_summary(F.col("props"))
     return table(spark, sf_dir, "events").select("event_id", "props").select("event_id", kind, F.array_join(keys, ",").alias("json_keys"), count.cast("long"))
 
 

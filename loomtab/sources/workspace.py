@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,34 +19,75 @@ PREVIEW_CHARS, KEYS = 4000, 50
 _INVENTORY = "relative_path string, size_bytes long, depth int"
 
 
+def _names(spark: SparkSession, root: str) -> list[tuple[str, str, int]]:
+    """(relative path, path, size) of all files below a root, names with a leading dot or underscore included.
+
+    The listing goes through Hadoop's file systems, so a root may be a local folder, HDFS or an object store. It is a
+    workspace's list of names, which a person's uploads bound; contents are never read here.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(root)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where) or not system.getFileStatus(where).isDirectory():
+        return []
+    base = system.resolvePath(where).toUri().getPath().rstrip("/") + "/"
+    found, files = [], system.listFiles(where, True)
+    while files.hasNext():
+        status = files.next()
+        path = status.getPath()
+        found.append((path.toUri().getPath().removeprefix(base), path.toString(), status.getLen()))
+    return found
+
+
+def _wanted(relative: str, dotfiles: bool, dot_directories: bool) -> bool:
+    *folders, name = relative.split("/")
+    hidden = name.startswith(".") and not dotfiles or not dot_directories and any(f.startswith(".") for f in folders)
+    return name != MEMORY_FILE and not hidden and not (name.startswith(".") and name.endswith(".crc"))
+
+
 def scan(spark: SparkSession, root: str, depth: int | None = None, dotfiles: bool = False, dot_directories: bool = True) -> DataFrame:
     """Inventory of a workspace folder, sorted by path.
 
-    Names are listed by the driver, as Spark's own listing hides names that
-    start with ``_``; contents are read by executors. Files whose name starts
-    with a dot and the memory file are left out; a missing root is an empty
-    inventory. ``depth`` 1 lists direct files only.
+    Files whose name starts with a dot and the memory file are left out; a
+    missing root is an empty inventory. ``depth`` 1 lists direct files only.
     """
-    rows = []
-    for folder, folders, names in os.walk(root):
-        if not dot_directories:
-            folders[:] = [d for d in folders if not d.startswith(".")]
-        for name in names:
-            if name == MEMORY_FILE or (name.startswith(".") and not dotfiles):
-                continue
-            path = os.path.join(folder, name)
-            relative = os.path.relpath(path, root).replace(os.sep, "/")
-            level = relative.count("/") + 1
-            if depth is None or level <= depth:
-                rows.append((relative, os.path.getsize(path), level))
-    return spark.createDataFrame(rows, _INVENTORY).orderBy("relative_path")
+    rows = [(r, size, r.count("/") + 1) for r, _, size in _names(spark, root) if _wanted(r, dotfiles, dot_directories)]
+    return spark.createDataFrame([x for x in rows if depth is None or x[2] <= depth], _INVENTORY).orderBy("relative_path")
+
 
+def contents(spark: SparkSession, root: str, dotfiles: bool = False, dot_directories: bool = True) -> DataFrame:
+    """relative_path, content and size_bytes of the files that ``scan`` lists, read by executors one file at a time.
 
-def contents(spark: SparkSession, root: str) -> DataFrame:
-    """relative_path and content of the files that Spark lists below a root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = os.path.abspath(re.sub("^file:/*", "/", root)).rstrip("/") + "/"
-    return files.select(F.substring_index("path", base, -1).alias("relative_path"), "content", F.col("length").alias("size_bytes"))
+    Spark's readers pass over names with a leading underscore or dot even where they are given by themselves; those
+    few are opened by a task through Arrow's file systems.
+    """
+    rows = [(r, path) for r, path, _ in _names(spark, root) if _wanted(r, dotfiles, dot_directories)]
+    hidden = [x for x in rows if x[0].rsplit("/", 1)[-1][0] in "_."]
+    named = spark.createDataFrame(rows, "relative_path string, path string")
+
+    def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, path in frame.itertuples(index=False):
+                system, where = fs.FileSystem.from_uri(path if "://" in path else re.sub("^file:/*", "file:///", path))
+                with system.open_input_stream(where) as f:
+                    content = f.read()
+                yield pd.DataFrame({"relative_path": [name], "content": [content], "size_bytes": [len(content)]})
+
+    out = spark.createDataFrame(hidden, named.schema).mapInPandas(opened, "relative_path string, content binary, size_bytes long")
+    plain = [path for r, path in rows if r.rsplit("/", 1)[-1][0] not in "_."]
+    if not plain:
+        return out
+    files = spark.read.format("binaryFile").load(plain)
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    read = files.select(bare("path").alias("path_"), "content", F.col("length").alias("size_bytes"))
+    return read.join(F.broadcast(named.select("relative_path", bare("path").alias("path_"))), "path_").select("relative_path", "content", "size_bytes").unionByName(out)
+
+
+def project_tree(inventory: DataFrame, roots: tuple[str, ...] = ("raw", "outputs", "archive")) -> DataFrame:
+    """The tree below a project's folders, with a folder of its own for each that holds nothing."""
+    own = tree(inventory.where(F.split_part("relative_path", F.lit("/"), F.lit(1)).isin(*roots)))
+    stubs = inventory.sparkSession.createDataFrame([(r, "", 1, "directory", None) for r in roots], own.schema)
+    return own.unionByName(stubs).distinct()
 
 
 def tree(inventory: DataFrame) -> DataFrame:
@@ -86,7 +128,7 @@ def text_digest(text: Column) -> list[Column]:
 
 
 def json_summary(text: Column) -> list[Column]:
-    """Type of a JSON text, and keys of an object or length of an array; nulls where it doesn't parse."""
+    """Type of a JSON text, keys of an object, length of an array and keys of its first item; nulls where it doesn't parse."""
     value = F.try_parse_json(text)
     kind = F.schema_of_variant(value)
     is_object, is_array = F.startswith(kind, F.lit("OBJECT")), F.startswith(kind, F.lit("ARRAY"))
@@ -94,6 +136,7 @@ def json_summary(text: Column) -> list[Column]:
     return [
         F.when(is_object, "dict").when(is_array, "list").otherwise(F.lower(kind)).alias("json_type"), F.when(is_object, F.slice(keys, 1, KEYS)).alias("json_keys"),
         F.when(is_object, F.size(keys)).alias("json_key_count"), F.when(is_array, F.json_array_length(text)).alias("json_length"),
+        F.slice(F.json_object_keys(F.when(is_array, F.get_json_object(text, "$[0]"))), 1, KEYS).alias("json_item_keys"),
     ]
 
 

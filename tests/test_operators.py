@@ -230,11 +230,11 @@ def test_digest_handlers(spark):
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w") as z:
         z.writestr("word/document.xml", xml)
-    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 16, 8)
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sIIBB", 13, b"IHDR", 16, 8, 8, 2)
     files = spark.createDataFrame([("d.docx", "document_docx", raw.getvalue()), ("broken.docx", "document_docx", b"no zip"), ("i.png", "image", png), ("p.pdf", "document_pdf", b"%PDF"), ("x.bin", "binary", None)], "path string, handler_id string, content binary")
     got = {r.path: r for r in digest.digests(files).collect()}
     assert json.loads(got["d.docx"].digest) == {"paragraph_count": 1, "table_count": 1, "preview": "Hello\n\n[表1]\na | b", "preview_truncated": False}
     assert got["broken.docx"].digest is None and "BadZipFile" in got["broken.docx"].error
-    assert json.loads(got["i.png"].digest) == {"width": 16, "height": 8} and got["x.bin"].size_bytes == 0
+    assert json.loads(got["i.png"].digest) == {"format": "PNG", "width": 16, "height": 8, "mode": "RGB"} and got["x.bin"].size_bytes == 0
     digest.register("own", lambda path, content: {"n": len(content)})
     assert "own" in digest.handlers() and json.loads(digest.digests(files.limit(1).selectExpr("path", "'own' handler_id", "content")).first().digest)["n"] > 0

@@ -3,6 +3,7 @@
 import csv
 
 import pytest
+from pyspark.sql import functions as F
 from loomtab.sources import catalog_schemas, tables, workspace
 
 
@@ -46,12 +47,42 @@ def test_digests(spark, root):
     assert (got["_hidden.txt"].line_count, got["_hidden.txt"].preview_truncated) == (2, False)
     assert (got["b.json"].json_type, got["b.json"].json_keys, got["b.json"].json_key_count) == ("dict", ["name", "tags"], 2)
     assert (got["list.json"].json_type, got["list.json"].json_length) == ("list", 3)
+    assert got["list.json"].json_item_keys is None
+    one = spark.createDataFrame([('[{"a": 1, "b": 2}, 3]',)], "t string").select(*workspace.json_summary(F.col("t"))).first()
+    assert (one.json_type, one.json_length, one.json_item_keys) == ("list", 2, ["a", "b"])
     assert got["bad.json"].json_type is None and got["bad.json"].json_keys is None
 
 
 def test_contents_and_payload(spark, root):
     files = workspace.contents(spark, f"file://{root}/raw")
-    assert {r.relative_path for r in files.collect()} == {"a.csv"}
+    assert {(r.relative_path, bytes(r.content)) for r in files.collect()} == {("a.csv", b"name,age\nAnn,3\n"), ("_hidden.txt", b"line one\nline two")}
+    every = {r.relative_path for r in workspace.contents(spark, str(root)).collect()}
+    assert every == {r.relative_path for r in workspace.scan(spark, str(root)).collect()}
+    assert workspace.contents(spark, str(root / "missing")).collect() == []
+
+
+def test_digest_of_a_workspace(spark, root):
+    """Inventory, rules, contents and handlers together, as the reader's most basic call has them."""
+    import json
+
+    from loomtab.operators import digest, rules
+
+    files = workspace.contents(spark, str(root)).withColumnRenamed("relative_path", "path")
+    routed = rules.resolve(files, rules.rules(spark))
+    got = {r.path: json.loads(r.digest) for r in digest.digests(routed).collect()}
+    assert got["raw/a.csv"]["columns"] == ["name", "age"] and got["raw/a.csv"]["shape"] == [1, 2] and got["raw/a.csv"]["file_type"] == "table"
+    assert (got["gbk.txt"]["encoding"], got["gbk.txt"]["preview"], got["gbk.txt"]["format_id"]) == ("gbk", "姓名", "builtin.text.plain")
+    assert got[".dir/b.json"]["json_keys"] == ["name", "tags"] and got["list.json"]["json_length"] == 3 and "json_type" not in got["bad.json"]
+    assert {r.path for r in digest.undigested(files, files.where("path like 'raw/%'")).collect()} == {".dir/b.json", "bad.json", "gbk.txt", "list.json"}
+
+
+def test_project_tree(spark):
+    inventory = spark.createDataFrame([("raw/a/b.csv", 3, 3), ("else/x", 1, 2)], "relative_path string, size_bytes long, depth int")
+    nodes = {(r.path, r.parent, r.kind) for r in workspace.project_tree(inventory).collect()}
+    assert nodes == {("raw", "", "directory"), ("raw/a", "raw", "directory"), ("raw/a/b.csv", "raw/a", "file"), ("outputs", "", "directory"), ("archive", "", "directory")}
+
+
+def test_payload(spark):
     made = spark.createDataFrame([("a", b"text"), ("b", b"\xff\x00")], "relative_path string, content binary")
     assert {tuple(r) for r in workspace.payload(made).collect()} == {("a", "utf-8", "text"), ("b", "base64", "/wA=")}
 
