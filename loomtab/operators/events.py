@@ -124,3 +124,9 @@ EXCERPT = 3000
 
 def report_excerpt(report: Column) -> Column:
     return shorten(report, EXCERPT)
+
+
+def last_of(events: DataFrame, key: str, order: str, n: int) -> DataFrame:
+    """The last n events of each key. Ranks are limited before any list is made, in each task first, so a hot key is no large group."""
+    w = Window.partitionBy(key).orderBy(F.desc(order))
+    return events.withColumn("back_", F.row_number().over(w)).where(F.col("back_") <= n).drop("back_")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog, events, files, requests, stages, stats
+from . import catalog, events, files, memory, requests, stages, stats
 
-_MODULES = (files, catalog, events, stages, stats, requests)
+_MODULES = (files, catalog, events, stages, stats, requests, memory)
 
 
 def queries() -> dict:

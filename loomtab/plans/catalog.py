@@ -28,8 +28,9 @@ def point_lookup_latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_custkey = 1")
-    return o.select(F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("content")).orderBy("version")
+    """Every session's versions in order."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("content"))
+    return o.orderBy("session_id", "version")
 
 
 def members_left_join_users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,9 @@ def accessible_union_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def owned_plus_member_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     projects = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("project_id"), F.col("o_custkey").alias("user_id"))
     members = projects.select(F.col("project_id"), (F.col("user_id") % 7).alias("user_id"))
-    return C.owned_or_member(projects, members, 4)
+    users = projects.select("user_id").distinct().withColumn("is_admin", F.lit(False))
+    found = C.reachable_projects(users, projects.withColumnRenamed("project_id", "id"), members)
+    return found.select(F.col("id").alias("project_id"), "user_id", "via")
 
 
 def session_counts_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,10 +123,10 @@ ORACLES = {
     "session_latest_content_left": """SELECT c.c_custkey AS session_id, c.c_name, o.o_orderkey AS version, o.o_orderpriority AS content FROM customer c
         LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderkey = (SELECT max(x.o_orderkey) FROM orders x WHERE x.o_custkey = c.c_custkey)""",
     "point_lookup_latest_version": "SELECT user_id AS session_id, max(event_id) AS version, arg_max(event_type, event_id) AS content FROM events GROUP BY user_id",
-    "version_history": "SELECT o_orderkey AS version, o_orderstatus AS content FROM orders WHERE o_custkey = 1",
+    "version_history": "SELECT o_custkey AS session_id, o_orderkey AS version, o_orderstatus AS content FROM orders",
     "members_left_join_users": "SELECT o_orderkey, o_custkey AS user_id, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey",
     "accessible_union_dedupe": "SELECT o_orderkey AS session_id, o_custkey AS owner, CASE WHEN o_orderstatus = 'F' THEN 'own' ELSE 'shared' END AS via FROM orders",
-    "owned_plus_member_anti": "SELECT o_orderkey AS project_id, o_custkey AS user_id, CASE WHEN o_custkey = 4 THEN 'owner' ELSE 'member' END AS via FROM orders WHERE o_custkey = 4 OR o_custkey % 7 = 4",
+    "owned_plus_member_anti": "SELECT o_orderkey AS project_id, o_custkey AS user_id, 'owner' AS via FROM orders UNION ALL SELECT o_orderkey, o_custkey % 7, 'member' FROM orders WHERE o_custkey % 7 <> o_custkey AND o_orderkey <> 0 AND o_custkey % 7 IN (SELECT o_custkey FROM orders)",
     "session_counts_enriched": "SELECT c_custkey, c_name, count(o_orderkey) AS session_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL",
     "page_with_total": "SELECT s_suppkey, s_name, (SELECT count(*) FROM supplier) AS total FROM supplier ORDER BY s_suppkey LIMIT 5 OFFSET 3",
     "insert_if_absent": "SELECT p_brand AS project, p_name AS path, min(p_partkey) AS asset_id FROM part s WHERE NOT EXISTS (SELECT 1 FROM part t WHERE t.p_size < 20 AND t.p_brand = s.p_brand AND t.p_name = s.p_name) GROUP BY 1, 2",

@@ -137,7 +137,7 @@ def expired_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trace_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("trace"))
+    e = E.last_of(table(spark, sf_dir, "events"), "user_id", "event_id", 8).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("trace"))
     return e.select("user_id", F.array_join(T.tail(F.col("trace")), ">").alias("trace"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import files as N
 from ..functions import text as T
-from ..operators import catalog, rules
+from ..operators import catalog, names, rules
 from ..sources import workspace
 from .common import table
 
@@ -91,12 +91,9 @@ def safe_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First free ``stem (N).ext`` for names in order of arrival, where names of a folder differ in their number only."""
-    part = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.regexp_replace("p_brand", "#", ""), F.lit(".csv")).alias("name"))
-    from pyspark.sql import Window
-
-    k = F.row_number().over(Window.partitionBy("name").orderBy("p_partkey")) - 1
-    return part.select("p_partkey", F.when(k == 0, F.col("name")).otherwise(F.concat(N.stem(F.col("name")), F.lit(" ("), k.cast("string"), F.lit(")"), N.extension(F.col("name")))).alias("stored"))
+    """Names of uploads to one folder in order of arrival, nothing there yet."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.lit("d").alias("directory"), F.col("p_partkey").alias("ord"), F.concat(F.regexp_replace("p_brand", "#", ""), F.lit(".csv")).alias("name"))
+    return names.allocate(part, part.select("directory", "name").limit(0)).select("p_partkey", "stored")
 
 
 def path_session_id(spark: SparkSession, sf_dir: str) -> DataFrame:

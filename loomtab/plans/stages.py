@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stages as G
 from ..operators import catalog
+from ..operators import events as E
 from .common import table
 
 
@@ -39,7 +40,7 @@ def silent_success(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trace_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = E.last_of(table(spark, sf_dir, "events"), "user_id", "event_id", 8)
     one = F.struct(F.col("event_id").cast("int").alias("invoke"), F.col("event_type").alias("next"), F.lit("why").alias("reason"), F.when(F.col("event_id") % 2 == 0, "more").otherwise("").alias("feedback"))
     per = e.groupBy("user_id").agg(F.array_sort(F.collect_list(one)).alias("trace"))
     return per.select("user_id", G.trace_section(F.col("trace")).alias("section"))

@@ -11,29 +11,42 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.events import CHUNK, COMPLETE
 
-OUT = "session_id long, seq long, type string, content string, n_merged long, live boolean"
-_STATE = "seq long, content string, n long"
+OUT = "session_id long, seq long, type string, content string, n_merged long, live boolean, part long"
+_STATE = "seq long, n long"
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows to put or (live false) to take back; the state is the chunk run that may still grow."""
+    """Rows to put, and (live false) to take back. The state is the place and length of the chunk run that may still grow.
+
+    Of a run a batch emits what it adds, with the number of chunks before it as ``part``, so neither state nor output
+    grows with what was emitted before.
+    """
     rows = pd.concat(list(frames)).sort_values("seq")
-    run = list(state.get) if state.exists else None
-    out: dict[int, tuple] = {}
+    run = list(map(int, state.get)) if state.exists else None
+    added: list[str] = []
+    out: list[tuple] = []
+
+    def emit() -> None:
+        if added:
+            out.append((key[0], run[0], CHUNK, "".join(added), run[1], True, run[1] - len(added)))
+            added.clear()
+
     for seq, kind, content in zip(rows["seq"], rows["type"], rows["content"], strict=True):
         if kind == CHUNK:
-            run = [int(run[0]), run[1] + (content or ""), int(run[2]) + 1] if run else [int(seq), content or "", 1]
-            out[run[0]] = (key[0], run[0], CHUNK, run[1], run[2], True)
+            run = [run[0], run[1] + 1] if run else [int(seq), 1]
+            added.append(content or "")
             continue
+        emit()
         if kind == COMPLETE and run:
-            out[int(run[0])] = (key[0], int(run[0]), CHUNK, run[1], int(run[2]), False)
+            out.append((key[0], run[0], CHUNK, "", run[1], False, run[1]))
         run = None
-        out[int(seq)] = (key[0], int(seq), kind, content or "", 1, True)
+        out.append((key[0], int(seq), kind, content or "", 1, True, 0))
+    emit()
     if run:
         state.update(tuple(run))
     elif state.exists:
         state.remove()
-    yield pd.DataFrame(list(out.values()), columns=[f.split()[0] for f in OUT.split(", ")])
+    yield pd.DataFrame(out, columns=[f.split()[0] for f in OUT.split(", ")])
 
 
 def compact_stream(events: DataFrame) -> DataFrame:
@@ -42,9 +55,10 @@ def compact_stream(events: DataFrame) -> DataFrame:
 
 
 def snapshot(changes: DataFrame) -> DataFrame:
-    """The log that changes add up to: of each event its longest form, unless that was taken back."""
-    last = changes.groupBy("session_id", "seq").agg(F.max_by(F.struct("type", "content", "n_merged", "live"), F.struct("n_merged", ~F.col("live"))).alias("r"))
-    return last.select("session_id", "seq", "r.*").where("live").drop("live")
+    """The log that changes add up to: the parts of each event joined in order, unless it was taken back."""
+    parts = F.array_sort(F.collect_list(F.struct("part", "content")))
+    per = changes.groupBy("session_id", "seq").agg(F.first("type").alias("type"), F.array_join(F.transform(parts, lambda x: x["content"]), "").alias("content"), F.max("n_merged").alias("n_merged"), F.bool_and("live").alias("live"))
+    return per.where("live").drop("live")
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:

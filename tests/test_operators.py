@@ -238,3 +238,34 @@ def test_digest_handlers(spark):
     assert json.loads(got["i.png"].digest) == {"format": "PNG", "width": 16, "height": 8, "mode": "RGB"} and got["x.bin"].size_bytes == 0
     digest.register("own", lambda path, content: {"n": len(content)})
     assert "own" in digest.handlers() and json.loads(digest.digests(files.limit(1).selectExpr("path", "'own' handler_id", "content")).first().digest)["n"] > 0
+
+
+def test_quantiles_against_numpy(spark):
+    import numpy as np
+    from loomtab.operators import stats
+
+    r = np.random.default_rng(3)
+    a, b = r.normal(size=1001).round(2).tolist(), [7.0] * 900 + r.integers(0, 5, 101).astype(float).tolist()
+    c = [None if i % 3 else float(i) for i in range(1001)]
+    frame = spark.createDataFrame(list(zip(a, b, c, [None] * 1001)), "a double, b double, c double, d double").repartition(5)
+    got = {x.column_name: x.quantiles for x in stats.quantiles(frame, ["a", "b", "c", "d"], (0.0, 0.1, 0.25, 0.5, 0.99, 1.0)).collect()}
+    for name, values in (("a", a), ("b", b), ("c", [x for x in c if x is not None])):
+        assert np.allclose(got[name], np.quantile(values, [0, 0.1, 0.25, 0.5, 0.99, 1])), name
+    assert "d" not in got
+    assert {x.column_name: x.p50 for x in stats.describe(frame, ["a", "d"]).collect()}["d"] is None
+
+
+def test_memory_texts(spark):
+    from loomtab.operators import memory
+    from pyspark.sql import functions as F
+
+    nested = {"files": {"a.csv": {"shape": [3, 2], "columns": ["x", "y"], "deep": {"er": {"est": {"of": {"all": None}}}}, "ok": True, "preview": "l1\nl2"}}, "items": [{"n": 1}, [], "s"], "none": [], "long": "z" * 241}
+    want = (
+        "## files\n\n### a.csv\n\n#### shape\n\n- 3\n- 2\n\n#### columns\n\n- x\n- y\n\n#### deep\n\n##### er\n\n###### est\n\n###### of\n\n###### all\n\n（无）\n\n#### ok\n\n是\n\n#### preview\n\n```\nl1\nl2\n```\n\n"
+        "## items\n\n### 第 1 项\n\n#### n\n\n1\n\n### 第 2 项\n\n（空）\n\n### 第 3 项\n\ns\n\n## none\n\n（空）\n\n## long\n\n```\n" + "z" * 241 + "\n```\n\n"
+    )
+    frame = spark.createDataFrame([(json.dumps(nested),), ("{broken",), (None,)], "d string")
+    assert [x[0] for x in frame.select(memory.digest_markdown("d")).collect()] == [want, None, None]
+    results = F.array(F.struct(F.lit("a.py").alias("path"), F.lit(False).alias("success"), F.lit(1).alias("returncode"), F.lit("").alias("stdout"), F.lit("e" * 3000).alias("stderr")))
+    text = spark.range(1).select(memory.worker_section(F.lit(False), F.array(F.lit("m"), F.lit("")), results, F.lit(" log "))).first()[0]
+    assert text == "- 整体成功: False\n- 汇总错误: m\n- 文件 `a.py`: success=False, returncode=1\n  - stderr 摘录:\n```\n" + "e" * 2480 + "\n…（已截断）\n```\n- 聚合日志摘录:\n```\nlog\n```"
