@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import keyed, table, written
+from .tables import id_key, keyed, table, written
 
 WINDOW, SHINGLE = 13, 3
 SMALL = 200_000
@@ -133,7 +133,7 @@ def contamination(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_
 def keep_clean(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, with its columns, that are not contaminated."""
     bad = contamination(df, bench, id_col, text_col).where("contaminated").select("k", "h").distinct()
-    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k"), F.xxhash64(F.col(text_col)).alias("h"))
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), id_key(id_col).alias("k"), F.xxhash64(F.col(text_col)).alias("h"))
     return own.join(bad, ["k", "h"], "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
 
 

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import keyed, let, table, written
+from .tables import id_key, keyed, let, table, written
 
 RUN, LONG = 2, 50
 #: What a line without a word consists of.
@@ -95,7 +95,7 @@ def repeated_lines(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFra
 def _rewritten(df: DataFrame, run: int, id_col: str, text_col: str) -> DataFrame:
     """Columns row (all of ``df``), text (without the deleted lines) and gone (their indexes, null for none)."""
     own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    docs = own.withColumns({"k": F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))), "h": F.xxhash64("text")})
+    docs = own.withColumns({"k": id_key("id"), "h": F.xxhash64("text")})
     joined = docs.join(repeated_lines(keyed(df, id_col, text_col), run).hint("shuffle_hash"), ["k", "h"], "left")
     lines = _lines()
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .tables import bounded_batches, parallelism, table, written
+from .tables import bounded_batches, id_key, parallelism, table, written
 
 BITS, WORDS, SEED = 2, 3, 42
 SHARED = 8 - BITS
@@ -240,16 +240,16 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     input); texts are not shuffled by component, so a large group is no hot key.
     """
     made = written(
-        fingerprints(df.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("h")).alias("key"), F.col(text_col).alias("text")), "key", "text"),
+        fingerprints(df.select(F.struct(F.col(id_col).isNull().alias("none"), id_key(id_col).alias("doc"), F.xxhash64(text_col).alias("h")).alias("key"), F.col(text_col).alias("text")), "key", "text"),
         "fingerprints",
     )
     distinct = written(made.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     roots = connected_components(links(distinct), "simhash-links")
     member = distinct.join(roots, distinct.fp == roots.node, "left").select("least", F.coalesce("root", "fp").alias("root"))
     best = member.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.*"))
-    best = best.select(F.coalesce("doc", F.lit(-(2**63))).alias("k"), "h")
+    best = best.select(F.col("doc").alias("k"), "h")
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    own = df.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k"), F.xxhash64(text_col).alias("h"))
+    own = df.select(row.alias("row"), id_key(id_col).alias("k"), F.xxhash64(text_col).alias("h"))
     kept = own.join(best, ["k", "h"], "left_semi")
     # repeated rows have one key: one of them stays, pre-aggregated
     return kept.groupBy("k", "h").agg(F.first("row").alias("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])

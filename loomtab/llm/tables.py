@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 import weakref
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,28 +17,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """The folder that all executors share: spark.checkpoint.dir, or on one machine, as in tests, a folder of its own where that is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
+    return where or f"file://{tempfile.gettempdir()}/checkpoints"
 
 
+#: Folders that the running query may delete once its result is a table; each thread and run has its own list.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-_made: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared folder: cuts the lineage, outlives executors.
+def passing(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, deleted with the tables of the running query."""
+    path = f"{shared_dir(spark)}/loomtab-{name}-{uuid.uuid4().hex}"
+    own = _passing.get()
+    if own is not None:
+        own.append(path)
+    return path
 
-    Such tables stay until ``discard`` or ``discard_since``, as a result that is read later may need them.
-    """
+
+def _table(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomtab-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
-    _made.append(path)
     return out
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` as a Parquet table in the shared folder: cuts the lineage, outlives executors.
+
+    Such tables stay until ``discard``, or until the result of the ``settled`` query that made them is a table itself.
+    """
+    return _table(df, passing(df.sparkSession, name))
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, as a table; everything that was written on the way is deleted, whether it succeeds or not."""
+    token = _passing.set([])
+    try:
+        return _table(make(), f"{shared_dir(spark)}/loomtab-{name}-{uuid.uuid4().hex}")
+    finally:
+        own = _passing.get()
+        _passing.reset(token)
+        for path in own:
+            _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -47,21 +76,6 @@ def discard(df: DataFrame) -> None:
     path = _paths.pop(df, None)
     if path:
         _delete(df.sparkSession, path)
-        _made.remove(path)
-
-
-def made() -> int:
-    """How many tables there are; what is made from here on can be discarded together."""
-    return len(_made)
-
-
-def discard_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
-    """Deletes the tables made since a mark, but for one that is still read."""
-    kept = _paths.get(keep)
-    for path in _made[mark:]:
-        if path != kept:
-            _delete(spark, path)
-    _made[mark:] = [kept] if kept else []
 
 
 #: Rows of an Arrow batch; a batch is held by the JVM and by Python, several times over.
@@ -81,15 +95,18 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def id_key(id_col: str) -> Column:
+    """The order of a row's id as a long: null is the least (as -2**63, if an id is that); a text that is no whole number, its hash."""
+    plain = F.col(f"`{id_col}`")
+    return F.coalesce(plain.try_cast("long"), F.when(plain.isNotNull(), F.xxhash64(plain.cast("string"))), F.lit(-(2**63)))
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
-    """Columns id, text and the key (k, h) of a row: its id (null: the least long) and a hash of its text.
+    """Columns id, text and the key (k, h) of a row: ``id_key`` of its id and a hash of its text.
 
     Rows that agree in both are copies of one document and get one verdict.
     """
-    return df.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k"), F.xxhash64(F.col(text_col)).alias("h"),
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), *more,
-    )
+    return df.select(id_key(id_col).alias("k"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *more)
 
 
 def parallelism(spark: SparkSession) -> int:

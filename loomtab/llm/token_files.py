@@ -25,7 +25,6 @@ that repeat an id stand side by side in order of their texts' length and hash.
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,7 +39,7 @@ from tokenizers import Tokenizer
 from .blocks import Block, blocks
 from .bpe import TEXT_BYTES, binary, ragged
 from .pieces import PieceIndex
-from .tables import bounded_batches, parallelism, shared_dir, table
+from .tables import bounded_batches, parallelism, passing, table
 from .wavelet import WaveletMatrix
 
 VOCABULARY, END = "word_bpe_49k.json", 1
@@ -320,7 +319,7 @@ def occurrences_of(blocks_: DataFrame, tokens: list[int]) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    directory = f"{shared_dir(spark)}/loomtab-tokens-{uuid.uuid4().hex}"
+    directory = passing(spark, "tokens")
     write_shards(encode(in_order(table(spark, sf_dir, "documents")), public_tokenizers.path(VOCABULARY)), directory)
     found = ids_of(read_shards(spark, directory))
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "first_id", "n_before", "previous")

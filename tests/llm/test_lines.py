@@ -88,3 +88,9 @@ def test_sql_gives_the_same(spark, rows, tmp_path):
 
 def test_empty(spark):
     assert L.remove_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_ids_that_are_no_numbers(spark):
+    rows = [("a", "x y\nz w\nend"), ("b", "x y\nz w\nother"), (None, "x y\nz w\nthird")]
+    got = {r.doc_id: r.text for r in L.remove_repeated_lines(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got[None] == rows[2][1] and {got["a"], got["b"]} == {"end", "other"}

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from loomtab.llm import toxicity as X
 
@@ -61,3 +62,36 @@ def test_risk_is_corrected_by_the_prior():
     model = X.train([say(1) for _ in range(200)], [say(i % 5 == 0) for i in range(1000)], 0.2)
     z = [X.scores(X.features(next(X.blocks(X.pa.array([t]))), X.SPEC), np.frombuffer(model["weights"], np.float32), model["bias"], mean=False)[0] for t in (say(1), say(0))]
     assert z[0] > 0 > z[1]
+
+
+def test_training_steps_against_a_dense_form():
+    """The risk and its gradient written out for dense counts of the same buckets, stepped likewise."""
+    from loomtab.llm.hashed import Adam, features, sigmoid
+
+    r = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(40)]
+    say = lambda low, high: " ".join(words[i] for i in r.integers(low, high, 25))
+    positive, unlabelled, prior = [say(0, 22) for _ in range(12)], [say(10, 40) for _ in range(20)], 0.2
+    model = X.train(positive, unlabelled, prior)
+    counts = np.zeros((32, 1 << X.SPEC.bits))
+    for i, text in enumerate([*positive, *unlabelled]):
+        for block in X.blocks(pa.array([text], pa.string())):
+            for index, _ in features(block, X.SPEC):
+                np.add.at(counts[i], index, 1)
+    w = np.frombuffer(model["weights"], np.float32)
+    seen = np.flatnonzero(w)
+    held = (counts > 0).astype(int)
+    chosen = X._chosen(held[:12].sum(axis=0), held[12:].sum(axis=0), 12, 20)
+    assert set(seen) <= set(chosen) and len(chosen)
+    x, v, b = counts[:, chosen], np.zeros(len(chosen), np.float32), np.full(1, np.log(prior / (1 - prior)), np.float32)
+    move, shift = Adam(v.shape, 0.02), Adam(b.shape, 0.02)
+    for _ in range(X._ROUNDS):
+        z = x @ v + b[0]
+        p, u = sigmoid(z[:12]), sigmoid(z[12:])
+        as_zero = np.concatenate((-prior * p / 12, u / 20))
+        as_one = np.concatenate((prior * (p - 1) / 12, np.zeros(20)))
+        risk = -np.log(1 - u).mean() + prior * np.log(1 - p).mean()  # unlabelled as 0, less the positives' share of it
+        g = as_one + as_zero if risk >= 0 else -as_zero
+        move.step(v, (x.T @ g).astype(np.float32) + X._DECAY * v)
+        shift.step(b, g.sum(keepdims=True).astype(np.float32))
+    assert np.allclose(w[chosen], v, atol=1e-3) and abs(model["bias"] - b[0]) < 1e-3
