@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtab.llm import bpe, decontaminate, lines, quality, simhash
-from loomtab.llm.tables import discard_since, made, table, written
+from loomtab.llm.tables import settled, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,5 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        mark = made()
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-        discard_since(spark, mark, keep=docs)  # what the stage itself has written is not read again
+        docs = settled(spark, f"stage-{name}", lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))  # what the stage itself wrote goes
     return docs
