@@ -61,7 +61,8 @@ def base_name(name: Column, fallback: str = "file") -> Column:
 def safe_name(name: Column, fallback: str = "file") -> Column:
     """A name of word characters, dots, hyphens, spaces and parentheses, of at most NAME_LIMIT characters.
 
-    Other runs become one underscore in the stem and nothing in the extension.
+    Other runs become one underscore in the stem and nothing in the extension. What is replaced by what, and in which
+    order, is fixed: names that exist were made so.
     """
     base, odd = base_name(name, fallback), NOT_IN_NAMES
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace(stem(base), odd, "_"), "_{2,}", "_"), " {2,}", " ")

@@ -13,6 +13,9 @@ SILENT = "代码执行未产生任何可见输出，请检查是否编写了入
 NO_TRACE = "（尚无）"
 #: The heading of a memory document's fourth section, and that of any numbered section.
 _FOURTH, _NUMBERED = r"^##\s*4\.\s*[^\n]*\n", r"^##\s*\d+\.\s+"
+#: The parts of a decision's line in a memory document, and of a cell and a line in a table dump.
+DECIDED, DECIDED_NEXT, DECIDED_WHY, DECIDED_MORE = "- 第 ", " 次 supervisor → **", "**；理由: ", "\n  - 反馈摘录: "
+CELL, NO_CELL, LINE, LINE_END = "列{}='", "空值", "行", "："
 STAGES = ("planner", "coder", "worker", "reporter", "finish")
 
 
@@ -36,18 +39,34 @@ def plan_is_valid(analysis: Column, steps: Column) -> Column:
     return (stripped(analysis) != "") & (stripped(steps) != "")
 
 
+_DECISION = "next_stage string, feedback_for_next string, reason string"
+
+
 def decision(content: Column) -> Column:
     """Struct (next_stage, feedback_for_next, reason) from a reply that holds a JSON object; null where it doesn't.
 
-    A fenced block that holds an object goes first; else the text from the first brace to the last.
+    A fenced block that holds an object goes first; else the text from the first brace to the last, or to the end
+    where none closes. What does not parse is mended: commas before a brace go, then an open text and an open object
+    are closed. Stages that are unknown and texts beyond their bounds make no decision.
     """
     text = stripped(content)
     blocks = F.transform(F.split(text, "```"), lambda b: F.regexp_replace(stripped(b), r"^(?i:json)\s*", ""))
     fenced = F.get(F.filter(blocks, lambda b: F.startswith(b, F.lit("{"))), 0)
     source = F.coalesce(F.when(F.contains(text, F.lit("```")), fenced), text)
-    made = F.from_json(F.regexp_extract(source, r"(?s)\{.*\}", 0), "next_stage string, feedback_for_next string, reason string")
-    ok = made["next_stage"].isin(*STAGES) & (F.length(F.coalesce(made["feedback_for_next"], F.lit(""))) <= 8000) & (F.length(F.coalesce(made["reason"], F.lit(""))) <= 2000)
-    return F.when(ok, F.struct(made["next_stage"].alias("next_stage"), F.coalesce(made["feedback_for_next"], F.lit("")).alias("feedback_for_next"), F.coalesce(made["reason"], F.lit("")).alias("reason")))
+    whole, open_ = F.regexp_extract(source, r"(?s)\{.*\}", 0), F.regexp_extract(source, r"(?s)\{.*", 0)
+    found = F.when(whole != "", whole).otherwise(open_)
+    tidy = F.regexp_replace(found, r",(\s*\})", "$1")
+    # a lambda's variable is worked out once, however often its fields are asked for
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    parsed = lambda t: F.from_json(F.when(F.try_parse_json(t).isNotNull(), t), _DECISION)
+    mended = once(tidy, lambda t: F.coalesce(parsed(t), parsed(F.concat(t, F.lit('"}'))), parsed(F.concat(t, F.lit("}")))))
+
+    def checked(made: Column) -> Column:
+        feedback, reason = F.coalesce(made["feedback_for_next"], F.lit("")), F.coalesce(made["reason"], F.lit(""))
+        ok = made["next_stage"].isin(*STAGES) & (F.length(feedback) <= 8000) & (F.length(reason) <= 2000)
+        return F.when(ok, F.struct(made["next_stage"].alias("next_stage"), feedback.alias("feedback_for_next"), reason.alias("reason")))
+
+    return once(mended, checked)
 
 
 def error_text(messages: Column, results: Column, most: int = 12_000) -> Column:
@@ -67,9 +86,9 @@ def with_silence(success: Column, logs: Column, errors: Column) -> Column:
 def trace_section(trace: Column, n: int = 8, most: int = 400) -> Column:
     """Lines for the last decisions; trace: array of (invoke, next, reason, feedback)."""
     def lines(t: Column) -> Column:
-        head = F.concat(F.lit("- 第 "), t["invoke"].cast("string"), F.lit(" 次 supervisor → **"), F.coalesce(t["next"], F.lit("")), F.lit("**；理由: "), shorten(t["reason"], most))
+        head = F.concat(F.lit(DECIDED), t["invoke"].cast("string"), F.lit(DECIDED_NEXT), F.coalesce(t["next"], F.lit("")), F.lit(DECIDED_WHY), shorten(t["reason"], most))
         more = shorten(t["feedback"], most)
-        return F.when(more == "", head).otherwise(F.concat(head, F.lit("\n  - 反馈摘录: "), more))
+        return F.when(more == "", head).otherwise(F.concat(head, F.lit(DECIDED_MORE), more))
 
     return F.when(F.size(F.coalesce(trace, F.array().cast("array<struct<invoke:int,next:string,reason:string,feedback:string>>"))) < 1, NO_TRACE).otherwise(F.array_join(F.transform(tail(trace, n), lines), "\n"))
 
@@ -110,8 +129,8 @@ def flattened(content: Column) -> Column:
 
 def coordinates(cells: list[str], position: Column) -> Column:
     """One line of a table dump: each cell with its row and column number."""
-    shown = [F.concat(F.lit(f"列{i}='"), F.coalesce(F.btrim(F.col(f"`{c}`").cast("string"), F.lit(_BLANKS)), F.lit("空值")), F.lit("'")) for i, c in enumerate(cells)]
-    return F.concat(F.lit("行"), position.cast("string"), F.lit("："), F.concat_ws(" | ", *shown))
+    shown = [F.concat(F.lit(CELL.format(i)), F.coalesce(F.btrim(F.col(f"`{c}`").cast("string"), F.lit(_BLANKS)), F.lit(NO_CELL)), F.lit("'")) for i, c in enumerate(cells)]
+    return F.concat(F.lit(LINE), position.cast("string"), F.lit(LINE_END), F.concat_ws(" | ", *shown))
 
 
 def delete_verdict(path: Column, session_exists: Column, archived: Column, kind: Column) -> Column:

@@ -41,12 +41,22 @@ def permissions(raw: Column) -> Column:
     return F.coalesce(F.from_json(raw, "array<string>"), F.array(F.lit("data_download")))
 
 
+#: Characters that no command may hold, and the one form that commands have.
+NOT_IN_COMMANDS, COMMAND = r"[;|&`$<>]", r"^python3\s+(\S+)\s*$"
+
+
 def allowed_command(command: Column) -> Column:
     """Script that a ``python3 <script>.py`` command names; null for any other command."""
-    script = F.regexp_extract(command, r"^python3\s+(\S+)\s*$", 1)
-    return F.when(~F.regexp_like(command, F.lit(r"[;|&`$<>]")) & F.endswith(script, F.lit(".py")), script)
+    script = F.regexp_extract(command, COMMAND, 1)
+    return F.when(~F.regexp_like(command, F.lit(NOT_IN_COMMANDS)) & F.endswith(script, F.lit(".py")), script)
 
 
 def tail(items: Column, n: int = 8) -> Column:
     """The last n elements; all of them where there are fewer."""
     return F.when(F.size(items) <= n, items).otherwise(F.slice(items, -n, n))
+
+
+def is_json(text: Column) -> Column:
+    """Whether all of a text is one JSON value: the parser by itself takes a value with anything after it."""
+    one = F.concat(F.lit("["), text, F.lit("]"))
+    return F.coalesce(F.try_parse_json(one).isNotNull() & (F.json_array_length(one) == 1), F.lit(False))

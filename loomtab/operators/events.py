@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import shorten
+from ..functions.text import is_json, shorten
 
 CHUNK, COMPLETE = "llm_chunk", "llm_complete"
 #: Event types after which a session's stream ends.
@@ -105,7 +105,7 @@ def sse_events(frames: DataFrame, text: str = "text") -> DataFrame:
     blanks = F.lit(" \t\r\f\u000b ")
     line = each.withColumn("line_", F.btrim("line_", blanks)).where(F.startswith("line_", F.lit("data:")))
     sent = line.withColumn("payload", F.btrim(F.substring("line_", 6, 1 << 30), blanks)).where("payload <> ''")
-    return sent.where(F.try_parse_json("payload").isNotNull()).drop("line_")
+    return sent.where(is_json(F.col("payload"))).drop("line_")
 
 
 def appended(log: DataFrame, produced: DataFrame, session: str = "session_id", version: str = "version", order: str = "at") -> DataFrame:

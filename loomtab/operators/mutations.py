@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stages import delete_verdict
+
 
 def insert_if_absent(target: DataFrame, staged: DataFrame, keys: list[str]) -> DataFrame:
     """Staged rows whose keys the target lacks, each key once (least row first): what an append would add."""
@@ -95,3 +97,14 @@ def registered(files: DataFrame, assets: DataFrame, extensions: list[str], targe
     ext = F.lower(F.regexp_extract("relative_path", r"(\.[^./]*)$", 1))
     staged = files.where(ext.isin(extensions)).select("project_id", target.alias("relative_path"), "id")
     return get_or_create(assets, staged, ["project_id", "relative_path"])
+
+
+def deleted_files(asked: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests with their verdict (see ``delete_verdict``), and the assets that stay once the files of accepted ones are gone.
+
+    asked: project_id, path, session_exists, archived, kind; assets: project_id, relative_path.
+    """
+    clean = F.ltrim(F.translate(F.trim(F.coalesce("path", F.lit(""))), "\\", "/"), F.lit("/"))
+    judged = asked.withColumn("verdict", delete_verdict(F.col("path"), F.col("session_exists"), F.col("archived"), F.col("kind")))
+    gone = judged.where("verdict = 'ok'").select("project_id", clean.alias("relative_path"))
+    return judged, delete_by_key(assets, gone, ["project_id", "relative_path"])

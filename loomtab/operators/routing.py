@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.files import extension, last_part
+from ..functions.text import allowed_command
 
 #: Bounds of the loop.
 MOST_INVOCATIONS, MOST_CORRECTIONS, MOST_REPLANS = 24, 5, 4
@@ -113,3 +114,11 @@ def hint(english: Column) -> Column:
         F.when(~plan, NO_PLAN).when((last == "planner") & data, PLANNED).when((last == "worker") & ran & ~F.col("failed"), RAN).when((last == "reporter") & done, REPORTED),
     ]
     return F.concat_ws("\n", *lines)
+
+
+def runnable(commands: DataFrame, scripts: DataFrame, key: str = "session_id") -> DataFrame:
+    """``commands`` (key, command) with ``verdict``: refused (not of the allowed form), missing (no such script there), or ok."""
+    asked = commands.withColumn("script", allowed_command(F.col("command")))
+    there = scripts.select(key, F.col("relative_path").alias("script")).distinct().withColumn("there_", F.lit(True))
+    verdict = F.when(F.col("script").isNull(), "refused").when(F.col("there_").isNull(), "missing").otherwise("ok")
+    return asked.join(there, [key, "script"], "left").withColumn("verdict", verdict).drop("there_")

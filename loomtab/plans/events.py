@@ -12,7 +12,7 @@ from ..operators import events as E
 from ..operators import routing as R
 from ..operators import uploads as U
 from ..streaming import events as S
-from .common import table
+from .common import shared_dir, table
 
 #: Turns of a conversation as events of a session, by turn modulo 5.
 KINDS = ("llm_chunk", "llm_chunk", "llm_complete", "llm_chunk", "stage_result")
@@ -30,7 +30,7 @@ def event_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same log through a stream of files, to completion, and the snapshot of its changes."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints'}/loomtab-stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/loomtab-stream-{uuid.uuid4().hex}"
     _log(spark, sf_dir).repartition(4, "session_id").write.parquet(f"{root}/in")
     events = spark.readStream.schema("session_id long, seq long, type string, content string").parquet(f"{root}/in")
 

@@ -17,6 +17,7 @@ from ..operators import mutations as M
 from ..operators import names, rules
 from ..operators import routing as R
 from ..operators import uploads as U
+from ..sources import tables
 from .common import table
 
 _SID = "CASE WHEN o_orderkey % 11 = 0 THEN ' ' WHEN o_orderkey % 13 = 0 THEN NULL ELSE 's' || (o_orderkey - o_orderkey % 2) END"
@@ -261,7 +262,7 @@ _CLEAN = "ltrim(replace(trim(path), '\\', '/'), '/')"
 
 
 @query(f"""WITH w AS ({_WANTED.replace(chr(92) * 2, chr(92))}), a AS (SELECT DISTINCT p_size % 20 AS project_id, 'raw/' || lower(substr(p_type, 1, 1)) || '_1.csv' AS path FROM part UNION SELECT DISTINCT p_size % 20, 'raw/f_0.csv' FROM part)
-    SELECT id, CASE WHEN NOT starts_with({_CLEAN}, 'raw/') OR contains({_CLEAN}, '../') THEN 'bad_path' WHEN NOT EXISTS (SELECT 1 FROM a WHERE a.project_id = w.project_id AND a.path = {_CLEAN}) THEN 'missing' ELSE 'ok' END AS verdict FROM w""")
+    SELECT id, CASE WHEN NOT starts_with({_CLEAN}, 'raw/') OR contains({_CLEAN}, '../') THEN 'bad_path' WHEN NOT EXISTS (SELECT 1 FROM a WHERE a.project_id = w.project_id AND a.path = {_CLEAN.replace('path', 'w.path')}) THEN 'missing' ELSE 'ok' END AS verdict FROM w""")
 def raw_copy_checks(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     there = part.selectExpr("p_size % 20 AS project_id", "'raw/' || lower(substr(p_type, 1, 1)) || '_1.csv' AS clean").unionByName(part.selectExpr("p_size % 20 AS project_id", "'raw/f_0.csv' AS clean")).distinct()
@@ -452,3 +453,43 @@ def upload_sweep(spark, sf_dir):
     said = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     manifest = F.when(F.col("event_id") % 6 == 1, F.concat(F.lit('{"created_at": "'), said)).when(F.col("event_id") % 6 == 2, F.lit('{"size": 3}')).when(F.col("event_id") % 6 > 2, F.concat(F.lit('{"created_at": "'), said, F.lit('", "size": 3}')))
     return U.sweep(table(spark, sf_dir, "events").select("event_id", manifest.alias("manifest")), F.to_timestamp(F.lit("2024-01-03 00:00:00"))).select("event_id", "verdict")
+
+
+# commands, deletions, headers, decisions
+
+
+_COMMANDS = "SELECT p_partkey AS id, p_size % 6 AS session_id, CASE WHEN p_size % 7 = 0 THEN 'python ' WHEN p_size % 7 = 1 THEN ' python3 ' ELSE 'python3  ' END || p_type || CASE WHEN p_size % 5 = 0 THEN '.sh' ELSE '.py' END || CASE WHEN p_size % 11 = 0 THEN '; rm' WHEN p_size % 11 = 1 THEN ' x' ELSE ' ' END AS command FROM part"
+_SCRIPTS = "SELECT p_size % 6 AS session_id, p_type || '.py' AS relative_path FROM part WHERE p_partkey % 3 = 0"
+
+
+@query(f"""WITH c AS ({_COMMANDS}), s AS (SELECT DISTINCT * FROM ({_SCRIPTS})), m AS (SELECT *, regexp_extract(command, '^python3\\s+(\\S+)\\s*$', 1) AS script FROM c)
+    SELECT id, CASE WHEN regexp_matches(command, '[;|&`$<>]') OR NOT ends_with(script, '.py') THEN 'refused' WHEN s.relative_path IS NULL THEN 'missing' ELSE 'ok' END AS verdict FROM m LEFT JOIN s ON s.session_id = m.session_id AND s.relative_path = m.script""")
+def runnable_commands(spark, sf_dir):
+    return R.runnable(_rows(spark, sf_dir, "part", _COMMANDS), _rows(spark, sf_dir, "part", _SCRIPTS)).select("id", "verdict")
+
+
+_ASKED = "SELECT p_size % 20 AS project_id, 'raw/' || replace(p_name, ' ', '_') || '.csv' AS path, p_partkey % 3 <> 0 AS session_exists, p_partkey % 5 = 0 AS archived, CASE WHEN p_partkey % 4 = 0 THEN 'directory' WHEN p_partkey % 7 > 0 THEN 'file' END AS kind FROM part WHERE p_partkey % 2 = 0"
+
+
+@query(f"{_with('assets')}, g AS (SELECT project_id, path FROM ({_ASKED}) WHERE session_exists AND NOT archived AND kind = 'file') SELECT id, project_id, relative_path FROM assets a WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.project_id = a.project_id AND g.path = a.relative_path)")
+def assets_after_deletions(spark, sf_dir):
+    """Assets that stay after requests to delete files, of which some are refused."""
+    return M.deleted_files(_rows(spark, sf_dir, "part", _ASKED), made(spark, sf_dir, "assets"))[1].select("id", "project_id", "relative_path")
+
+
+@query("SELECT p_brand AS x, p_type AS x_1, p_name AS \"Unnamed: 2\" FROM part WHERE p_partkey >= (SELECT p_partkey FROM part ORDER BY 1 OFFSET 7 LIMIT 1)")
+def repaired_header(spark, sf_dir):
+    """A table whose data begins at its eighth row, under given names of which two are equal and one blank."""
+    raw = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), "p_brand", "p_type", "p_name")
+    return tables.repaired(raw, 7, ["x", "x", " "])[0]
+
+
+_REPLIES = """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'so:' || chr(10) || '```json' || chr(10) ELSE 'I say ' END || '{"next_stage": "' || CASE WHEN event_type = 'error' THEN 'coder' WHEN event_type = 'click' THEN 'worker' WHEN event_type = 'view' THEN 'nowhere' ELSE 'finish' END || '", "reason": "' || CASE WHEN event_id % 10 = 0 THEN repeat('r', 2001) ELSE 'r' || user_id END
+    || CASE WHEN event_id % 3 = 0 THEN '"}' WHEN event_id % 3 = 1 THEN '", }' ELSE '' END || CASE WHEN event_id % 4 = 0 THEN chr(10) || '```' ELSE '' END AS reply FROM events"""
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'view' OR event_id % 10 = 0 THEN '-' WHEN event_type = 'error' THEN 'coder' WHEN event_type = 'click' THEN 'worker' ELSE 'finish' END AS next_stage, CASE WHEN event_type = 'view' OR event_id % 10 = 0 THEN '-' ELSE 'r' || user_id END AS reason FROM events""")
+def mended_decisions(spark, sf_dir):
+    """Decisions from replies with prose, fences, trailing commas and objects that are cut off."""
+    made_ = _rows(spark, sf_dir, "events", _REPLIES).select("event_id", G.decision(F.col("reply")).alias("d"))
+    return made_.select("event_id", F.coalesce("d.next_stage", F.lit("-")).alias("next_stage"), F.coalesce("d.reason", F.lit("-")).alias("reason"))

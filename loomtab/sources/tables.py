@@ -90,6 +90,20 @@ def promote_header(raw: DataFrame, row: int = 0, names: list[str] | None = None)
     return body.select(*[typed(c, v).alias(n) for c, v, n in zip(cells, values, made, strict=True)])
 
 
+def repaired(table: DataFrame, start: int, names: list[str], place: str = "pos") -> tuple[DataFrame, bool]:
+    """The table from its row ``start`` on, its columns named anew and made unique, and whether that was done.
+
+    A start that is not below the number of rows leaves the table as it is. ``place`` orders rows and is no column;
+    only a count and one row's place come to the driver.
+    """
+    cells = [c for c in table.columns if c != place]
+    if start >= table.count() or len(names) != len(cells):
+        return table.drop(place), False
+    first = table.select(place).orderBy(place).offset(start).limit(1).first()[0]
+    body = table.where(F.col(place) >= first)
+    return body.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(cells, unique_names(names), strict=True)]), True
+
+
 def sample(raw: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     return raw.orderBy("pos").limit(rows)
 
