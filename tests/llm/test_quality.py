@@ -86,3 +86,22 @@ def test_words_of_equal_hash_are_not_equal(spark):
     got = sorted(tuple(r)[:7] for r in Q.judge(spark.createDataFrame(texts, "doc_id long, text string"), None).drop("quality_score").collect())
     assert got == [(i, *_base(t)) for i, t in texts]
     assert got[0][5] == 0
+
+
+def test_verdicts_against_a_dense_form(spark, labelled):
+    """Scores by dense counts of the same buckets, mean by kind, then the fitted scaling and threshold."""
+    import pyarrow as pa
+
+    docs, labels = labelled
+    model = Q.fitted(docs, labels)
+    w = np.frombuffer(model["weights"], np.float32).astype(float)
+    for r in Q.judge(docs, model, carry=True).collect():
+        z = model["bias"]
+        for block in Q.blocks(pa.array([r.text], pa.string())):
+            for index, _ in Q.features(block, Q.SPEC):
+                counts = np.bincount(index, minlength=len(w))
+                z += Q._SCALE * (counts @ w) / max(counts.sum(), 1)
+        p = 1 / (1 + np.exp(-(model["slope"] * z + model["offset"])))
+        assert abs(p - r.quality_score) < 1e-4
+        assert r.base_failed == _base(r.text)[5]
+        assert abs(p - Q.THRESHOLD) < 1e-3 or r.kept == (not r.base_failed and p >= Q.THRESHOLD)
