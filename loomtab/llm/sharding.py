@@ -1,9 +1,10 @@
 """Contiguous shards of near equal bytes from global prefix sums.
 
 Rows are put in order of id (then checksum and size) by a range exchange and
-written once with the number of their partition. Per-partition totals, a few
-numbers each, become offsets; a row's global byte position is its running sum
-within the partition plus the partition's offset. A row goes to the shard in
+written once with the number of their partition; partitions are as many as the
+rows ask for. Per-partition totals, a few numbers each, become offsets; a row's
+global byte position is its running sum within the partition plus the
+partition's offset. A row goes to the shard in
 which its middle byte falls when all bytes are cut into equal lengths, so
 shards are contiguous in id order and each cut is off its target by at most
 one row's size. Law ``bytes``: copies of a text are not kept together, as one
@@ -18,10 +19,10 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import parallelism, table, written
+from .tables import in_order, table, written
 
 SHARDS = 8
 
@@ -31,23 +32,12 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", t
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
     order = ["id", "text_crc32", "size"]
-    dealt = written(
-        rows.repartitionByRange(parallelism(df.sparkSession), *order).withColumn("part", F.spark_partition_id()), "shard-sizes"
-    )
-    # one row a partition: small whatever the input
-    totals = dealt.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
-        F.sum("bytes").over(Window.partitionBy()).alias("total"),
-    )
-    running = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = dealt.select("*", F.sum("size").over(running).alias("upto"), F.row_number().over(running).alias("nth")).join(offsets, "part")
+    placed = in_order(rows, df.count(), order, "shard-sizes", "size")
     # twice the place of a row's middle byte, by twice the total: whole numbers, exact at any size
     placed = written(
         placed.select(
-            "id", "size", "text_crc32", F.expr("n_before + nth - 1").alias("row"),
-            F.least(F.expr(f"((2 * (bytes_before + upto) - size) * {shards}L) div (2 * total)"), F.lit(shards - 1)).cast("int").alias("shard"),
+            "id", "size", "text_crc32", "row",
+            F.least(F.expr(f"((2 * before + size) * {shards}L) div (2 * total)"), F.lit(shards - 1)).cast("int").alias("shard"),
         ), "shards",
     )
     firsts = placed.groupBy("shard").agg(F.min("row").alias("first"))  # at most one row a shard

@@ -8,7 +8,7 @@ import weakref
 from collections.abc import Callable
 from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -111,3 +111,30 @@ def keyed(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of a partition that is sorted and numbered by one task.
+ORDER_ROWS = 1_000_000
+
+
+def in_order(df: DataFrame, rows: int, order: list[Column | str], name: str, running: str | None = None) -> DataFrame:
+    """The rows of ``df`` (``rows`` of them), with row: the place, from 0, in the order of the columns ``order``.
+
+    A range exchange sized by the number of rows, a count a partition, and numbers within partitions plus what
+    comes before. With ``running``, a column of longs, also before and total: its sum over the rows before, and over all.
+    """
+    parts = max(1, min(parallelism(df.sparkSession), -(-rows // 1000)), -(-rows // ORDER_ROWS))
+    dealt = written(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), name)
+    value = F.col(running) if running else F.lit(0)
+    totals = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.sum(value).cast("long").alias("_v"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition, each of up to ORDER_ROWS rows
+    totals = totals.select(
+        "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"), F.coalesce(F.sum("_v").over(earlier), F.lit(0)).alias("_v"),
+        F.sum("_v").over(Window.partitionBy()).alias("total"),
+    )
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.select("*", F.row_number().over(within).alias("_i"), F.sum(value).over(within).cast("long").alias("_upto")).join(totals, "_part")
+    placed = placed.withColumn("row", F.col("_n") + F.col("_i") - 1)
+    if running:
+        return placed.withColumn("before", F.col("_v") + F.col("_upto") - F.col(running)).drop("_part", "_i", "_n", "_v", "_upto")
+    return placed.drop("_part", "_i", "_n", "_v", "_upto", "total")
