@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from . import bpe, decontaminate, divergence, lines, pii, quality, resampling, sharding, simhash, substrings, token_files, toxicity
+from . import bpe, decontaminate, divergence, lines, minhash, pii, quality, resampling, sharding, simhash, substrings, token_files, toxicity
 from .tables import settled
 
-_MODULES = (bpe, decontaminate, divergence, lines, pii, quality, resampling, sharding, simhash, substrings, token_files, toxicity)
+_MODULES = (bpe, decontaminate, divergence, lines, minhash, pii, quality, resampling, sharding, simhash, substrings, token_files, toxicity)
 
 
 def _settled(name: str, query: Callable) -> Callable:
