@@ -217,6 +217,40 @@ def test_unique_names_like_a_folder(spark):
     assert one.stored == "a (1) (2).csv"
 
 
+def test_unique_names_in_parts(spark):
+    """Names that compete over several rounds, with lists and taken numbers cut into partitions of a few rows."""
+    import random
+
+    from loomtab.operators import names
+
+    for seed in (1,):
+        r = random.Random(seed)
+        pool = ["a.csv", *(f"a ({i}).csv" for i in range(1, 9)), "a (1) (1).csv", "a (2) (1).csv", "x" * 196 + ".csv", "x" * 192 + " (1).csv", "x" * 192 + " (2).csv"]
+        weights = [30, *[3] * 8, 4, 2, 12, 4, 3]
+        existing = [("p", n) for n in r.sample(pool, 4)]
+        uploads = [(r.choice("pq"), n, i) for i, n in enumerate(r.choices(pool, weights, k=70))]
+        got = names.allocate(spark.createDataFrame(uploads, "directory string, name string, ord int"), spark.createDataFrame(existing, "directory string, name string"), rows=50)
+        assert {x.ord: x.stored for x in got.collect()} == _one_by_one(uploads, existing)
+
+
+def test_unique_names_have_a_small_plan(spark):
+    from loomtab.plans import queries
+
+    df = queries()["unique_names"](spark, "/root/testdata/sf0.001")
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+
+
+def test_places_over_partitions(spark):
+    from loomtab.operators.ordered import in_order
+
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("x"), F.lit("hot").alias("key"), F.lit("mine").alias("n_x"))
+    got = in_order(df, ["key", "x"], "places", F.col("x"), rows=30)
+    rows = got.collect()
+    assert len({r.part_ for r in rows}) > 10
+    assert all(r.place_ == r.x and r.sum_ == r.x * (r.x + 1) // 2 for r in rows)
+    assert in_order(df.limit(0), ["key", "x"], "places").count() == 0
+
+
 def test_digest_handlers(spark):
     import io
     import struct
