@@ -10,21 +10,22 @@ agreements is concentrated like that of independent ones; so neither banding
 nor the bound on agreements below depends on how long texts are.
 
 Texts of equal words are one node. Nodes of which a band agrees share a list;
-lists of one node go no further. The search has three passes over the lists,
-each over what the ones before left unsettled:
+lists of one node go no further. Lists with the same least node make up that
+node's group. The search has two passes over the groups:
 
-1. each member is paired with the list's least node, so a large group of
-   copies gives a star, not all its pairs;
-2. where members of a list are still in different components, each is paired
-   with the ``FEW`` others of other components that it agrees with most;
-3. where that is still so, every member is paired with every other of another
-   component. Components cannot grow by pairs within one, so no link is lost.
+1. each member is paired with the least node, so a large group of copies gives
+   a star, not all its pairs;
+2. where members of a group are still in different components, every member is
+   compared with every other of another component. Components cannot grow by
+   pairs within one, so no link is lost.
 
 Pairs are retained if their sizes allow the similarity (exact) and their
 sketches agree in ``AGREE`` coordinates, and all retained pairs are confirmed
-on their full sets of shingles, as words, not hashes. Large lists are cut into
-tiles of the largest component's members and the others, so that no task holds
-a list; members of one component never meet.
+on their full sets of shingles, as words, not hashes. In the second pass a task
+does both for a tile: a block of the members outside the group's largest
+component, and any other block. So no task holds a group, members of one
+component never meet, and only links leave a task, one for a member and a
+component.
 
 At 85 of 100 a pair shares no band with odds of 7e-11, and agrees in fewer than
 ``AGREE`` coordinates with odds of 7e-11.
@@ -58,7 +59,8 @@ WORDS, PERCENT = 3, 85
 BANDS, ROWS = 40, 5
 #: Of BANDS * ROWS coordinates, with one byte of each compared.
 AGREE = 134
-FEW, TILE = 4, 1024
+#: Shingles of a tile's side.
+TILE = 400_000
 #: Nodes (24 bytes each) that are broadcast at most.
 SMALL = 500_000
 _LOWER = LOWER.tobytes()
@@ -158,87 +160,89 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], ["u", "v"])
 
 
-def _tile_pairs(few: int):
-    """Pairs within the tiles of lists: of each member the ``few`` best in other components, or all (0).
-
-    Rows are sorted by tile; ``left`` and ``right`` say on which sides of the tile a member stands.
-    """
-
-    def pairs(columns: list[np.ndarray], sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        row, root, n, left, right = columns
-        x, y = np.flatnonzero(left), np.flatnonzero(right)
-        found = []
-        step = max(1, (1 << 18) // max(1, len(y)))
-        for at in range(0, len(x), step):
-            a, b = (z.ravel() for z in np.meshgrid(x[at : at + step], y, indexing="ij"))
-            other = root[a] != root[b]
-            a, b = a[other], b[other]
-            keep, agree = _retained(n[a], n[b], sketch[a], sketch[b])
-            found.append((a[keep], b[keep], agree[keep]))
-        a, b, agree = (np.concatenate(z) for z in zip(*found, strict=True))
-        if few and len(a):  # both ways: each member's best, then those pairs
-            one, two, score = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((agree, agree))
-            order = np.lexsort((two, -score, one))
-            one, two = one[order], two[order]
-            first = np.flatnonzero(np.concatenate(([True], one[1:] != one[:-1])))
-            nth = np.arange(len(one)) - np.repeat(first, np.diff(np.append(first, len(one))))
-            a, b = one[nth < few], two[nth < few]
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(row[a], row[b])), pa.array(np.maximum(row[a], row[b]))], ["u", "v"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) < 4 * TILE:
-                continue
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            tile = whole.column(0).to_numpy()
-            open_at = int(np.searchsorted(tile, tile[-1]))  # the last tile waits for its other members
-            held = [whole.slice(open_at)]
-            yield from each(whole.slice(0, open_at))
+def _tile_links(columns: list[np.ndarray], sketch: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one tile between components, one for each member of the left side and component."""
+    row, root, n, left, right = columns
+    x, y = np.flatnonzero(left), np.flatnonzero(right)
+    near: list[tuple[int, np.ndarray]] = []
+    for i in x:
+        others = y[(root[y] != root[i]) & (row[y] != row[i])]
+        if len(others):
+            keep, _ = _retained(np.broadcast_to(n[i], len(others)), n[others], np.broadcast_to(sketch[i], (len(others), sketch.shape[1])), sketch[others])
+            if keep.any():
+                near.append((i, others[keep]))
+    if not near:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    numbers: dict[tuple, int] = {}  # of shingles, within the tile
+    sets = {k: np.array([numbers.setdefault(s, len(numbers)) for s in shingles(texts[k])], np.int64) for k in {k for i, others in near for k in (i, *others.tolist())}}
+    marked, u, v = np.zeros(len(numbers), bool), [], []
+    for i, others in near:
+        marked[sets[i]] = True
+        sizes = n[others]
+        for at in range(0, len(others), 256):
+            part = others[at : at + 256]
+            ends = np.cumsum(sizes[at : at + 256])
+            both = np.add.reduceat(marked[np.concatenate([sets[k] for k in part])], np.concatenate(([0], ends[:-1])), dtype=np.int64)
+            linked = part[100 * both >= PERCENT * (n[i] + n[part] - both)]
+            u.append(np.full(len(linked), row[i])), v.append(linked)
+        marked[sets[i]] = False
+    u, v = np.concatenate(u), np.concatenate(v)
+    once = np.unique(np.stack((u, root[v])), axis=1, return_index=True)[1] if len(u) else []
+    return u[once], row[v[once]]
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of tiles; rows are sorted by tile, and a tile is held at a time."""
+    held: list[pa.RecordBatch] = []
+    key = None
+
+    def closed() -> Iterator[pa.RecordBatch]:
         if held:
-            yield from each(pa.Table.from_batches(held).combine_chunks().to_batches()[0] if sum(map(len, held)) else held[0])
-
-    def each(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not len(rows):
-            return
-        tile = rows.column(0).to_numpy()
-        edges = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True])))
-        plain = [rows.column(c).to_numpy(zero_copy_only=False) for c in range(1, 6)]
-        sketch = _matrix(rows.column(6))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield from pairs([c[a:b] for c in plain], sketch[a:b])
+            whole = pa.Table.from_batches(held).combine_chunks()
+            columns = [whole.column(c).to_numpy() for c in range(1, 6)]
+            u, v = _tile_links(columns, _matrix(whole.column(6)), whole.column(7).cast(pa.binary()).to_pylist())
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+            held.clear()
 
-    return run
-
-
-def unsettled_pairs(lists: DataFrame, nodes: DataFrame, roots: DataFrame, few: int, tile: int = TILE) -> DataFrame:
-    """Columns u and v: retained pairs of nodes of different components that share a list.
-
-    ``lists`` has key and row, ``nodes`` row, n and sketch, ``roots`` node and root. A list's members in its
-    largest component and the others are dealt over blocks of about ``tile``; tiles hold one block of the others
-    and any block.
+    for batch in batches:
+        tile = batch.column(0).to_numpy()
+        edges = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True]))) if len(tile) else np.zeros(1, np.int64)
+        for at, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if tile[at] != key:
+                yield from closed()
+                key = tile[at]
+            held.append(batch.slice(at, end - at))
+    yield from closed()
+
+
+def unsettled_links(groups: DataFrame, infos: DataFrame, texts: DataFrame, roots: DataFrame, tile: int = TILE) -> DataFrame:
+    """Columns u and v: links between nodes of different components that are in one group.
+
+    ``groups`` has least and row, ``infos`` row, n and sketch, ``texts`` row and text, ``roots`` node and root. A group's
+    members in its largest component and the others are dealt over blocks of about ``tile`` shingles; tiles hold one
+    block of the others and any block.
     """
-    member = lists.join(roots, lists.row == roots.node, "left").select("key", "row", F.coalesce("root", "row").alias("root"))
-    member = written(member, "list-members")
-    sizes = member.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("all"))
-    # lists of two are settled by the first pass, whatever it found
-    sizes = sizes.where((F.col("most.c") < F.col("all")) & (F.col("all") > 2)).select(
-        "key", F.col("most.root").alias("main"), F.ceil(F.col("most.c") / tile).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("most.c")) / tile).cast("int").alias("others"),
+    member = groups.join(infos.select("row", "n"), "row").join(roots, F.col("row") == F.col("node"), "left").select("least", "row", "n", F.coalesce("root", "row").alias("root"))
+    member = written(member, "group-members")
+    sizes = member.groupBy("least", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    sizes = sizes.groupBy("least").agg(F.max(F.struct("c", "root", "w")).alias("most"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+    # groups of two are settled by the first pass, whatever it found
+    sizes = sizes.where((F.col("most.c") < F.col("c")) & (F.col("c") > 2)).select(
+        "least", F.col("most.root").alias("main"), F.ceil(F.col("most.w") / tile).cast("int").alias("mains"), F.ceil((F.col("w") - F.col("most.w")) / tile).cast("int").alias("others"),
     )
-    held = member.join(written(sizes, "unsettled-lists"), "key").withColumn("main", F.col("root") == F.col("main"))
+    held = member.join(written(sizes, "unsettled-groups"), "least").withColumn("main", F.col("root") == F.col("main"))
     # blocks of the others come first: 0 to others - 1, then those of the main component
     block = F.when(F.col("main"), F.col("others") + F.pmod(F.xxhash64("row"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("row"), F.col("others")))
     held = held.withColumn("block", block.cast("int")).withColumn(
         "meets", F.when(F.col("main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
     )
-    dealt = held.select("key", "row", "root", "block", F.explode("meets").alias("other")).join(nodes, "row")
+    dealt = held.select("least", "row", "root", "n", "block", F.explode("meets").alias("other")).join(infos.select("row", "sketch"), "row").join(texts, "row")
     dealt = dealt.select(
-        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "row", "root", "n",
-        (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"), "sketch",
+        F.xxhash64("least", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "row", "root", "n",
+        (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"), "sketch", "text",
     )
-    return dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_pairs(few), "u long, v long").distinct()
+    return dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles, "u long, v long").distinct()
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,33 +276,29 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "first", "second").mapInArrow(_confirmed, "u long, v long")
 
 
-def links(nodes: DataFrame, docs: DataFrame, few: int = FEW, tile: int = TILE) -> DataFrame:
+def links(nodes: DataFrame, docs: DataFrame, tile: int = TILE) -> DataFrame:
     """Columns node and root of the components of similar nodes.
 
     ``nodes`` has row, k, h, n, sketch and keys; ``docs`` k, h and text.
     """
     posted = nodes.select(F.explode("keys").alias("key"), "row")
     shared = written(posted.groupBy("key").agg(F.min("row").alias("least"), F.max("row").alias("last")).where("least <> last").select("key", "least"), "shared-bands")
-    lists = written(posted.join(shared, "key").select("key", "row", "least"), "band-lists")
-    infos = written(nodes.select("row", "n", "sketch", "k", "h").join(lists.select("row").distinct(), "row"), "list-sketches")
+    groups = written(posted.join(shared, "key").select("least", "row").distinct(), "groups")
+    infos = written(nodes.select("row", "n", "sketch", "k", "h").join(groups.select("row").distinct(), "row"), "group-sketches")
     members = infos.select("row", "k", "h")
     small = F.broadcast(members) if infos.count() <= SMALL else members
-    texts = written(docs.select("k", "h", "text").join(small, ["k", "h"]).groupBy("row").agg(F.first("text").alias("text")), "list-texts")
-    star = lists.where("row <> least").select(F.col("least").alias("u"), F.col("row").alias("v")).distinct()
+    texts = written(docs.select("k", "h", "text").join(small, ["k", "h"]).groupBy("row").agg(F.first("text").alias("text")), "group-texts")
+    star = groups.where("row <> least").select(F.col("least").alias("u"), F.col("row").alias("v"))
     side = lambda c: infos.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     star = star.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v")
-    tested = written(star.mapInArrow(_stars, "u long, v long"), "pairs")
-    found = written(confirmed(tested, texts), "links")
+    pairs = written(star.mapInArrow(_stars, "u long, v long"), "pairs")
+    found = written(confirmed(pairs, texts), "links")
     roots = written(connected_components(found, "minhash-links"), "roots")
-    for most in (few, 0):
-        more = written(unsettled_pairs(lists, infos, roots, most, tile).join(tested, ["u", "v"], "left_anti"), "pairs")
-        found = found.unionByName(written(confirmed(more, texts), "links"))
-        tested = tested.unionByName(more)
-        roots = written(connected_components(found, "minhash-links"), "roots")
-    return roots
+    more = written(unsettled_links(groups, infos, texts, roots, tile), "links")
+    return written(connected_components(found.unionByName(more), "minhash-links"), "roots")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW, tile: int = TILE) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """Columns id, n_shingles, component_id (the least id reachable over links) and kept, one row a row of ``df``."""
     docs = keyed(df, id_col, text_col)
     made = sketched(docs)
@@ -306,7 +306,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = F.min(F.struct("k", "id")).alias("least")
     distinct = written(worded.groupBy("digest").agg(F.min("row").alias("row"), least), "minhash-nodes")
     nodes = written(worded.drop("digest", "id").join(distinct.select("row"), "row"), "node-sketches")
-    roots = links(nodes, docs, few, tile)
+    roots = links(nodes, docs, tile)
     member = written(distinct.join(roots, distinct.row == roots.node, "left").select("digest", "least", F.coalesce("root", "row").alias("root")), "minhash-members")
     component = written(member.groupBy("root").agg(F.min("least").alias("least")), "minhash-components")
     found = written(member.select("digest", "root").join(component, "root").select("digest", F.col("least.id").alias("component_id")), "minhash-found")

@@ -59,13 +59,13 @@ def chain(seed, groups=6, size=14):
     return rows
 
 
-@pytest.mark.parametrize(("few", "tile"), [(4, 1024), (1, 3)])
-def test_families_at_the_bound_and_lists_in_tiles(spark, few, tile):
+@pytest.mark.parametrize("tile", [minhash.TILE, 150])
+def test_families_at_the_bound_and_groups_in_tiles(spark, tile):
     rows = chain(3)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = brute(rows)
     assert 6 < len({x[2] for x in want}) < len(rows)  # neither one component a family nor none
-    assert found(minhash.near_duplicates(df, few=few, tile=tile)) == sorted(want, key=str)
+    assert found(minhash.near_duplicates(df, tile=tile)) == sorted(want, key=str)
 
 
 def test_null_ids_repeats_clashing_columns_and_one_id_over_two_texts(spark):
