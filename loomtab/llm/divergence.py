@@ -39,7 +39,7 @@ from .tables import bounded_batches, table, written
 LEAST_DOCS, TOP, UNIT = 10, 10, 1_000_000_000
 BLOCK, CHUNK, BAND = 16, 4096, 64
 #: Entries of a task's counts that are sent on at once.
-HELD = 200_000
+HELD = 400_000
 #: Bytes of letters in lower case, all others as a space: a-z and what isn't ASCII.
 _LETTER = bytes(b + 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -190,7 +190,8 @@ def audit(df: DataFrame, lang_col: str = "lang", source_col: str = "source", tex
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("total").alias("lang_n"))
     chunks = F.ceil(F.col("terms") / chunk).cast("int")
     vocabulary = kept.join(langs, "lang").select("lang", "term", "total", F.pmod(F.xxhash64("term"), chunks).cast("int").alias("chunk"))
-    vocabulary = vocabulary.withColumn("at", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")))
+    # dealt by chunk, not by the language that the counts were joined by
+    vocabulary = vocabulary.repartition("lang", "chunk").withColumn("at", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")))
     counted = written(found.join(vocabulary, ["lang", "term"]).select("lang", "source", "term", "n", "total", "chunk", "at"), "kept-counts")
     own = counted.groupBy("lang", "source").agg(F.sum("n").alias("own"))
     sources = written(docs.select("lang", "source").distinct(), "sources")
