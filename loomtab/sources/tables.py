@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import csv
-import io
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.files import extension
+from . import delimited
 
-SEPARATORS = {".csv": ",", ".tsv": "\t"}
 SAMPLE_ROWS = 5
 #: Cell texts that mean no value.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -20,37 +17,19 @@ class RaggedTable(ValueError):
     """A row has more cells than the first one."""
 
 
-def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8 where every line of the file is valid, else GBK, else Latin-1."""
-    from .workspace import decoded
-
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    if raw.select(F.bool_and(F.is_valid_utf8(F.col("content").cast("string")))).first()[0]:
-        return "UTF-8"
-    return {"gbk": "GBK", "latin-1": "ISO-8859-1"}[raw.select(decoded("content")["encoding"].alias("e")).first()["e"]]
-
-
 def read_raw(spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None) -> DataFrame:
     """All rows as strings c0, c1, ... with ``pos``; short rows are filled with nulls, a longer one is an error.
 
-    The width is that of the first record. ``pos`` follows the file's order.
+    The width is that of the first record. ``pos`` follows the file's order. The file is read by blocks, as ``delimited`` has it.
     """
-    ext = "." + path.rsplit(".", 1)[-1].lower()
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 20).alias("c")).first()
-    if head is None or not bytes(head.c).strip():
+    found = delimited.records(spark, path, separator, encoding, strict=True)
+    shape = delimited.shapes(found).first()
+    if shape is None:
         raise ValueError("the file is empty")
-    separator, encoding = separator or SEPARATORS.get(ext, ","), encoding or encoding_of(spark, path)
-    if encoding == "GBK":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    options = {"header": "false", "sep": separator, "encoding": encoding, "multiLine": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": ""}
-    first = next(csv.reader(io.StringIO(bytes(head.c).decode({"UTF-8": "utf-8", "GBK": "gbk"}.get(encoding, "latin-1"), "replace")), delimiter=separator))
-    width = len(first)
-    schema = ", ".join([*(f"c{i} string" for i in range(width)), "extra string"])
-    rows = spark.read.options(**options).schema(schema).csv(path)
-    if rows.where(F.col("extra").isNotNull()).limit(1).count():
-        raise RaggedTable(f"a row has more than {width} cells")
-    value = lambda c: F.when(~F.col(c).isin(NA_TOKENS), F.col(c))
-    return rows.select(F.monotonically_increasing_id().alias("pos"), *[value(f"c{i}").alias(f"c{i}") for i in range(width)])
+    if shape.ragged:
+        raise RaggedTable(f"a row has more than {shape.width} cells")
+    cell = lambda i: F.get("cells", F.lit(i))
+    return found.select((F.shiftleft("record", 16) + F.col("part")).alias("pos"), *[F.when(~cell(i).isin(NA_TOKENS), cell(i)).alias(f"c{i}") for i in range(shape.width)])
 
 
 def unique_names(cells: list[str | None], strict: bool = False) -> list[str]:

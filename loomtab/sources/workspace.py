@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyarrow import fs
@@ -13,36 +15,58 @@ from pyspark.sql import types as T
 
 from ..functions.files import extension, magic_prefix
 from ..functions.text import line_count
+from ..operators.ordered import written
 
 MEMORY_FILE = "SESSION_MEMORY.md"
 PREVIEW_CHARS, KEYS = 4000, 50
-_INVENTORY = "relative_path string, size_bytes long, depth int"
+_FOUND = "relative_path string, path string, kind string, size_bytes long"
 
 
-def _names(spark: SparkSession, root: str) -> list[tuple[str, str, int]]:
-    """(relative path, path, size) of all files below a root, names with a leading dot or underscore included.
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    local = re.match("(?:file:/+|/)(.*)", uri)  # names of local files are no URIs: they may hold any character
+    return (fs.LocalFileSystem(), f"/{local[1]}") if local else fs.FileSystem.from_uri(uri)
 
-    The listing goes through Hadoop's file systems, so a root may be a local folder, HDFS or an object store. It is a
-    workspace's list of names, which a person's uploads bound; contents are never read here.
+
+def _listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What lies directly in each directory; links to directories are not followed."""
+    for frame in frames:
+        for above, uri in frame[["relative_path", "path"]].itertuples(index=False):
+            system, where = _opened(uri)
+            rows = []
+            for x in system.get_file_info(fs.FileSelector(where, allow_not_found=True)):
+                directory = x.type == fs.FileType.Directory
+                if directory and system.type_name == "local" and os.path.islink(x.path):
+                    continue
+                rows.append((f"{above}/{x.base_name}".lstrip("/"), f"{uri.rstrip('/')}/{x.base_name}", "directory" if directory else "file", None if directory else x.size))
+                if len(rows) == 10_000:
+                    yield pd.DataFrame(rows, columns=["relative_path", "path", "kind", "size_bytes"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["relative_path", "path", "kind", "size_bytes"])
+
+
+def listing(spark: SparkSession, root: str, depth: int | None = None) -> DataFrame:
+    """relative_path, path and size_bytes of all files below a root, names with a leading dot or underscore included.
+
+    The frontier, a table of directories, is expanded one level a round by tasks that list them through Arrow's file
+    systems (local, HDFS, object stores); the driver only asks whether a level has directories. A missing root is empty.
     """
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    where = hadoop.Path(root)
-    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(where) or not system.getFileStatus(where).isDirectory():
-        return []
-    base = system.resolvePath(where).toUri().getPath().rstrip("/") + "/"
-    found, files = [], system.listFiles(where, True)
-    while files.hasNext():
-        status = files.next()
-        path = status.getPath()
-        found.append((path.toUri().getPath().removeprefix(base), path.toString(), status.getLen()))
-    return found
-
-
-def _wanted(relative: str, dotfiles: bool, dot_directories: bool) -> bool:
-    *folders, name = relative.split("/")
-    hidden = name.startswith(".") and not dotfiles or not dot_directories and any(f.startswith(".") for f in folders)
-    return name != MEMORY_FILE and not hidden and not (name.startswith(".") and name.endswith(".crc"))
+    level, files = spark.createDataFrame([("", root)], "relative_path string, path string"), []
+    while depth is None or len(files) < depth:
+        # directories are dealt by name: those of one parent are listed by many tasks
+        found = written(level.select("relative_path", "path").repartition("path").mapInPandas(_listed, _FOUND), "listing")
+        files.append(found.where("kind = 'file'").drop("kind"))
+        level = found.where("kind = 'directory'")
+        if level.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, files)
+
+
+def _wanted(dotfiles: bool, dot_directories: bool) -> Column:
+    parts = F.split("relative_path", "/")
+    name, folders = F.element_at(parts, -1), F.slice(parts, 1, F.size(parts) - 1)
+    dotted = F.startswith(name, F.lit("."))
+    hidden = dotted & (F.lit(not dotfiles) | F.endswith(name, F.lit(".crc"))) | F.lit(not dot_directories) & F.exists(folders, lambda f: F.startswith(f, F.lit(".")))
+    return (name != MEMORY_FILE) & ~hidden
 
 
 def scan(spark: SparkSession, root: str, depth: int | None = None, dotfiles: bool = False, dot_directories: bool = True) -> DataFrame:
@@ -51,36 +75,23 @@ def scan(spark: SparkSession, root: str, depth: int | None = None, dotfiles: boo
     Files whose name starts with a dot and the memory file are left out; a
     missing root is an empty inventory. ``depth`` 1 lists direct files only.
     """
-    rows = [(r, size, r.count("/") + 1) for r, _, size in _names(spark, root) if _wanted(r, dotfiles, dot_directories)]
-    return spark.createDataFrame([x for x in rows if depth is None or x[2] <= depth], _INVENTORY).orderBy("relative_path")
+    own = listing(spark, root, depth).where(_wanted(dotfiles, dot_directories))
+    return own.select("relative_path", "size_bytes", F.size(F.split("relative_path", "/")).alias("depth")).orderBy("relative_path")
 
 
-def contents(spark: SparkSession, root: str, dotfiles: bool = False, dot_directories: bool = True) -> DataFrame:
-    """relative_path, content and size_bytes of the files that ``scan`` lists, read by executors one file at a time.
+def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for name, uri in frame.itertuples(index=False):
+            system, where = _opened(uri)
+            with system.open_input_stream(where) as f:
+                content = f.read()
+            yield pd.DataFrame({"relative_path": [name], "content": [content], "size_bytes": [len(content)]})
 
-    Spark's readers pass over names with a leading underscore or dot even where they are given by themselves; those
-    few are opened by a task through Arrow's file systems.
-    """
-    rows = [(r, path) for r, path, _ in _names(spark, root) if _wanted(r, dotfiles, dot_directories)]
-    hidden = [x for x in rows if x[0].rsplit("/", 1)[-1][0] in "_."]
-    named = spark.createDataFrame(rows, "relative_path string, path string")
-
-    def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, path in frame.itertuples(index=False):
-                system, where = fs.FileSystem.from_uri(path if "://" in path else re.sub("^file:/*", "file:///", path))
-                with system.open_input_stream(where) as f:
-                    content = f.read()
-                yield pd.DataFrame({"relative_path": [name], "content": [content], "size_bytes": [len(content)]})
-
-    out = spark.createDataFrame(hidden, named.schema).mapInPandas(opened, "relative_path string, content binary, size_bytes long")
-    plain = [path for r, path in rows if r.rsplit("/", 1)[-1][0] not in "_."]
-    if not plain:
-        return out
-    files = spark.read.format("binaryFile").load(plain)
-    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    read = files.select(bare("path").alias("path_"), "content", F.col("length").alias("size_bytes"))
-    return read.join(F.broadcast(named.select("relative_path", bare("path").alias("path_"))), "path_").select("relative_path", "content", "size_bytes").unionByName(out)
+
+def contents(spark: SparkSession, root: str, dotfiles: bool = False, dot_directories: bool = True) -> DataFrame:
+    """relative_path, content and size_bytes of the files that ``scan`` lists, read by executors one file at a time."""
+    own = listing(spark, root).where(_wanted(dotfiles, dot_directories)).select("relative_path", "path")
+    return own.repartition("path").mapInPandas(_read, "relative_path string, content binary, size_bytes long")
 
 
 def project_tree(inventory: DataFrame, roots: tuple[str, ...] = ("raw", "outputs", "archive")) -> DataFrame:

@@ -35,6 +35,26 @@ def test_inventory(spark, root):
     assert workspace.scan(spark, str(root / "missing")).collect() == []
 
 
+def test_listing_is_that_of_a_walk(spark, tmp_path):
+    import os
+    import random
+
+    r = random.Random(3)
+    for _ in range(60):
+        folder = tmp_path / "/".join(r.choice(["a", "b b", ".c", "_d", "é"]) for _ in range(r.randrange(4)))
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / r.choice(["x.txt", ".y", "_z", "SESSION_MEMORY.md", "p%20q", "=1"])).write_text("x" * r.randrange(9))
+    os.symlink(tmp_path, tmp_path / "a" / "loop")
+    walked = {os.path.relpath(os.path.join(d, n), tmp_path): os.path.getsize(os.path.join(d, n)) for d, _, names in os.walk(tmp_path) for n in names}
+    for depth, dotfiles, dot_directories in ((None, True, True), (None, False, False), (2, False, True)):
+        got = {x.relative_path: x.size_bytes for x in workspace.scan(spark, str(tmp_path), depth, dotfiles, dot_directories).collect()}
+        parts = {p: p.split("/") for p in walked}
+        assert got == {p: n for p, n in walked.items() if (depth is None or len(parts[p]) <= depth) and parts[p][-1] != "SESSION_MEMORY.md"
+                       and (dotfiles or parts[p][-1][0] != ".") and (dot_directories or not any(x[0] == "." for x in parts[p][:-1]))}
+    plan = workspace.contents(spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "LocalTableScan" not in plan
+
+
 def test_tree(spark, root):
     nodes = {(r.path, r.parent, r.depth, r.kind) for r in workspace.tree(workspace.scan(spark, str(root))).collect()}
     assert ("raw", "", 1, "directory") in nodes and ("raw/a.csv", "raw", 2, "file") in nodes and len(nodes) == 8
