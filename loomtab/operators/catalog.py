@@ -77,34 +77,52 @@ def first_of(df: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
 
 
 def reachable_projects(users: DataFrame, projects: DataFrame, members: DataFrame) -> DataFrame:
-    """Columns user_id, id and via: projects a user owns, those of others they are a member of; every project for admins.
+    """Columns user_id, id and via: projects a user owns, those of others they are a member of; one row with a null id for an admin, who reaches all.
 
     users: user_id, is_admin; projects: id, user_id; members: project_id, user_id. A project is listed once a user,
-    as owner if they own it. Admins are few by their office: pairing them with projects is their list.
+    as owner if they own it. An admin's row stands for every project: pairs are not made before something is looked up.
     """
-    plain = users.where(~F.coalesce("is_admin", F.lit(False))).select("user_id")
+    office = users.select("user_id", F.coalesce("is_admin", F.lit(False)).alias("admin_"))
+    plain = office.where("not admin_").select("user_id")
     owned = projects.join(plain, "user_id").select("user_id", "id")
     joined = members.join(plain, "user_id").select("user_id", F.col("project_id").alias("id")).where("id is not null and id <> 0").distinct()
     joined = joined.join(projects.select("id"), "id", "left_semi").join(owned, ["user_id", "id"], "left_anti").select("user_id", "id")
-    admins = users.where("is_admin").select("user_id")
-    every = admins.join(projects.select("id"), F.lit(True))
+    every = office.where("admin_").select("user_id", F.lit(None).cast(projects.schema["id"].dataType).alias("id"))
     return owned.withColumn("via", F.lit("owner")).unionByName(joined.withColumn("via", F.lit("member"))).unionByName(every.withColumn("via", F.lit("admin")))
 
 
 def accessible_sessions(sessions: DataFrame, reachable: DataFrame, project: int | None = None) -> DataFrame:
     """Columns user_id, session_id, project_id and via: a user's own sessions, then those of projects they reach, each once.
 
-    Blank ids are left out; a session without a project has that through which it was reached; ``project`` keeps the
-    sessions of one project, after sessions were made unique.
+    Blank ids are left out; ``project`` keeps the sessions of one project, after sessions were made unique. A user who
+    reaches all projects has one row, with via ``admin`` and no session, beside their own sessions: ``sees`` answers
+    whether they see one. Of a session's rows only those a user could be given by are joined.
     """
-    live = sessions.where("trim(coalesce(session_id, '')) <> ''")
-    own = live.select("user_id", "session_id", "id", F.nullif("project_id", F.lit(0)).alias("project_id"), F.lit("own").alias("via"))
-    through = reachable.select("user_id", F.col("id").alias("through")).join(live.drop("user_id"), F.col("through") == F.col("project_id"))
-    shared = through.select("user_id", "session_id", "id", F.coalesce(F.nullif("project_id", F.lit(0)), "through").alias("project_id"), F.lit("project").alias("via"))
+    live = sessions.where("trim(coalesce(session_id, '')) <> ''").withColumn("project_id", F.nullif("project_id", F.lit(0)))
+    own = live.select("user_id", "session_id", "id", "project_id", F.lit("own").alias("via"))
+    through = reachable.where("id is not null").select("user_id", F.col("id").alias("project_id"))
+    shared = live.drop("user_id").join(through, "project_id").select("user_id", "session_id", "id", "project_id", F.lit("project").alias("via"))
     both = own.unionByName(shared)
+    if project is not None:  # whoever has a row of the project; their other rows of the session decide whether it is the first
+        asked = live.where(F.col("project_id") == project).select("session_id").distinct()
+        both = both.join(asked, "session_id", "left_semi")
     first = both.groupBy("user_id", "session_id").agg(F.min_by(F.struct("project_id", "via"), F.struct(F.col("via") != "own", -F.col("id"))).alias("r"))
     out = first.select("user_id", "session_id", "r.*")
-    return out if project is None else out.where(F.col("project_id") == project)
+    every = reachable.where("id is null").select("user_id", F.lit(None).cast("string").alias("session_id"), F.lit(project).cast(live.schema["project_id"].dataType).alias("project_id"), F.lit("admin").alias("via"))
+    return (out if project is None else out.where(F.col("project_id") == project)).unionByName(every)
+
+
+def sees(asked: DataFrame, sessions: DataFrame, reachable: DataFrame) -> DataFrame:
+    """``asked`` (user_id, session_id, ...) with may: whether the user has the session, or reaches the project of one of its rows."""
+    live = sessions.where("trim(coalesce(session_id, '')) <> ''").withColumn("project_id", F.nullif("project_id", F.lit(0)))
+    admin = reachable.where("id is null").select("user_id", F.lit(True).alias("admin_")).distinct()
+    own = live.select("user_id", "session_id", F.lit(True).alias("own_")).distinct()
+    pairs = asked.select("user_id", "session_id").distinct().join(live.where("project_id is not null").select("session_id", F.col("project_id").alias("id")).distinct(), "session_id")
+    reached = pairs.join(reachable.where("id is not null"), ["user_id", "id"], "left_semi").select("user_id", "session_id", F.lit(True).alias("reached_")).distinct()
+    there = live.where("project_id is not null").select("session_id", F.lit(True).alias("there_")).distinct()
+    out = asked.join(admin, "user_id", "left").join(own, ["user_id", "session_id"], "left").join(reached, ["user_id", "session_id"], "left").join(there, "session_id", "left")
+    may = F.coalesce("own_", F.lit(False)) | F.coalesce("reached_", F.lit(False)) | F.coalesce(F.col("admin_") & F.col("there_"), F.lit(False))
+    return out.withColumn("may", may).drop("admin_", "own_", "reached_", "there_")
 
 
 def original_names(files: DataFrame, assets: DataFrame) -> DataFrame:

@@ -6,30 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_json, shorten
+from .ordered import ROWS, dealt, joined, neighbours, running
 
 CHUNK, COMPLETE = "llm_chunk", "llm_complete"
 #: Event types after which a session's stream ends.
 TERMINAL = ("streaming_ended", "streaming_error", "error")
 
 
-def compact(events: DataFrame, session: str = "session_id", seq: str = "seq") -> DataFrame:
+def compact(events: DataFrame, session: str = "session_id", seq: str = "seq", rows: int = ROWS) -> DataFrame:
     """Consecutive chunks become one event with the first one's place; a complete event drops chunks right before it.
 
-    Islands of chunks get a number by a running sum; an island is dropped if
-    the event after it completes. A session's log is one window group, as its
-    order is what the result depends on.
+    A segmented scan: the log is dealt in its order over parts, where runs of chunks get numbers that go on from part to
+    part; a run's pieces, one a part, are joined. So a session of any length is many tasks' work.
     """
-    w = Window.partitionBy(session).orderBy(seq)
-    is_chunk = F.col("type") == CHUNK
-    starts = (~is_chunk | (F.coalesce(F.lag("type").over(w), F.lit("")) != CHUNK)).cast("int")
-    numbered = events.withColumn("island_", F.sum(starts).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = numbered.groupBy(session, "island_").agg(
-        F.min(seq).alias(seq), F.min_by("type", seq).alias("type"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, F.coalesce("content", F.lit("")).alias("c")))), lambda x: x["c"]), "").alias("content"),
-        F.count("*").alias("n_merged"),
-    )
-    after = F.lead("type").over(Window.partitionBy(session).orderBy("island_"))
-    return merged.withColumn("after_", after).where(~((F.col("type") == CHUNK) & (F.coalesce("after_", F.lit("")) == COMPLETE))).drop("after_", "island_")
+    order = [session, seq]
+    log = neighbours(dealt(events, order, "event-log", rows), order, F.struct(F.col(session).alias("s"), F.col("type").alias("t")))
+    is_chunk, own = F.col("type") == CHUNK, lambda x: F.col(x)["s"].eqNullSafe(F.col(session))
+    goes_on = F.coalesce(is_chunk & own("prev_") & (F.col("prev_")["t"] == CHUNK), F.lit(False))
+    completed = F.coalesce(is_chunk & own("next_") & (F.col("next_")["t"] == COMPLETE), F.lit(False))
+    numbered = running(log, order, F.when(goes_on, 0).otherwise(1)).withColumn("done_", completed)
+    more = {
+        "first_": (F.min, F.min, F.struct(F.col(seq).alias("seq"), F.col("type").alias("type"))), "n_merged": (F.count, F.sum, F.lit(1)), "done_": (F.bool_or, F.bool_or, F.col("done_")),
+    }
+    runs = joined(numbered, [session, "sum_"], seq, {"c_": F.coalesce("content", F.lit(""))}, more).where("not done_")
+    return runs.select(session, F.col("first_.seq").alias(seq), F.col("first_.type").alias("type"), F.array_join("c_", "").alias("content"), "n_merged")
 
 
 def is_terminal(kind: Column) -> Column:
@@ -43,23 +43,21 @@ def tail_after(events: DataFrame, versions: DataFrame, session: str = "session_i
     return new.join(end, session, "left").where(F.col("end_").isNull() | (F.col(version) <= F.col("end_"))).drop("end_", "seen")
 
 
-def fold(events: DataFrame, session: str = "session_id", seq: str = "seq") -> DataFrame:
-    """A reader's view of a session: number of events, report text and status by the last event."""
-    chunks = F.array_sort(F.collect_list(F.when(F.col("type") == "report_chunk", F.struct(seq, "content"))))
-    last = F.max_by("type", seq)
-    return events.groupBy(session).agg(
-        F.count("*").alias("n_events"), F.array_join(F.transform(chunks, lambda x: x["content"]), "").alias("report"),
-        F.when(last.isin("streaming_error", "error"), "error").otherwise("done").alias("status"),
-    )
+def fold(events: DataFrame, session: str = "session_id", seq: str = "seq", rows: int = ROWS) -> DataFrame:
+    """A reader's view of a session: number of events, report text and status by the last event; a long session is gathered by parts."""
+    log = dealt(events, [session, seq], "event-log", rows)
+    more = {"n_events": (F.count, F.sum, F.lit(1)), "last_": (F.max, F.max, F.struct(F.col(seq).alias("seq"), F.col("type").alias("type")))}
+    told = joined(log, [session], seq, {"report_": F.when(F.col("type") == "report_chunk", F.coalesce("content", F.lit("")))}, more)
+    status = F.when(F.col("last_.type").isin("streaming_error", "error"), "error").otherwise("done")
+    return told.select(session, "n_events", F.array_join("report_", "").alias("report"), status.alias("status"))
 
 
-def rollup_results(results: DataFrame, key: str, order: str) -> DataFrame:
-    """Worker results by key: success if all succeeded, logs joined in order, errors of failed ones."""
-    ordered = F.array_sort(F.collect_list(F.struct(order, "success", "log", "error")))
-    return results.groupBy(key).agg(F.bool_and("success").alias("success"), ordered.alias("r")).select(
-        key, "success", F.array_join(F.transform("r", lambda x: x["log"]), "\n").alias("logs"),
-        F.transform(F.filter("r", lambda x: ~x["success"]), lambda x: x["error"]).alias("errors"),
-    )
+def rollup_results(results: DataFrame, key: str, order: str, rows: int = ROWS) -> DataFrame:
+    """Worker results by key: success if all succeeded, logs joined in order, errors of failed ones; a key's results are gathered by parts."""
+    told = dealt(results, [key, order], "results", rows)
+    failed = F.when(~F.col("success"), F.col("error"))
+    found = joined(told, [key], order, {"logs": F.col("log"), "errors": failed}, {"success": (F.bool_and, F.bool_and, F.col("success"))})
+    return found.select(key, "success", F.array_join("logs", "\n").alias("logs"), "errors")
 
 
 def increments(before: DataFrame, after: DataFrame, session: str = "session_id", place: str = "place", value: str = "event") -> DataFrame:
@@ -93,6 +91,14 @@ def snapshot_then_tail(events: DataFrame, seen: DataFrame, session: str = "sessi
     return out.where((F.col("part") == "snapshot") | follows).drop("over_", "end_", "seen")
 
 
+def sent(lines: DataFrame, line: str) -> DataFrame:
+    """Of complete lines those that begin with ``data:`` and hold JSON, with payload (as it was sent) in place of the line."""
+    blanks = F.lit(" \t\r\f\u000b ")
+    kept = lines.withColumn(line, F.btrim(line, blanks)).where(F.startswith(line, F.lit("data:")))
+    sent = kept.withColumn("payload", F.btrim(F.substring(line, 6, 1 << 30), blanks)).where("payload <> ''")
+    return sent.where(is_json(F.col("payload"))).drop(line)
+
+
 def sse_events(frames: DataFrame, text: str = "text") -> DataFrame:
     """Events of streams of server-sent frames, one row an event: complete lines that begin with ``data:`` and hold JSON.
 
@@ -101,11 +107,30 @@ def sse_events(frames: DataFrame, text: str = "text") -> DataFrame:
     """
     lines = F.split(F.col(text), "\n", -1)
     rest = [F.col(f"`{c}`") for c in frames.columns if c != text]
-    each = frames.select(*rest, F.posexplode(F.slice(lines, F.lit(1), F.size(lines) - 1)).alias("place", "line_"))
-    blanks = F.lit(" \t\r\f\u000b ")
-    line = each.withColumn("line_", F.btrim("line_", blanks)).where(F.startswith("line_", F.lit("data:")))
-    sent = line.withColumn("payload", F.btrim(F.substring("line_", 6, 1 << 30), blanks)).where("payload <> ''")
-    return sent.where(is_json(F.col("payload"))).drop("line_")
+    return sent(frames.select(*rest, F.posexplode(F.slice(lines, F.lit(1), F.size(lines) - 1)).alias("place", "line_")), "line_")
+
+
+def sse_chunks(chunks: DataFrame, stream: str = "stream", seq: str = "seq", data: str = "data", rows: int = ROWS) -> DataFrame:
+    """Events of byte streams that arrive in chunks cut anywhere, in the middle of a character too: stream, place (of the line in its stream) and payload.
+
+    A line has the number of line breaks before it in its stream, a sum that goes on from chunk to chunk however a
+    stream is dealt. Lines within a chunk are whole; of those that chunks share, each sends its piece, and the pieces of
+    a line are joined. Bytes that are no UTF-8 count as replacement characters; what follows a stream's last line break
+    is an unfinished line. Null chunks are empty.
+    """
+    one = F.decode(F.coalesce(F.col(data), F.to_binary(F.lit(""), F.lit("utf-8"))), "ISO-8859-1")  # a character a byte
+    cut = chunks.select(F.col(stream).alias("stream_"), F.col(seq).alias("seq_"), F.split(one, "\n", -1).alias("parts_")).withColumn("breaks_", (F.size("parts_") - 1).cast("long"))
+    order = ["stream_", "seq_"]
+    numbered = running(dealt(cut, order, "chunks", rows), order, F.col("breaks_"))
+    base = numbered.groupBy(F.col("stream_").alias("own_")).agg(F.min(F.col("sum_") - F.col("breaks_")).alias("base_"))
+    placed = numbered.join(base, F.col("stream_").eqNullSafe(F.col("own_"))).withColumn("from_", F.col("sum_") - F.col("breaks_") - F.col("base_"))
+    each = placed.select("stream_", "seq_", "from_", "breaks_", F.posexplode("parts_").alias("i_", "piece_")).withColumn("place", F.col("from_") + F.col("i_"))
+    inner = (F.col("i_") > 0) & (F.col("i_") < F.col("breaks_"))
+    shared = each.where(~inner).groupBy("stream_", "place").agg(F.array_sort(F.collect_list(F.struct("seq_", "piece_"))).alias("p_"), F.bool_or(F.col("i_") < F.col("breaks_")).alias("ends_"))
+    ended = shared.where("ends_").select("stream_", "place", F.array_join(F.transform("p_", lambda x: x["piece_"]), "").alias("piece_"))
+    lines = each.where(inner).select("stream_", "place", "piece_").unionByName(ended)
+    text = F.make_valid_utf8(F.encode("piece_", "ISO-8859-1").cast("string"))
+    return sent(lines.select(F.col("stream_").alias(stream), "place", text.alias("line_")), "line_")
 
 
 def appended(log: DataFrame, produced: DataFrame, session: str = "session_id", version: str = "version", order: str = "at") -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,24 +39,79 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_order(df: DataFrame, order: list[Column | str], name: str, value: Column | None = None, rows: int = ROWS) -> DataFrame:
-    """``df`` with place_: a row's place, from 0, in the order of the columns ``order``, which must be total.
+def dealt(df: DataFrame, order: list[Column | str], name: str, rows: int = ROWS) -> DataFrame:
+    """``df`` with part_: stretches of the order of the columns ``order``, which must be total, of about ``rows`` each.
 
-    With ``value`` (longs) also sum_: its sum over all rows up to this one. Rows are dealt by ranges to partitions of
-    about ``rows``, written once, and numbered within; a partition's count and sum, one row each, make up the rest. So
-    a key that holds any share of the rows is spread over as many tasks as its rows need. ``part_`` is the partition.
+    Rows are dealt by ranges and written once, so a key that holds any share of the rows is spread over as many tasks as
+    its rows need. Up to ``rows`` rows are one part as they are.
     """
     parts = max(1, -(-df.count() // rows))
-    df = df.withColumn("v_", (F.lit(0) if value is None else value).cast("long"))
-    if parts == 1:  # so few rows are one partition as they are
-        whole = Window.partitionBy("part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        one = df.withColumn("part_", F.lit(0)).withColumns({"place_": F.row_number().over(whole) - 1, "sum_": F.sum("v_").over(whole)})
-        return one.drop("v_", *([] if value is not None else ["sum_"]))
-    dealt = written(df.repartitionByRange(parts, *order).withColumn("part_", F.spark_partition_id()), name)
-    earlier = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    totals = dealt.groupBy("part_").agg(F.count("*").alias("n_"), F.sum("v_").alias("s_"))
+    if parts == 1:
+        return df.withColumn("part_", F.lit(0))
+    return written(df.repartitionByRange(parts, *order).withColumn("part_", F.spark_partition_id()), name)
+
+
+def running(df: DataFrame, order: list[Column | str], value: Column) -> DataFrame:
+    """Rows that ``dealt`` made, with place_ (from 0, in the order) and sum_ (of ``value``, longs, over all rows up to this one).
+
+    Numbers within parts plus those of the parts before, one row a part.
+    """
+    df = df.withColumn("v_", value.cast("long"))
+    earlier = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy("part_").agg(F.count("*").alias("n_"), F.sum("v_").alias("s_"))
     totals = totals.select("part_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("n_"), F.coalesce(F.sum("s_").over(earlier), F.lit(0)).alias("s_"))
     within = Window.partitionBy("part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = dealt.select("*", F.row_number().over(within).alias("i_"), F.sum("v_").over(within).alias("u_")).join(totals, "part_")
-    out = numbered.withColumn("place_", F.col("n_") + F.col("i_") - 1).withColumn("sum_", F.col("s_") + F.col("u_"))
-    return out.drop("n_", "s_", "i_", "u_", "v_", *([] if value is not None else ["sum_"]))
+    numbered = df.select("*", F.row_number().over(within).alias("i_"), F.sum("v_").over(within).alias("u_")).join(totals, "part_")
+    return numbered.withColumns({"place_": F.col("n_") + F.col("i_") - 1, "sum_": F.col("s_") + F.col("u_")}).drop("n_", "s_", "i_", "u_", "v_")
+
+
+def in_order(df: DataFrame, order: list[Column | str], name: str, value: Column | None = None, rows: int = ROWS) -> DataFrame:
+    """``df`` with part_, place_ and, for a ``value``, sum_, as ``dealt`` and ``running`` have them."""
+    out = running(dealt(df, order, name, rows), order, F.lit(0) if value is None else value)
+    return out if value is not None else out.drop("sum_")
+
+
+def neighbours(df: DataFrame, order: list[Column | str], value: Column) -> DataFrame:
+    """Rows that ``dealt`` made, with prev_ and next_: ``value`` of the rows right before and after in the whole order (null at its ends).
+
+    Within a part by a window; at its ends from the last row of the part before and the first of the part after.
+    """
+    df = df.withColumn("x_", value)
+    within, parts = Window.partitionBy("part_").orderBy(*order), Window.orderBy("part_")
+    ends = df.groupBy("part_").agg(F.min_by("x_", F.struct(*order)).alias("first_"), F.max_by("x_", F.struct(*order)).alias("last_"))
+    ends = ends.select("part_", F.lag("last_").over(parts).alias("before_"), F.lead("first_").over(parts).alias("after_"))
+    own = df.select("*", F.lag("x_").over(within).alias("p_"), F.lead("x_").over(within).alias("n_")).join(ends, "part_")
+    return own.withColumns({"prev_": F.coalesce("p_", "before_"), "next_": F.coalesce("n_", "after_")}).drop("x_", "p_", "n_", "before_", "after_")
+
+
+def joined(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], more: dict[str, tuple[Callable, Callable, Column]] | None = None) -> DataFrame:
+    """Rows that ``dealt`` made as one row for each of ``keys``: arrays of the ``values`` (nulls left out) in the order of ``order``.
+
+    ``more`` has further aggregates: of a part's rows, of the parts, and of what.
+
+    A key's values of one part are gathered first, then its parts, so no list is longer than a part or has more items
+    than there are parts, but for the result itself.
+    """
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct(F.col(order).alias("o"), v.alias("v"))))), lambda x: x["v"]).alias(n) for n, v in values.items()]
+    per = df.groupBy(*keys, "part_").agg(*lists, *[f(c).alias(n) for n, (f, _, c) in (more or {}).items()])
+    whole = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part_", F.col(n).alias("l")))), lambda x: x["l"])).alias(n) for n in values]
+    rest = [f(n).alias(n) for n, (_, f, _) in (more or {}).items()]
+    return per.groupBy(*keys).agg(*whole, *rest)
+
+
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a path, and the path in it; names of local files are no URIs, so they may hold any character."""
+    local = re.match("(?:file:/+|/)(.*)", uri)
+    return (fs.LocalFileSystem(), f"/{local[1]}") if local else fs.FileSystem.from_uri(uri)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what runs inside; the session's setting comes back after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.files import is_safe_relative
+from .ordered import file_system, small_batches, written
 
 MIB = 1 << 20
 CHUNK_LEAST, CHUNK_DEFAULT, CHUNK_MOST, TTL_SECONDS = MIB, 5 * MIB, 10 * MIB, 86_400
@@ -54,11 +60,50 @@ def expired(manifests: DataFrame, now: Column, created: str = "created_at") -> D
     return manifests.where(F.unix_timestamp(now) - F.unix_timestamp(created) > TTL_SECONDS)
 
 
-def merged(parts: DataFrame, key: str, part: str, content: str) -> DataFrame:
-    """Parts of each upload joined in order, with length and checksum. An upload is bounded by its size limit."""
-    ordered = F.array_sort(F.collect_list(F.struct(part, F.col(content).alias("c"))))
-    text = F.array_join(F.transform(ordered, lambda x: x["c"]), "")
-    return parts.groupBy(key).agg(text.alias("content")).withColumns({"sha256": F.sha2("content", 256), "n_bytes": F.octet_length("content")})
+def merged(parts: DataFrame, key: str, part: str, content: str, folder: str | None = None) -> DataFrame:
+    """Parts of each upload (texts or bytes) joined in order: key, n_bytes, sha256 and path.
+
+    A secondary sort: slices of up to 1 MiB are dealt by upload and sorted by place, and a task feeds them one by one to
+    a running checksum and, with a ``folder``, to a file of its own there, so it holds a few slices whatever an upload's
+    size. A task that is run again writes another file; the path is that of the run that counted.
+    """
+    spark, bytes_ = parts.sparkSession, F.col(content).cast("binary")
+    starts = F.sequence(F.lit(0), F.greatest(F.octet_length(content) - 1, F.lit(0)), F.lit(MIB))
+    cut = parts.select(F.col(key).alias("key"), F.col(part).alias("part"), bytes_.alias("content"), F.explode(starts).alias("at"))
+    cut = cut.select("key", "part", "at", F.substring("content", F.col("at") + 1, F.lit(MIB)).alias("slice"))
+    kind = cut.schema["key"].dataType.simpleString()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, digest, size, out, path = None, None, 0, None, None
+
+        def done() -> pa.RecordBatch:
+            if out is not None:
+                out.close()
+            return pa.RecordBatch.from_arrays([pa.array([own[0]], own[1]), pa.array([size], pa.int64()), pa.array([digest.hexdigest()]), pa.array([path], pa.string())], ["key", "n_bytes", "sha256", "path"])
+
+        for batch in batches:
+            for i in range(len(batch)):
+                value = batch.column(0)[i].as_py()
+                if own is None or value != own[0]:
+                    if own is not None:
+                        yield done()
+                    own, digest, size = (value, batch.column(0).type), sha256(), 0
+                    if folder:
+                        path = f"{folder}/{uuid.uuid4().hex}"
+                        system, where = file_system(path)
+                        system.create_dir(where.rsplit("/", 1)[0], recursive=True)
+                        out = system.open_output_stream(where)
+                data = batch.column(1)[i].as_buffer()
+                digest.update(data)
+                size += data.size
+                if out is not None:
+                    out.write(data)
+        if own is not None:
+            yield done()
+
+    sorted_ = cut.repartition("key").sortWithinPartitions("key", "part", "at").select("key", "slice")
+    with small_batches(spark, 16):
+        return written(sorted_.mapInArrow(merge, f"key {kind}, n_bytes long, sha256 string, path string"), "merged").withColumnRenamed("key", key)
 
 
 LARGEST = 2048 * MIB
@@ -88,21 +133,20 @@ def verified(parts: DataFrame, content: str = "content", checksum: str = "checks
     return parts.withColumn("actual", F.sha2(F.col(content), 256)).withColumn("matches", (asked == "") | (asked == F.col("actual")))
 
 
-def merged_bytes(parts: DataFrame, manifests: DataFrame, key: str = "upload_id") -> DataFrame:
-    """Parts of each upload joined in order as bytes: n_bytes, sha256 and outcome (incomplete, size, ok); content where ok.
+def merged_uploads(parts: DataFrame, manifests: DataFrame, key: str = "upload_id", folder: str | None = None) -> DataFrame:
+    """Outcome of each upload (incomplete, size, ok) with n_bytes; where ok the parts are joined: sha256 and, with a ``folder``, path.
 
-    parts: key, part, content (binary); manifests: key, total, size. An upload is bounded by ``LARGEST``, a value that
-    Spark's rows hold just short of; sizes are summed before any bytes are joined, so a wrong one costs nothing.
+    parts: key, part, content (binary); manifests: key, total, size. Sizes are summed before any bytes are moved, so a
+    wrong one costs nothing; of a part that came twice one counts.
     """
-    inside = parts.join(manifests, key).where((F.col("part") >= 0) & (F.col("part") < F.col("total")))
-    once = inside.groupBy(key, "part").agg(F.first("content").alias("content"))
-    sums = once.groupBy(key).agg(F.count("*").alias("held"), F.sum(F.octet_length("content")).alias("n_bytes"))
-    state = manifests.join(sums, key, "left").select(key, "size", F.when(F.coalesce("held", F.lit(0)) < F.col("total"), "incomplete").when(F.coalesce("n_bytes", F.lit(0)) != F.col("size"), "size").otherwise("ok").alias("outcome"), F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"))
-    good = once.join(state.where("outcome = 'ok'").select(key), key, "left_semi")
-    ordered = F.array_sort(F.collect_list(F.struct("part", "content")))
-    joined = F.aggregate(ordered, F.to_binary(F.lit(""), F.lit("utf-8")), lambda acc, x: F.concat(acc, x["content"]))
-    whole = good.groupBy(key).agg(joined.alias("content"))
-    return state.join(whole, key, "left").select(key, "outcome", "n_bytes", F.sha2("content", 256).alias("sha256"), "content")
+    inside = parts.join(manifests.select(key, "total"), key).where((F.col("part") >= 0) & (F.col("part") < F.col("total"))).drop("total")
+    once = inside.dropDuplicates([key, "part"])
+    sums = once.select(key, F.octet_length("content").cast("long").alias("b")).groupBy(key).agg(F.count("*").alias("held"), F.sum("b").alias("n_bytes"))
+    zero = F.lit(0).cast("long")
+    outcome = F.when(F.coalesce("held", zero) < F.col("total"), "incomplete").when(F.coalesce("n_bytes", zero) != F.col("size"), "size").otherwise("ok")
+    state = manifests.join(sums, key, "left").select(key, outcome.alias("outcome"), F.coalesce("n_bytes", zero).alias("n_bytes"))
+    whole = merged(once.join(state.where("outcome = 'ok'").select(key), key, "left_semi"), key, "part", "content", folder)
+    return state.join(whole.select(key, "sha256", "path"), key, "left")
 
 
 _MANIFEST = "upload_id string, created_at string, size long"

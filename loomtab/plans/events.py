@@ -62,26 +62,22 @@ _LEVELS = {
     "route": ["planner", "coder", "worker", "reporter", "finish"], "last": ["coder", ""], "invocations": [23, 24], "replans": [3, 4], "corrections": [4, 5],
     **{k: [False, True] for k in ("plan", "code", "ran", "failed", "data", "done", "force")},
 }
-N_STATES = 1
-for _v in _LEVELS.values():
-    N_STATES *= len(_v)
 
 
-def routing_states(spark: SparkSession) -> DataFrame:
-    """Every combination of levels, numbered: digits of the number pick the levels."""
-    out, left = spark.range(N_STATES).withColumnRenamed("id", "state_id"), F.col("state_id")
+def routing_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state for every order: digits of its key pick the levels, so consecutive keys go through their combinations."""
+    out = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("state_id"), F.col("o_orderkey").alias("left_"))
     for name, values in _LEVELS.items():
-        out = out.withColumn(name, F.element_at(F.array(*map(F.lit, values)), (left % len(values) + 1).cast("int")))
-        left = F.floor(left / len(values))
-    return out
+        out = out.withColumn(name, F.element_at(F.array(*map(F.lit, values)), (F.col("left_") % len(values) + 1).cast("int"))).withColumn("left_", F.floor(F.col("left_") / len(values)))
+    return out.drop("left_")
 
 
 def route_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.clamp(routing_states(spark)).select("state_id", "route", F.coalesce("rule", F.lit("")).alias("rule"))
+    return R.clamp(routing_states(spark, sf_dir)).select("state_id", "route", F.coalesce("rule", F.lit("")).alias("rule"))
 
 
 def correction_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = routing_states(spark)
+    s = routing_states(spark, sf_dir)
     args = [F.col(c) for c in ("failed", "ran", "code", "corrections")]
     return s.groupBy(R.should_correct(*args).alias("correct"), R.should_keep_code(*args).alias("keep")).agg(F.count("*").alias("n"))
 
@@ -164,7 +160,7 @@ def _states_sql() -> str:
         shown = ", ".join(f"'{v}'" if isinstance(v, str) else str(v).lower() for v in values)
         parts.append(f"list_extract([{shown}], ((state_id // {step}) % {len(values)} + 1)::INTEGER) AS {name}")
         step *= len(values)
-    return f"SELECT state_id, {', '.join(parts)}, '' AS rule FROM (SELECT range AS state_id FROM range({N_STATES}))"
+    return f"SELECT state_id, {', '.join(parts)}, '' AS rule FROM (SELECT o_orderkey AS state_id FROM orders)"
 
 
 #: The rule chain as SQL conditions, in order: (rule, condition, new route).

@@ -50,7 +50,9 @@ def upload_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supported_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.supported_extensions(rules.rules(spark))
+    """The extensions a reader supports, with how many files of the inventory have them."""
+    files = inventory(spark, sf_dir).groupBy(N.extension(F.col("path")).alias("extension")).agg(F.count("*").alias("n_files"))
+    return rules.supported_extensions(rules.rules(spark)).join(files, "extension", "left").fillna(0, "n_files")
 
 
 def legacy_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +150,7 @@ ORACLES = {
     "format_resolution": f"WITH {_RESOLVED} SELECT doc_id, path, format_id, category, handler_id FROM resolved",
     "category_rollup": f"WITH {_RESOLVED}, n AS (SELECT category, count(*) AS k, list_position(['table','image','text','document','imaging','binary'], category) AS place FROM resolved GROUP BY category) SELECT string_agg(category || '=' || k, ', ' ORDER BY place) AS summary FROM n",
     "upload_allowlist": f"WITH {_RESOLVED} SELECT ext, count(*) AS n_files FROM resolved WHERE category <> 'binary' GROUP BY ext",
-    "supported_extensions": f"SELECT DISTINCT ext AS extension FROM {_RULES}",
+    "supported_extensions": f"SELECT extension, count(path) AS n_files FROM (SELECT DISTINCT ext AS extension FROM {_RULES}) LEFT JOIN (SELECT path, {_EXT} AS e FROM (SELECT {_PATHS} AS path FROM documents)) ON e = extension GROUP BY extension",
     "legacy_tables": f"WITH {_RESOLVED} SELECT doc_id, path, CASE WHEN ext = '.csv' THEN 'csv' ELSE 'excel' END AS hint FROM resolved WHERE category = 'table'",
     "mime_guess": f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'text/declared' ELSE coalesce(known.mime, 'application/octet-stream') END AS mime FROM (SELECT doc_id, {_PATHS} AS path FROM documents) LEFT JOIN {_MIME} ON known.ext = {_EXT}",
     "text_preview": """SELECT doc_id, substr(text, 1, 4000) AS preview,

@@ -24,15 +24,15 @@ _SID = "CASE WHEN o_orderkey % 11 = 0 THEN ' ' WHEN o_orderkey % 13 = 0 THEN NUL
 #: Table of the catalog -> (driver's table, columns, condition).
 MADE = {
     "sessions": ("orders", {
-        "id": "o_orderkey", "session_id": _SID, "user_id": "o_custkey % 40",
+        "id": "o_orderkey", "session_id": _SID, "user_id": "o_custkey",
         "project_id": "CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_custkey % 60 + 1 END",
         "title": "CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END",
         "workspace_path": "'/ws/' || o_custkey || '/' || o_orderkey",
     }, "true"),
-    "projects": ("customer", {"id": "c_custkey + 1", "user_id": "c_custkey % 40", "name": "c_name", "is_default": "c_custkey < 30", "archived": "c_acctbal < 0"}, "true"),
-    "users": ("customer", {"user_id": "c_custkey", "phone": "'13' || (c_custkey + 10000)", "username": "c_name", "role": "CASE WHEN c_custkey % 13 = 4 THEN 'admin' WHEN c_custkey % 3 = 0 THEN 'user' END", "is_admin": "c_custkey % 13 = 4"}, "c_custkey < 40"),
+    "projects": ("customer", {"id": "c_custkey + 1", "user_id": "c_custkey - c_custkey % 3", "name": "c_name", "is_default": "c_custkey < 30", "archived": "c_acctbal < 0"}, "true"),
+    "users": ("customer", {"user_id": "c_custkey", "phone": "'13' || (c_custkey + 10000)", "username": "c_name", "role": "CASE WHEN c_custkey % 13 = 4 THEN 'admin' WHEN c_custkey % 3 = 0 THEN 'user' END", "is_admin": "c_custkey % 13 = 4"}, "true"),
     "members": ("orders", {
-        "id": "o_orderkey", "project_id": "CASE WHEN o_orderkey % 17 = 0 THEN 0 WHEN o_orderkey % 19 = 0 THEN NULL ELSE o_orderkey % 150 + 1 END", "user_id": "(o_custkey * 7) % 45",
+        "id": "o_orderkey", "project_id": "CASE WHEN o_orderkey % 17 = 0 THEN 0 WHEN o_orderkey % 19 = 0 THEN NULL ELSE o_orderkey % 150 + 1 END", "user_id": "o_custkey",
         "permissions": "CASE WHEN o_totalprice < 50000 THEN '[\"data_upload\",\"' || lower(o_orderstatus) || '\"]' WHEN o_totalprice < 90000 THEN '[\"' || o_orderpriority WHEN o_totalprice < 120000 THEN '[]' WHEN o_totalprice < 150000 THEN NULL ELSE '[\"' || o_orderpriority || '\"]' END",
         "joined_at": "o_orderdate",
     }, "true"),
@@ -93,8 +93,9 @@ def sessions_by_project(spark, sf_dir):
 
 
 _REACH = """reach AS (
-    SELECT u.user_id, p.id, CASE WHEN u.is_admin THEN 'admin' WHEN p.user_id = u.user_id THEN 'owner' ELSE 'member' END AS via FROM users u, projects p
-    WHERE u.is_admin OR p.user_id = u.user_id OR EXISTS (SELECT 1 FROM members m WHERE m.user_id = u.user_id AND m.project_id = p.id))"""
+    SELECT u.user_id, p.id, CASE WHEN p.user_id = u.user_id THEN 'owner' ELSE 'member' END AS via FROM users u, projects p
+    WHERE NOT u.is_admin AND (p.user_id = u.user_id OR EXISTS (SELECT 1 FROM members m WHERE m.user_id = u.user_id AND m.project_id = p.id))
+    UNION ALL SELECT user_id, NULL, 'admin' FROM users WHERE is_admin)"""
 
 
 @query(f"{_with('users', 'projects', 'members')}, {_REACH} SELECT user_id, id, via FROM reach")
@@ -113,16 +114,28 @@ def _accessible(spark, sf_dir, project=None):
     return C.accessible_sessions(made(spark, sf_dir, "sessions"), reach, project)
 
 
-@query(f"{_SEEN} SELECT * FROM seen")
+@query(f"{_SEEN} SELECT * FROM seen UNION ALL SELECT user_id, NULL, NULL, 'admin' FROM reach WHERE id IS NULL")
 def accessible_sessions(spark, sf_dir):
     return _accessible(spark, sf_dir)
 
 
-@query(f"{_SEEN} SELECT * FROM seen WHERE project_id = 7")
+@query(f"{_SEEN} SELECT * FROM seen WHERE project_id = 7 UNION ALL SELECT user_id, NULL, 7, 'admin' FROM reach WHERE id IS NULL")
 def accessible_in_project(spark, sf_dir):
     return _accessible(spark, sf_dir, 7)
 
 
+_OF_SESSIONS = "SELECT l_orderkey, l_linenumber, l_suppkey * 7 + l_linenumber AS user_id, 's' || (l_orderkey - l_orderkey % 2) AS session_id FROM lineitem"
+
+
+@query(f"""{_with('users', 'projects', 'members', 'sessions')}, {_REACH}, live AS (SELECT user_id, session_id, nullif(project_id, 0) AS project_id FROM sessions WHERE {_LIVE}), a AS ({_OF_SESSIONS})
+    SELECT a.*, EXISTS (SELECT 1 FROM live s WHERE s.session_id = a.session_id AND s.user_id = a.user_id) OR EXISTS (SELECT 1 FROM live s JOIN reach r ON r.id = s.project_id WHERE s.session_id = a.session_id AND r.user_id = a.user_id)
+        OR EXISTS (SELECT 1 FROM reach r WHERE r.id IS NULL AND r.user_id = a.user_id) AND EXISTS (SELECT 1 FROM live s WHERE s.session_id = a.session_id AND s.project_id IS NOT NULL) AS may FROM a""")
+def session_access(spark, sf_dir):
+    """Requests of users for sessions: whether they may, admins included."""
+    reach = C.reachable_projects(*[made(spark, sf_dir, n) for n in ("users", "projects", "members")])
+    return C.sees(_rows(spark, sf_dir, "lineitem", _OF_SESSIONS), made(spark, sf_dir, "sessions"), reach).select("l_orderkey", "l_linenumber", "user_id", "session_id", "may")
+
+
 @query(f"{_with('projects', 'sessions')} SELECT s.project_id AS id, p.name, p.user_id FROM (SELECT DISTINCT project_id FROM sessions WHERE project_id IS NOT NULL) s LEFT JOIN projects p ON p.id = s.project_id")
 def project_lookup(spark, sf_dir):
     """Every project id that a session names, with the project where there is one."""
@@ -444,7 +457,7 @@ def merged_uploads(spark, sf_dir):
     """Parts joined as bytes where all are there and the size is the declared one."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("upload_id"), F.col("turn").alias("part"), F.to_binary(F.coalesce("text", F.lit("")), F.lit("utf-8")).alias("content"))
     size = F.sum(F.octet_length("content")) + F.when(F.col("upload_id") % 4 == 3, 1).otherwise(0)
-    return U.merged_bytes(c.where("(upload_id + part) % 6 <> 5"), c.groupBy("upload_id").agg(F.count("*").alias("total"), size.alias("size"))).select("upload_id", "outcome", "n_bytes", "sha256")
+    return U.merged_uploads(c.where("(upload_id + part) % 6 <> 5"), c.groupBy("upload_id").agg(F.count("*").alias("total"), size.alias("size"))).select("upload_id", "outcome", "n_bytes", "sha256")
 
 
 @query("""WITH f AS (SELECT event_id, event_id % 6 AS k, date_trunc('second', ts) AS ts FROM events) SELECT event_id, CASE WHEN k = 0 THEN 'remove_missing' WHEN k IN (1, 2) THEN 'remove_corrupt' WHEN date_diff('second', ts, TIMESTAMP '2024-01-03 00:00:00') > 86400 THEN 'expired' ELSE 'keep' END AS verdict FROM f""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stages as G
 from ..operators import catalog
 from ..operators import events as E
+from ..operators.ordered import dealt, joined
 from .common import table
 
 
@@ -28,9 +29,10 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def worker_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    one = F.struct(F.concat(F.lit("s"), F.col("event_id").cast("string"), F.lit(".py")).alias("path"), (F.col("event_type") != "error").alias("success"), F.when(F.col("event_id") % 2 == 0, "trace").otherwise("").alias("stderr"))
-    per = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", one.alias("r")))).alias("rs"))
-    return per.select("user_id", G.error_text(F.array(F.lit("first"), F.lit(""), F.lit(None).cast("string")), F.transform("rs", lambda x: x["r"])).alias("errors"))
+    said = F.when(F.col("event_id") % 2 == 0, "trace").otherwise("")
+    failed = e.select("user_id", "event_id", F.struct(F.concat(F.lit("s"), F.col("event_id").cast("string"), F.lit(".py")).alias("path"), (F.col("event_type") != "error").alias("success"), said.alias("stderr")).alias("r"))
+    per = joined(dealt(failed, ["user_id", "event_id"], "results"), ["user_id"], "event_id", {"rs": F.when(~F.col("r.success") & (F.col("r.stderr") != ""), F.col("r"))})
+    return per.select("user_id", G.error_text(F.array(F.lit("first"), F.lit(""), F.lit(None).cast("string")), F.col("rs")).alias("errors"))
 
 
 def silent_success(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -15,23 +14,18 @@ from pyspark.sql import types as T
 
 from ..functions.files import extension, magic_prefix
 from ..functions.text import line_count
-from ..operators.ordered import written
+from ..operators.ordered import file_system, written
 
 MEMORY_FILE = "SESSION_MEMORY.md"
 PREVIEW_CHARS, KEYS = 4000, 50
 _FOUND = "relative_path string, path string, kind string, size_bytes long"
 
 
-def _opened(uri: str) -> tuple[fs.FileSystem, str]:
-    local = re.match("(?:file:/+|/)(.*)", uri)  # names of local files are no URIs: they may hold any character
-    return (fs.LocalFileSystem(), f"/{local[1]}") if local else fs.FileSystem.from_uri(uri)
-
-
 def _listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """What lies directly in each directory; links to directories are not followed."""
     for frame in frames:
         for above, uri in frame[["relative_path", "path"]].itertuples(index=False):
-            system, where = _opened(uri)
+            system, where = file_system(uri)
             rows = []
             for x in system.get_file_info(fs.FileSelector(where, allow_not_found=True)):
                 directory = x.type == fs.FileType.Directory
@@ -82,7 +76,7 @@ def scan(spark: SparkSession, root: str, depth: int | None = None, dotfiles: boo
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for name, uri in frame.itertuples(index=False):
-            system, where = _opened(uri)
+            system, where = file_system(uri)
             with system.open_input_stream(where) as f:
                 content = f.read()
             yield pd.DataFrame({"relative_path": [name], "content": [content], "size_bytes": [len(content)]})

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.events import CHUNK, COMPLETE
+from ..operators.events import CHUNK, COMPLETE, TERMINAL, sent
+from ..operators.uploads import TTL_SECONDS
 
 OUT = "session_id long, seq long, type string, content string, n_merged long, live boolean, part long"
 _STATE = "seq long, n long"
@@ -61,6 +62,93 @@ def snapshot(changes: DataFrame) -> DataFrame:
     return per.where("live").drop("live")
 
 
+def _lines(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Lines that a batch of chunks completes. The state is the unfinished end of the stream and how many lines came before."""
+    rest, place = (bytes(state.get[0]), state.get[1]) if state.exists else (b"", 0)
+    rows = pd.concat(list(frames)).sort_values("seq")
+    *lines, rest = (rest + b"".join(bytes(x) for x in rows["data"] if x is not None)).split(b"\n")
+    state.update((rest, place + len(lines)))
+    yield pd.DataFrame({"stream": [key[0]] * len(lines), "place": range(place, place + len(lines)), "line": lines})
+
+
+def sse_stream(chunks: DataFrame) -> DataFrame:
+    """Events of byte streams as their chunks come in: stream, place and payload, as ``events.sse_chunks`` has them.
+
+    ``chunks`` has stream (a long), seq and data (binary); a stream's chunks come in order from batch to batch.
+    """
+    lines = chunks.select("stream", "seq", "data").groupBy("stream").applyInPandasWithState(_lines, "stream long, place long, line binary", "rest binary, place long", "append", GroupStateTimeout.NoTimeout)
+    return sent(lines.withColumn("line", F.make_valid_utf8(F.col("line").cast("string"))), "line")
+
+
+_TAIL = "session_id long, version long, type string, part string"
+
+
+def _follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What a reader is sent of a batch of a session's events. The state is the last version, and whether the stream is over."""
+    last, over = state.get if state.exists else (-(2**63), False)
+    out = []
+    for version, kind, seen in pd.concat(list(frames)).sort_values("version")[["version", "type", "seen"]].itertuples(index=False):
+        if version <= last:  # sent before
+            continue
+        last = int(version)
+        if version <= seen:
+            out.append((key[0], last, kind, "snapshot"))
+            over = kind in TERMINAL  # that of the snapshot's last event counts
+        elif not over:
+            out.append((key[0], last, kind, "tail"))
+            over = kind in TERMINAL
+    state.update((last, bool(over)))
+    yield pd.DataFrame(out, columns=["session_id", "version", "type", "part"])
+
+
+def live_tail(log: DataFrame, seen: DataFrame) -> DataFrame:
+    """What readers who come back are sent while the log grows: the snapshot up to the version they have seen, then newer events up to the first terminal one.
+
+    ``log`` is a stream of session_id, version and type, a session's versions in order from batch to batch; ``seen`` has
+    session_id and seen. A version that comes again is sent once. With all batches taken together it is ``snapshot_then_tail``.
+    """
+    known = log.select("session_id", "version", "type").join(seen.select("session_id", "seen"), "session_id")
+    return known.groupBy("session_id").applyInPandasWithState(_follow, _TAIL, "last long, over boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def _expire(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Verdicts on one upload's folder. The state is when it was made; its timer is when it expires."""
+    verdict = None
+    if state.hasTimedOut:
+        verdict = "expired"
+        state.remove()
+    elif not pd.isna(key[0]):  # rows without an upload only tell the time
+        rows = pd.concat(list(frames)).sort_values("at")
+        now, manifest, created = rows["now_"].max(), rows["manifest"].iloc[-1], rows["created_"].iloc[-1]
+        if manifest is None or pd.isna(manifest) or pd.isna(created):
+            verdict = "remove_missing" if manifest is None or pd.isna(manifest) else "remove_corrupt"
+            if state.exists:
+                state.remove()
+        else:
+            ends = int(created) + TTL_SECONDS
+            passed = max(state.getCurrentWatermarkMs() // 1000, int(now))
+            if ends < passed:
+                verdict = "expired"
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((int(created),))
+                state.setTimeoutTimestamp(max(ends * 1000, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame([(key[0], verdict)] if verdict else [], columns=["upload_id", "verdict"])
+
+
+def expiring(folders: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """Upload folders to remove, as their time comes: upload_id and verdict (remove_missing, remove_corrupt, expired).
+
+    ``folders`` is a stream of upload_id (a long), manifest and at, the time of the row; rows without an upload tell the
+    time only, so a clock that ticks is enough for uploads to expire: each has a timer, and nothing else has to come in
+    for it. Broken folders are told of at once.
+    """
+    made = F.from_json("manifest", "upload_id string, created_at string, size long")["created_at"]
+    rows = folders.withWatermark("at", late).select("upload_id", "manifest", "at", F.unix_timestamp(F.try_to_timestamp(made)).cast("double").alias("created_"), F.unix_timestamp("at").alias("now_"))
+    return rows.groupBy("upload_id").applyInPandasWithState(_expire, "upload_id long, verdict string", "created long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Extension: events by type in windows of event time, with a watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"))
