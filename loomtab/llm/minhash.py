@@ -60,7 +60,7 @@ BANDS, ROWS = 40, 5
 #: Of BANDS * ROWS coordinates, with one byte of each compared.
 AGREE = 134
 #: Shingles of a tile's side.
-TILE = 400_000
+TILE = 200_000
 #: Nodes (24 bytes each) that are broadcast at most.
 SMALL = 500_000
 _LOWER = LOWER.tobytes()
@@ -160,6 +160,24 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], ["u", "v"])
 
 
+def numbered(texts: list[bytes]) -> list[np.ndarray]:
+    """Sets of shingles as sorted numbers: equal ones, by their words, have equal numbers in all of the texts, each of which has words.
+
+    Words get numbers, then pairs of words, then pairs of those with a third word; a place without a word counts as word 0.
+    """
+    known: dict[bytes, int] = {}
+    ids, sizes = [], []
+    for text in texts:
+        words = text.translate(_LOWER).split()
+        own = np.fromiter((known.setdefault(w, len(known) + 1) for w in words), np.int64, len(words))
+        ids.append(np.pad(own, (0, max(0, WORDS - len(own)))))
+        sizes.append(len(ids[-1]) - WORDS + 1)
+    codes = np.concatenate([x[: len(x) - WORDS + 1] for x in ids])
+    for k in range(1, WORDS):
+        codes = np.unique(codes << np.int64(32) | np.concatenate([x[k : len(x) - WORDS + 1 + k] for x in ids]), return_inverse=True)[1]
+    return [np.unique(x) for x in np.split(codes, np.cumsum(sizes)[:-1])]
+
+
 def _tile_links(columns: list[np.ndarray], sketch: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Links of one tile between components, one for each member of the left side and component."""
     row, root, n, left, right = columns
@@ -173,9 +191,9 @@ def _tile_links(columns: list[np.ndarray], sketch: np.ndarray, texts: list[bytes
                 near.append((i, others[keep]))
     if not near:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    numbers: dict[tuple, int] = {}  # of shingles, within the tile
-    sets = {k: np.array([numbers.setdefault(s, len(numbers)) for s in shingles(texts[k])], np.int64) for k in {k for i, others in near for k in (i, *others.tolist())}}
-    marked, u, v = np.zeros(len(numbers), bool), [], []
+    asked = sorted({k for i, others in near for k in (i, *others.tolist())})
+    sets = dict(zip(asked, numbered([texts[k] for k in asked]), strict=True))
+    marked, u, v = np.zeros(1 + max(int(x[-1]) for x in sets.values()), bool), [], []
     for i, others in near:
         marked[sets[i]] = True
         sizes = n[others]

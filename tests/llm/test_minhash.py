@@ -112,3 +112,11 @@ def test_a_large_group_gives_a_star(spark):
     assert stars < 6 * 300  # of 44,850 pairs
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.component_id for r in got.collect()} == {0}
+
+
+def test_numbers_of_shingles_are_those_of_their_words():
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcDd") + r.choice(["", "x"]) for _ in range(r.randrange(1, 30))).encode() for _ in range(60)]
+    sets, got = [minhash.shingles(t) for t in texts], minhash.numbered(texts)
+    assert [len(x) for x in got] == [len(x) for x in sets]
+    assert all(len(np.intersect1d(got[i], got[j])) == len(sets[i] & sets[j]) for i in range(60) for j in range(i))
