@@ -69,3 +69,13 @@ def profile(df: DataFrame) -> DataFrame:
     """One row a column: its place, type, rows and non-null values."""
     made = [F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("type"), F.count("*").alias("n_rows"), F.count(F.col(f"`{f.name}`")).alias("non_null")) for i, f in enumerate(df.schema)]
     return df.agg(F.array(*made).alias("rows")).select(F.inline("rows"))
+
+
+def sketched(df: DataFrame, keys: list[str], counted: str, bits: int = 14) -> DataFrame:
+    """A stored state for each of ``keys``: rows, and a sketch of the distinct values of ``counted`` that can be merged without the rows."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.hll_sketch_agg(counted, F.lit(bits)).alias("sketch"))
+
+
+def merged_sketches(states: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows and about how many distinct values several stored states have together; of ``2**bits`` registers the error is about 1.04 / sqrt of that."""
+    return states.groupBy(*keys).agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_values"))

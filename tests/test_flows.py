@@ -158,3 +158,93 @@ def test_access_has_no_cross_join(spark):
     for name in ("reachable_projects", "accessible_sessions", "accessible_in_project", "session_access"):
         plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
         assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_two_writers_and_one_that_fails(spark, tmp_path):
+    import threading
+
+    from loomtab.operators import commits as K
+
+    path = f"file://{tmp_path}/t"
+    one = lambda n: spark.createDataFrame([(n,)], "n int")
+    assert K.create(one(0), path) == 1
+    with pytest.raises(K.Conflict):
+        K._attempt(spark, path, lambda now: (K.write(spark, path, lambda x: x.unionByName(one(1))), now.unionByName(one(9)))[1])  # another write in between
+    assert sorted(r.n for r in K.read(spark, path).collect()) == [0, 1]
+    tried = []
+
+    def late(now):
+        tried.append(now.count())
+        if len(tried) == 1:
+            K.write(spark, path, lambda x: x.unionByName(one(2)))
+        return now.unionByName(one(3))
+
+    assert K.write(spark, path, late) == 4 and tried == [2, 3]  # what the other wrote is read again
+    assert sorted(r.n for r in K.read(spark, path).collect()) == [0, 1, 2, 3]
+    assert sorted(r.n for r in K.read(spark, path, 2).collect()) == [0, 1]
+    with pytest.raises(ZeroDivisionError):
+        K.write(spark, path, lambda now: 1 / 0)
+    broken = F.udf(lambda n: 1 / 0, "int")
+    with pytest.raises(Exception, match="division"):
+        K.write(spark, path, lambda now: now.select(broken("n").alias("n")))
+    assert K.versions(spark, path) == [1, 2, 3, 4] and len(list((tmp_path / "t/data").iterdir())) == 4  # nothing of those that failed
+    with pytest.raises(KeyError):
+        K.read(spark, path, 7)
+    done = []
+    threads = [threading.Thread(target=lambda n=n: done.append(K.write(spark, path, lambda x: x.unionByName(one(n))))) for n in (10, 11)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    assert sorted(done) == [5, 6] and sorted(r.n for r in K.read(spark, path).collect()) == [0, 1, 2, 3, 10, 11]
+
+
+def test_joins_by_time_with_a_hot_key(spark):
+    from datetime import datetime, timedelta
+
+    from loomtab.operators import intervals as V
+
+    r = random.Random(5)
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s) if s is not None else None
+    make = lambda n, first: [(first + i, r.choice([1, 1, 1, 2, None]), r.choice([None, *range(0, 400, 10)])) for i in range(n)]
+    left, right = make(90, 0), make(80, 1000)
+    frame = lambda rows: spark.createDataFrame([(i, k, at(s)) for i, k, s in rows], "id long, user long, t timestamp")
+    got = V.within(frame(left), frame(right), "user", "t", 30_000_000)
+    pairs = {(a[0], b[0]) for a in left for b in right if a[1] == b[1] and None not in (a[1], a[2], b[2]) and abs(a[2] - b[2]) <= 30}
+    assert sorted((x.l_id, x.r_id) for x in got.collect()) == sorted(pairs) and "NestedLoop" not in got._jdf.queryExecution().toString()
+    for rows in (1_000_000, 20):
+        found = V.latest_before(frame(left), frame(right), "user", "t", "id", "id", rows=rows)
+        best = {a[0]: max(((b[2], b[0]) for b in right if a[1] is not None and a[1] == b[1] and None not in (a[2], b[2]) and b[2] <= a[2]), default=(0, None))[1] for a in left}
+        assert {x.id: x.before_ for x in found.collect()} == best
+
+
+def test_sessions_and_two_streams_with_rows_out_of_order(spark, tmp_path, few_partitions):
+    from datetime import datetime, timedelta
+
+    from loomtab.streaming import windows as W
+
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    batches = [[(1, at(0)), (1, at(50)), (2, at(10))], [(1, at(25)), (2, at(45))], [(1, at(200)), (2, at(100))], [(None, at(100_000))], [(None, at(200_000))]]
+    schema = "user_id long, ts timestamp"
+    got = _stream(spark, tmp_path / "s", batches, schema, lambda df: W.sessions(df, "30 minutes", "2 hours"))
+    every = spark.createDataFrame([x for b in batches for x in b if x[0]], schema)
+    assert sorted(map(tuple, got.where("user_id is not null").collect())) == sorted(map(tuple, W.sessions(every, "30 minutes", None).collect()))
+    clicks = [(i, i % 2, at(13 * i)) for i in range(20)]
+    buys = [(100 + i, i % 2, at(29 * i + 5)) for i in range(10)]
+    wide = "event_id long, user_id long, ts timestamp"
+    for name, rows in (("a", clicks), ("b", buys)):
+        for half in (rows[::2], rows[1::2]):  # the second file has rows before those of the first
+            spark.createDataFrame(half, wide).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+    a, b = (spark.readStream.schema(wide).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{n}") for n in "ab")
+    query = W.followed(a, b, "1 hour", "10 hours").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/st").trigger(availableNow=True).start(f"{tmp_path}/o")
+    query.awaitTermination()
+    assert query.recentProgress and max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) <= 2 * 30  # both sides, rows and counts
+    want = W.followed(spark.createDataFrame(clicks, wide), spark.createDataFrame(buys, wide), late=None)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/o").collect())) == sorted(map(tuple, want.collect())) and want.count() > 5
+
+
+def test_sketches_merge_without_the_rows(spark):
+    from loomtab.operators import stats
+
+    df = spark.range(30_000).select((F.col("id") % 20).alias("day"), (F.col("id") * 7 % 9000).alias("v"))
+    states = stats.sketched(df, ["day"], "v")
+    whole = stats.merged_sketches(states.withColumn("all", F.lit(1)), ["all"]).first()
+    assert whole.n == 30_000 and abs(whole.distinct_values - 9000) < 3 * 1.04 / 128 * 9000
+    assert stats.merged_sketches(states.where("day < 0"), ["day"]).count() == 0
