@@ -94,6 +94,11 @@ def session_of(path: Column) -> Column:
     return F.when((F.size(parts) >= 4) & (F.get(parts, 2) == "sessions"), F.get(parts, 3)).otherwise(F.get(parts, 1))
 
 
+def session_folder(user: Column, project: Column, session: Column) -> Column:
+    """A session's folder below the root: user/project/sessions/<id>, or user/<id> without a project."""
+    return F.when(project.isNull(), F.concat_ws("/", user, session)).otherwise(F.concat_ws("/", user, project, F.lit("sessions"), session))
+
+
 def is_safe_relative(path: Column) -> Column:
     """Whether a relative path stays below its root once dots are resolved."""
     zero = F.struct(F.lit(0).alias("depth"), F.lit(True).alias("ok"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog, events, files, flows, memory, requests, stages, stats
+from . import catalog, events, files, flows, memory, requests, stages, stats, texts
 
-_MODULES = (files, catalog, events, stages, stats, requests, memory, flows)
+_MODULES = (files, catalog, events, stages, stats, requests, memory, flows, texts)
 
 
 def queries() -> dict:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +9,9 @@ from ..functions import text as T
 from ..operators import events as E
 from ..operators import routing as R
 from ..operators import uploads as U
+from ..operators.ordered import new_folder
 from ..streaming import events as S
-from .common import shared_dir, table
+from .common import table
 
 #: Turns of a conversation as events of a session, by turn modulo 5.
 KINDS = ("llm_chunk", "llm_chunk", "llm_complete", "llm_chunk", "stage_result")
@@ -30,7 +29,7 @@ def event_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same log through a stream of files, to completion, and the snapshot of its changes."""
-    root = f"{shared_dir(spark)}/loomtab-stream-{uuid.uuid4().hex}"
+    root = new_folder(spark, "stream")
     _log(spark, sf_dir).repartition(4, "session_id").write.parquet(f"{root}/in")
     events = spark.readStream.schema("session_id long, seq long, type string, content string").parquet(f"{root}/in")
 

@@ -25,14 +25,14 @@ _SID = "CASE WHEN o_orderkey % 11 = 0 THEN ' ' WHEN o_orderkey % 13 = 0 THEN NUL
 MADE = {
     "sessions": ("orders", {
         "id": "o_orderkey", "session_id": _SID, "user_id": "o_custkey",
-        "project_id": "CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_custkey % 60 + 1 END",
+        "project_id": "CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_custkey + 1 END",
         "title": "CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END",
         "workspace_path": "'/ws/' || o_custkey || '/' || o_orderkey",
     }, "true"),
     "projects": ("customer", {"id": "c_custkey + 1", "user_id": "c_custkey - c_custkey % 3", "name": "c_name", "is_default": "c_custkey < 30", "archived": "c_acctbal < 0"}, "true"),
     "users": ("customer", {"user_id": "c_custkey", "phone": "'13' || (c_custkey + 10000)", "username": "c_name", "role": "CASE WHEN c_custkey % 13 = 4 THEN 'admin' WHEN c_custkey % 3 = 0 THEN 'user' END", "is_admin": "c_custkey % 13 = 4"}, "true"),
     "members": ("orders", {
-        "id": "o_orderkey", "project_id": "CASE WHEN o_orderkey % 17 = 0 THEN 0 WHEN o_orderkey % 19 = 0 THEN NULL ELSE o_orderkey % 150 + 1 END", "user_id": "o_custkey",
+        "id": "o_orderkey", "project_id": "CASE WHEN o_orderkey % 17 = 0 THEN 0 WHEN o_orderkey % 19 = 0 THEN NULL ELSE o_orderkey % 1499 + 1 END", "user_id": "o_custkey",
         "permissions": "CASE WHEN o_totalprice < 50000 THEN '[\"data_upload\",\"' || lower(o_orderstatus) || '\"]' WHEN o_totalprice < 90000 THEN '[\"' || o_orderpriority WHEN o_totalprice < 120000 THEN '[]' WHEN o_totalprice < 150000 THEN NULL ELSE '[\"' || o_orderpriority || '\"]' END",
         "joined_at": "o_orderdate",
     }, "true"),
