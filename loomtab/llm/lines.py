@@ -3,15 +3,16 @@
 Lines with a word are hashed in order. Of every ``run`` neighbours the line of
 least hash (of equal ones the last) is selected: any stretch of that many lines
 that repeats has the same line selected in both places, so the selected lines,
-about 2 in run + 1, are fingerprints that no repeat can miss. Only they are
-posted, each with the lines around it that its windows reach. Postings whose
-hash occurs once go no further. The others are joined by position: a posting
-is extended to the left and to the right through every window in which it was
-selected, windows of equal lines are matches, and matches that overlap add up
-to runs of any length. Lines of a run that also starts earlier (smaller id, or
-same document and earlier line) are deleted; the first stays. A line of over
-``LONG`` words is a run in itself and is posted as such, so a repeated passage
-on one line goes as well.
+about 2 in run + 1, are fingerprints that no repeat can miss. Postings are
+those: hash, document and place. A hash that was posted once goes no further.
+Places whose hash meets another are matches of one line, which grow to the left
+and to the right, by the hashes of their neighbours, to the windows that
+selected them; only now, and only there, are neighbours looked at. Matches that
+agree in all of their lines are joined with the earliest of them, and matches
+that overlap add up to runs of any length. Lines of a run that also starts
+earlier (smaller id, or same document and earlier line) are deleted; the first
+stays. A line of over ``LONG`` words is a run in itself and is posted as such,
+so a repeated passage on one line goes as well.
 
 The earliest place of a window is a pre-aggregated minimum, so a run in a third
 of all rows sends one row a task. It is written as a table, and marking later
@@ -30,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import id_key, keyed, let, table, written
+from .tables import id_key, keyed, parallelism, table, written
 
 RUN, LONG = 2, 50
 #: What a line without a word consists of.
@@ -47,46 +48,46 @@ def _is_long(line: Column, most: int) -> Column:
     return (F.length(line) > 2 * most) & (F.size(F.array_remove(F.split(line, _BETWEEN, -1), "")) > most)
 
 
-def postings(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
-    """Columns k, h, p (place among worded lines), f (hash), own (windows that selected it) and single; ``docs`` as ``keyed``.
-
-    ``own`` holds for each window its first place, and indexes and hashes of its lines.
-    """
+def line_hashes(docs: DataFrame, long: int = LONG) -> DataFrame:
+    """Columns k, h and lines: of each line with a word its index i, 16 bytes of hash f, and whether it is long; ``docs`` as ``keyed``."""
     hashed = lambda x: F.unhex(F.substring(F.sha2(x, 256), 1, 32))
-    none = F.array().cast("array<struct<p: int, q: int>>")
     worded = F.filter(F.transform(_lines(), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: F.length(F.btrim(s["x"], F.lit(_BLANKS))) > 0)
     lines = F.transform(worded, lambda s: F.struct(s["i"].alias("i"), hashed(s["x"]).alias("f"), _is_long(s["x"], long).alias("long")))
+    return docs.where("text is not null").select("k", "h", lines.alias("lines"))
+
 
-    def selected(lines: Column) -> Column:
-        """For each window its first place q and the place p that it selects."""
-        least = lambda q: -F.array_min(F.transform(F.sequence(q, q + run - 1), lambda p: F.struct(F.get(lines, p - 1)["f"].alias("f"), (-p).alias("p"))))["p"]
-        every = F.transform(F.sequence(F.lit(1), F.size(lines) - (run - 1)), lambda q: F.struct(least(q).alias("p"), q.alias("q")))
-        return F.when(F.size(lines) >= run, every).otherwise(none)
+def _selected(lines: Column, run: int) -> Column:
+    """For each window of ``run`` lines its first place q and the place p, from 1, that it selects: the least hash, of equal ones the last."""
+    least = lambda q: -F.array_min(F.transform(F.sequence(q, q + run - 1), lambda p: F.struct(F.get(lines, p - 1)["f"].alias("f"), (-p).alias("p"))))["p"]
+    every = F.transform(F.sequence(F.lit(1), F.size(lines) - (run - 1)), lambda q: F.struct(least(q).alias("p"), q.alias("q")))
+    return F.when(F.size(lines) >= run, every).otherwise(F.array().cast("array<struct<p: int, q: int>>"))
 
-    def posting(lines: Column, windows: Column, p: Column) -> Column:
-        # only the windows that reach a place can have selected it
-        near = F.filter(F.slice(windows, F.greatest(p - run + 1, F.lit(1)), run), lambda w: w["p"] == p)
-        whole = lambda w: F.slice(lines, w["q"], run)
-        own = F.transform(near, lambda w: F.struct(w["q"].alias("q"), F.transform(whole(w), lambda s: s["i"]).alias("at"), F.transform(whole(w), lambda s: s["f"]).alias("around")))
-        line = F.get(lines, p - 1)
-        return F.struct(p.alias("p"), line["f"].alias("f"), line["i"].alias("i"), line["long"].alias("single"), own.alias("own"))
 
-    def posted(lines: Column, windows: Column) -> Column:
-        alone = F.filter(F.transform(lines, lambda s, i: F.when(s["long"], i + 1)), lambda p: p.isNotNull())
-        return F.transform(F.array_distinct(F.concat(F.transform(windows, lambda w: w["p"]), alone)), lambda p: posting(lines, windows, p))
+def _posted(hashed: DataFrame, run: int) -> DataFrame:
+    alone = F.filter(F.transform("lines", lambda s, i: F.when(s["long"], i + 1)), lambda p: p.isNotNull())
+    places = F.array_distinct(F.concat(F.transform(_selected(F.col("lines"), run), lambda w: w["p"]), alone))
+    posting = F.transform(places, lambda p: F.struct(p.alias("p"), F.get("lines", p - 1)["f"].alias("f")))
+    return hashed.select("k", "h", F.explode(posting).alias("x")).select("k", "h", "x.*")
 
-    # a row of the result holds a few lines' hashes, never those of the whole text
-    every = let(lines, lambda lines: let(selected(lines), lambda windows: posted(lines, windows)))
-    return docs.where("text is not null").select("k", "h", F.explode(every).alias("x")).select("k", "h", "x.*")
+
+def postings(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
+    """Columns k, h, p (place among worded lines) and f (hash) of the lines that windows select, and of long ones; ``docs`` as ``keyed``."""
+    return _posted(line_hashes(docs, long), run)
 
 
 def repeated_lines(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
     """Columns k, h and gone (indexes of lines to delete) of documents that lose lines; ``docs`` as ``keyed``."""
-    posted = written(postings(docs, run, long), "line-postings")
-    again = written(posted.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "line-hashes")
-    single = F.when(F.col("single"), F.array(F.struct(F.col("p").alias("q"), F.array("i").alias("at"), F.array("f").alias("around"))))
-    reached = F.concat("own", F.coalesce(single, F.array().cast("array<struct<q: int, at: array<int>, around: array<binary>>>")))
-    places = written(posted.join(again, "f").select("k", "h", F.explode(reached).alias("w")).select("k", "h", "w.q", "w.at", "w.around"), "line-windows")
+    hashed = written(line_hashes(docs, long), "line-hashes")
+    posted = _posted(hashed, run)
+    again = written(posted.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "line-minima")
+    met = posted.join(again, "f").groupBy("k", "h").agg(F.collect_list("p").alias("met"))
+    # matches grow from the places that met: a window that selected one reaches so many lines to its left, and the rest to its right
+    grown = lambda w: F.struct(w["q"].alias("q"), F.slice("lines", w["q"], run).alias("own"))
+    reached = F.transform(F.filter(_selected(F.col("lines"), run), lambda w: F.array_contains("met", w["p"])), grown)
+    single = F.transform(F.filter("met", lambda p: F.get("lines", p - 1)["long"]), lambda p: F.struct(p.alias("q"), F.slice("lines", p, 1).alias("own")))
+    places = hashed.join(met, ["k", "h"]).select("k", "h", F.explode(F.concat(reached, single)).alias("w"))
+    # dealt out, as a table of one file could not be split where a window is hot
+    places = written(places.select("k", "h", "w.q", F.col("w.own.i").alias("at"), F.col("w.own.f").alias("around")).repartition(parallelism(docs.sparkSession)), "line-matches")
     first = places.groupBy("around").agg(F.min(F.struct("k", "h", "q")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = places.join(written(first, "line-firsts"), "around").where(F.struct("k", "h", "q") > F.col("first"))
     return later.groupBy("k", "h").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))

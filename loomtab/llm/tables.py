@@ -29,9 +29,17 @@ _passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is there goes at the latest when the session's driver ends."""
+    path = f"{shared_dir(spark)}/loomtab-{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def passing(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder, deleted with the tables of the running query."""
-    path = f"{shared_dir(spark)}/loomtab-{name}-{uuid.uuid4().hex}"
+    path = _folder(spark, name)
     own = _passing.get()
     if own is not None:
         own.append(path)
@@ -55,10 +63,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` gives, as a table; everything that was written on the way is deleted, whether it succeeds or not."""
+    """What ``make`` gives, as a table that lives as long as the session; everything that was written on the way is deleted, whether it succeeds or not."""
     token = _passing.set([])
     try:
-        return _table(make(), f"{shared_dir(spark)}/loomtab-{name}-{uuid.uuid4().hex}")
+        return _table(make(), _folder(spark, name))
     finally:
         own = _passing.get()
         _passing.reset(token)
