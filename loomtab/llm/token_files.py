@@ -34,6 +34,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
 from .blocks import Block, blocks
@@ -174,7 +175,10 @@ def encode(df: DataFrame, path: str, end: int | None = END, id_col: str = "doc_i
     return rows.mapInArrow(task, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids binary")
 
 
-_BLOCK = "shard int, block int, first long, n long, doc_ids array<long>, doc_tokens array<long>, bits binary, ranks binary, zeros array<long>"
+#: Columns of a file; doc_ids are of the documents' own type.
+_BLOCK = "shard int, block int, first long, n long, doc_ids array<{}>, doc_tokens array<long>, bits binary, ranks binary, zeros array<long>"
+#: Shards whose totals are one group of the prefix sums.
+GROUP = 1024
 
 
 def in_order(df: DataFrame, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,6 +205,7 @@ def write_shards(encoded: DataFrame, directory: str, most: int = BLOCK) -> None:
         ids: list = []
         cells: list[bytes] = []
         size = 0
+        kind_of_ids = pa.int64()
 
         def packed() -> pa.RecordBatch:
             width = [c for c in cells if c]
@@ -208,12 +213,13 @@ def write_shards(encoded: DataFrame, directory: str, most: int = BLOCK) -> None:
             m = WaveletMatrix.build(np.frombuffer(b"".join(width), kind))
             row = [shard, block, first, m.n, ids, tokens, m.bits.tobytes(), m.ranks.tobytes(), m.zeros.tolist()]
             return pa.RecordBatch.from_arrays(
-                [pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)],
+                [pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(kind_of_ids), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)],
                 [f.split()[0] for f in _BLOCK.split(", ")],
             )
 
         tokens: list[int] = []
         for batch in batches:
+            kind_of_ids = batch.column(0).type
             for i, n, cell in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if cells and size + n > most:
                     yield packed()
@@ -224,7 +230,7 @@ def write_shards(encoded: DataFrame, directory: str, most: int = BLOCK) -> None:
         if cells:
             yield packed()
 
-    encoded.mapInArrow(task, _BLOCK).write.option("compression", "zstd").parquet(directory)
+    encoded.mapInArrow(task, _BLOCK.format(encoded.schema["id"].dataType.simpleString())).write.option("compression", "zstd").parquet(directory)
 
 
 def matrix(row: dict) -> WaveletMatrix:
@@ -235,11 +241,17 @@ def matrix(row: dict) -> WaveletMatrix:
 
 
 def read_shards(spark: SparkSession, directory: str) -> DataFrame:
-    """The blocks of all files, each with ``start``: how many ids stand before it in all shards."""
-    found = spark.read.schema(_BLOCK).parquet(directory)
-    totals = found.groupBy("shard").agg(F.sum("n").alias("m"))  # one row a shard
-    offsets = totals.select("shard", F.coalesce(F.sum("m").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    return found.join(F.broadcast(offsets), "shard").withColumn("start", F.col("offset") + F.col("first")).drop("offset")
+    """The blocks of all files, each with ``start``: how many ids stand before it in all shards.
+
+    Prefix sums in two levels: over groups of ``GROUP`` shards, a row each, and over the shards of a group.
+    """
+    found = spark.read.parquet(directory)
+    group = F.floor(F.col("shard") / GROUP).alias("group")
+    totals = found.groupBy("shard", group).agg(F.sum("n").alias("m"))
+    earlier = lambda w: F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = totals.groupBy("group").agg(F.sum("m").alias("m")).select("group", earlier(Window.orderBy("group")).alias("before"))
+    offsets = totals.withColumn("own", earlier(Window.partitionBy("group").orderBy("shard"))).join(before, "group").select("shard", (F.col("before") + F.col("own")).alias("offset"))
+    return found.join(offsets, "shard").withColumn("start", F.col("offset") + F.col("first")).drop("offset")
 
 
 def _matrices(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[dict, WaveletMatrix]]:
@@ -257,7 +269,10 @@ def ids_of(blocks_: DataFrame) -> DataFrame:
     matrix) and previous (global position of the last of these, null for none).
     """
 
+    kind = blocks_.schema["doc_ids"].dataType.elementType
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = to_arrow_type(kind)
         for row, m in _matrices(batches, ["start", "doc_ids", "doc_tokens"]):
             edges = np.concatenate(([0], np.cumsum(row["doc_tokens"])))
             at = edges[:-1]
@@ -269,22 +284,24 @@ def ids_of(blocks_: DataFrame) -> DataFrame:
             previous[again] = m.selects(first[again], before[again] - 1) + row["start"]
             none = np.diff(edges) == 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + at), pa.array(np.diff(edges)), binary(m.decode().astype("<u4"), edges),
+                [pa.array(row["doc_ids"], ids), pa.array(row["start"] + at), pa.array(np.diff(edges)), binary(m.decode().astype("<u4"), edges),
                  pa.array(first, mask=none), pa.array(before, mask=none), pa.array(previous, mask=before == 0)],
                 ["id", "start", "n_tokens", "ids", "first_id", "n_before", "previous"],
             )
 
-    return blocks_.mapInArrow(task, "id long, start long, n_tokens long, ids binary, first_id long, n_before long, previous long")
+    return blocks_.mapInArrow(task, f"id {kind.simpleString()}, start long, n_tokens long, ids binary, first_id long, n_before long, previous long")
 
 
 def tokens_at(blocks_: DataFrame, positions: DataFrame) -> DataFrame:
     """Columns position and token of the distinct global ``positions`` (column position) that exist: access.
 
-    A block gets the positions that fall into it, as one array; the ranges of blocks, a few numbers each, are broadcast.
+    Positions and blocks meet by equal stretches of ``BLOCK`` positions, of which a block touches two, or more if one
+    long document fills it; a block gets the positions that fall into it as one array.
     """
-    ranges = blocks_.select("start", "n")
-    own = positions.where("position is not null").select(F.col("position").cast("long").alias("position")).distinct()
-    own = own.join(F.broadcast(ranges), (F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + F.col("n")))
+    stretch = lambda c: F.floor(c / BLOCK)
+    ranges = blocks_.where("n > 0").select("start", "n", F.explode(F.sequence(stretch(F.col("start")), stretch(F.col("start") + F.col("n") - 1))).alias("stretch"))
+    own = positions.where("position is not null").select(F.col("position").cast("long").alias("position")).distinct().withColumn("stretch", stretch(F.col("position")))
+    own = own.join(ranges, "stretch").where((F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + F.col("n")))
     asked = own.groupBy("start").agg(F.collect_list("position").alias("positions"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

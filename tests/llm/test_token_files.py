@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from loomtab.llm import token_files as T
 from loomtab.llm.wavelet import WaveletMatrix
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 PATH = P.path(T.VOCABULARY)
@@ -129,3 +130,18 @@ def test_a_crowded_slot(monkeypatch):
     assert [new[i] for i in numbers] == [data[a:b].tobytes() for a, b in zip(starts, ends)]
     again, none = index.number(data, starts, ends)
     assert (again == numbers).all() and none == [] and len(set(new)) == len(new) == index.n
+
+
+def test_ids_of_any_kind_and_groups_of_shards(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "GROUP", 2)
+    monkeypatch.setattr(T, "BLOCK", 300)
+    named = docs.select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("doc_id"), "text")
+    T.write_shards(T.encode(T.in_order(named, 7), PATH), str(tmp_path / "a"), 500)
+    T.write_shards(T.encode(T.in_order(named, 1), PATH), str(tmp_path / "b"))
+    many, one = T.read_shards(spark, str(tmp_path / "a")), T.read_shards(spark, str(tmp_path / "b"))
+    rows = lambda x: sorted((r.id, r.start, bytes(r.ids)) for r in T.ids_of(x).collect())
+    assert rows(many) == rows(one) and many.count() > 7 and rows(many)[0][0] == "doc 1"
+    asked = spark.range(0, 6000, 7).withColumnRenamed("id", "position")
+    read = lambda x: {(r.position, r.token) for r in T.tokens_at(x, asked).collect()}
+    assert read(many) == read(one) and len(read(many)) > 300
+    assert "NestedLoop" not in T.tokens_at(many, asked)._jdf.queryExecution().toString()
