@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 #: Parts into which a column's values are cut by approximate quantiles; each is a task's share of the exact work.
@@ -71,6 +72,54 @@ def profile(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*made).alias("rows")).select(F.inline("rows"))
 
 
+#: How an info text begins, its headings, and beyond how many columns and rows it leaves out lines and counts.
+_CLASS, _HEADINGS, _MOST_COLUMNS, _MOST_ROWS = "<class 'pandas.core.frame.DataFrame'>", (" # ", "Column", "Non-Null Count", "Dtype"), 100, 1_690_785
+
+
+def _dtype(kind: T.DataType, nulls: Column) -> Column:
+    """What a column of a type is called in an info text; numbers with nulls are floats, and truths with nulls are objects."""
+    if isinstance(kind, T.IntegralType):
+        return F.when(nulls > 0, "float64").otherwise("int64")
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        return F.lit("float64")
+    if isinstance(kind, T.BooleanType):
+        return F.when(nulls > 0, "object").otherwise("bool")
+    return F.lit("datetime64[ns]" if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else "object")
+
+
+def info_text(df: DataFrame) -> DataFrame:
+    """One row, info: a table's rows, columns, non-null values and types, as a data frame's info prints them (without memory).
+
+    One pass of counts. Tables of over 100 columns have a line for all of them, those of over 1,690,785 rows no counts.
+    """
+    fields = df.schema.fields
+    counted = df.agg(F.count("*").alias("n"), *[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(fields)])
+    n = F.col("n")
+    types = F.array(*[_dtype(f.dataType, n - F.col(f"c{i}")) for i, f in enumerate(fields)]) if fields else F.array().cast("array<string>")
+    index = F.concat(F.lit("RangeIndex: "), n.cast("string"), F.lit(" entries"), F.when(n > 0, F.concat(F.lit(", 0 to "), (n - 1).cast("string"))).otherwise(""))
+    names = [f.name for f in fields]
+    kinds = F.array_sort(F.array_distinct("t"))
+    tally = F.array_join(F.transform(kinds, lambda k: F.concat(k, F.lit("("), F.size(F.filter("t", lambda x: x == k)).cast("string"), F.lit(")"))), ", ")
+    if not fields:
+        body = F.lit("Empty DataFrame")
+    elif len(fields) > _MOST_COLUMNS:
+        body = F.lit(f"Columns: {len(names)} entries, {names[0]} to {names[-1]}")
+    else:
+        shown = F.when(n <= _MOST_ROWS, F.array(*[F.concat(F.col(f"c{i}").cast("string"), F.lit(" non-null")) for i in range(len(names))]))
+        columns = [F.array(*[F.lit(f" {i}") for i in range(len(names))]), F.array(*map(F.lit, names)), shown, F.col("t")]
+        lines = []
+        for at in range(-2, len(names)):
+            cells = []
+            for head, values in zip(_HEADINGS, columns, strict=True):
+                width = F.greatest(F.lit(len(head)), F.array_max(F.transform(values, F.length)))
+                cell = F.lit(head) if at == -2 else F.lit("-" * len(head)) if at == -1 else F.get(values, F.lit(at))
+                cells.append(F.when(values.isNotNull(), F.rpad(cell, width, F.lit(" "))))  # a column of counts that is left out is null
+            lines.append(F.concat_ws("  ", *cells))
+        body = F.concat_ws("\n", F.lit(f"Data columns (total {len(names)} columns):"), *lines)
+    end = [F.concat(F.lit("dtypes: "), tally)] if fields else []
+    return counted.withColumn("t", types).select(F.concat_ws("\n", F.lit(_CLASS), index, body, *end).alias("info"))
+
+
 def sketched(df: DataFrame, keys: list[str], counted: str, bits: int = 14) -> DataFrame:
     """A stored state for each of ``keys``: rows, and a sketch of the distinct values of ``counted`` that can be merged without the rows."""
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.hll_sketch_agg(counted, F.lit(bits)).alias("sketch"))

@@ -29,15 +29,26 @@ def _short(text: str, most: int) -> str:
     return f"CASE WHEN length({t}) > {most} THEN substr({t}, 1, {most - 20}) || {_NL} || '…（已截断）' ELSE {t} END"
 
 
-@query(f"""WITH d AS (SELECT doc_id, lang, n_chars, substr(text, 1, 260) AS p FROM documents WHERE text IS NOT NULL)
+_DIGESTS = f"""WITH d AS (SELECT doc_id, lang, n_chars, text AS p FROM documents WHERE text IS NOT NULL)
     SELECT doc_id, '## file_type' || {_NL} || {_NL} || lang || {_NL} || {_NL} || '## size' || {_NL} || {_NL} || '### n' || {_NL} || {_NL} || n_chars || {_NL} || {_NL} || '### tags' || {_NL} || {_NL} || '- ' || lang || {_NL} || '- x' || {_NL} || {_NL} || '## preview' || {_NL} || {_NL} ||
-    CASE WHEN length(trim(p, {_BLANK})) > 240 OR contains(p, {_NL}) THEN '```' || {_NL} || rtrim(p, {_BLANK}) || {_NL} || '```' ELSE p END || {_NL} || {_NL} AS markdown FROM d""")
+    CASE WHEN length(trim(p, {_BLANK})) > 240 OR contains(p, {_NL}) THEN '```' || {_NL} || rtrim(p, {_BLANK}) || {_NL} || '```' ELSE p END || {_NL} || {_NL} AS markdown FROM d"""
+
+
+@query(_DIGESTS.replace("text AS p", "substr(text, 1, 260) AS p"))
 def digest_headings(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null")
     made = F.to_json(F.struct(F.col("lang").alias("file_type"), F.struct(F.col("n_chars").alias("n"), F.array("lang", F.lit("x")).alias("tags")).alias("size"), F.substring("text", 1, 260).alias("preview")))
     return d.select("doc_id", memory.digest_markdown(made).alias("markdown"))
 
 
+@query(_DIGESTS)
+def whole_digest_headings(spark, sf_dir):
+    """Digests whose preview is the whole text."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    size = F.struct(F.col("n_chars").alias("n"), F.array("lang", F.lit("x")).alias("tags")).alias("size")
+    return d.select("doc_id", memory.digest_markdown(F.to_json(F.struct(F.col("lang").alias("file_type"), size, F.col("text").alias("preview")))).alias("markdown"))
+
+
 @query(f"""WITH e AS (SELECT event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, CASE WHEN event_id % 9 = 0 THEN '' ELSE 's' || user_id END AS who, CASE event_id % 4 WHEN 0 THEN 'llm' WHEN 1 THEN 'phase_start' WHEN 2 THEN 'milestone' ELSE 'other' END AS kind,
     CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN '  ' WHEN event_id % 3 = 0 THEN props || {_NL} || event_type || {_NL} ELSE props || ' ' END AS c FROM events)
     SELECT event_id, {_NL} || repeat('=', 80) || {_NL} || '### ' || stamp || ' · 会话 `' || CASE WHEN who = '' THEN 'unknown' ELSE who END || '`' || {_NL} || {_NL} || '- **类型：** ' || CASE kind WHEN 'llm' THEN 'LLM 交互' WHEN 'phase_start' THEN '阶段开始' WHEN 'milestone' THEN '里程碑' ELSE kind END || {_NL} ||

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import files as N
 from ..functions import stages as G
 from ..functions import text as T
 from ..operators import rules
+from ..operators import stats as D
 from .common import table
 from .requests import _rows
 
@@ -103,8 +106,41 @@ def _rules_sql() -> str:
     return "(VALUES " + ", ".join(f"({', '.join(map(shown, row))}, {i})" for i, row in enumerate(rows)) + ") AS r(format_id, category, handler_id, exts, mimes, magics, priority, builtin, ordinal)"
 
 
-QUERIES = {f.__name__: f for f in (unfenced_texts, memory_sections, flattened_messages, asset_locations, session_folders, plan_documents, resolved_contents)}
+#: Tables of the info query: columns with what they are called where nothing is null.
+INFOS = {
+    "part": [("p_partkey", "int64"), ("p_name", "object"), ("p_brand", "object"), ("p_type", "object"), ("p_size", "int64"), ("p_retailprice", "float64")],
+    "labels": [("doc_id", "int64"), ("quality", "int64"), ("toxic", "int64")],
+    "events": [("event_id", "int64"), ("ts", "datetime64[ns]"), ("user_id", "int64"), ("event_type", "object"), ("value", "float64"), ("props", "object")],
+}
+
+
+def info_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole tables, of which some columns have nulls, as a data frame's info prints them."""
+    frames = []
+    for name, columns in INFOS.items():
+        first, second = columns[0][0], columns[1][0]
+        own = table(spark, sf_dir, name).select(*[F.when(F.col(first) % 3 > 0, F.col(c)).alias(c) if c == second else F.col(c) for c, _ in columns])
+        frames.append(D.info_text(own).select(F.lit(name).alias("name"), "info"))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _info_sql(name: str, columns: list[tuple[str, str]]) -> str:
+    first, second = columns[0][0], columns[1][0]
+    kinds = [(c, "float64" if c == second and t == "int64" else t) for c, t in columns]
+    count = lambda c: f"count(CASE WHEN {first} % 3 > 0 THEN {c} END)" if c == second else f"count({c})"
+    wide, deep = max(6, *(len(c) for c, _ in kinds)), max(5, *(len(t) for _, t in kinds))
+    rows = " || ".join(f"' {i}   {c.ljust(wide)}  ' || rpad({count(c)} || ' non-null', 14, ' ') || '  {t.ljust(deep)}' || {_NL}" for i, (c, t) in enumerate(kinds))
+    tally = ", ".join(f"{k}({sum(t == k for _, t in kinds)})" for k in sorted({t for _, t in kinds}))
+    head = f"' #   {'Column'.ljust(wide)}  Non-Null Count  {'Dtype'.ljust(deep)}' || {_NL} || '---  {'------'.ljust(wide)}  --------------  {'-----'.ljust(deep)}'"
+    return f"""SELECT '{name}' AS name, '<class ''pandas.core.frame.DataFrame''>' || {_NL} || 'RangeIndex: ' || count(*) || ' entries, 0 to ' || (count(*) - 1) || {_NL} || 'Data columns (total {len(kinds)} columns):' || {_NL} ||
+        {head} || {_NL} || {rows} || 'dtypes: {tally}' AS info FROM {name}"""
+
+
+QUERIES = {f.__name__: f for f in (
+    info_texts, unfenced_texts, memory_sections, flattened_messages, asset_locations, session_folders, plan_documents, resolved_contents,
+)}
 ORACLES = {
+    "info_texts": " UNION ALL ".join(_info_sql(*x) for x in INFOS.items()),
     "unfenced_texts": f"""WITH c AS ({_CODE}), u AS (SELECT doc_id, {_TRIM.format("regexp_replace(regexp_replace(regexp_replace(coalesce(code, ''), '(?m)^```python[ ' || chr(9) || '-' || chr(13) || ']*', '', 'g'), '(?m)^```[ ' || chr(9) || '-' || chr(13) || ']*', '', 'g'), '[ ' || chr(9) || '-' || chr(13) || ']*```' || chr(10) || '?$', '', 'g')")} AS code FROM c)
         SELECT doc_id, length(code)::INTEGER AS n, sha256(code) AS code_sha256 FROM u""",
     "memory_sections": f"""WITH m AS ({_MEMORY}), l AS (SELECT doc_id, unnest(string_split(memory, {_NL})) AS line, generate_subscripts(string_split(memory, {_NL}), 1) AS i FROM m),

@@ -303,3 +303,24 @@ def test_memory_texts(spark):
     results = F.array(F.struct(F.lit("a.py").alias("path"), F.lit(False).alias("success"), F.lit(1).alias("returncode"), F.lit("").alias("stdout"), F.lit("e" * 3000).alias("stderr")))
     text = spark.range(1).select(memory.worker_section(F.lit(False), F.array(F.lit("m"), F.lit("")), results, F.lit(" log "))).first()[0]
     assert text == "- 整体成功: False\n- 汇总错误: m\n- 文件 `a.py`: success=False, returncode=1\n  - stderr 摘录:\n```\n" + "e" * 2480 + "\n…（已截断）\n```\n- 聚合日志摘录:\n```\nlog\n```"
+
+
+def test_info_text_is_what_a_data_frame_prints(spark):
+    import io
+
+    import pandas as pd
+    from loomtab.operators import stats
+
+    frames = [
+        pd.DataFrame({"a": [1, 2, 3], "a long name": ["x", None, "z"], "f": [1.5, None, 2.0], "b": [True, False, True], "t": pd.to_datetime(["2024-01-01"] * 3)}),
+        pd.DataFrame({f"c{i}": [i] for i in range(12)}), pd.DataFrame({f"c{i}": [i] for i in range(101)}), pd.DataFrame({"only": ["x"] * 30}),
+    ]
+    for frame in frames:
+        out = io.StringIO()
+        frame.info(buf=out, memory_usage=False)
+        df = spark.createDataFrame([tuple(None if pd.isna(x) else x.to_pydatetime() if hasattr(x, "to_pydatetime") else x.item() if hasattr(x, "item") else x for x in row) for row in frame.itertuples(index=False)],
+                                   ", ".join(f"`{c}` {({'int64': 'long', 'float64': 'double', 'bool': 'boolean'}).get(str(t), 'timestamp' if 'date' in str(t) else 'string')}" for c, t in frame.dtypes.items()))
+        assert stats.info_text(df).first().info == out.getvalue()
+    nulls = spark.createDataFrame([(None, None), (1, True)], "n long, b boolean")
+    assert "float64(1), object(1)" in stats.info_text(nulls).first().info
+    assert "0 entries\n" in stats.info_text(nulls.limit(0)).first().info
