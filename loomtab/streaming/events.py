@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,42 +112,45 @@ def live_tail(log: DataFrame, seen: DataFrame) -> DataFrame:
     return known.groupBy("session_id").applyInPandasWithState(_follow, _TAIL, "last long, over boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Groups that uploads are dealt over; each has one timer and a state of the uploads it waits for (16 bytes each).
+BUCKETS = 512
+
+
 def _expire(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Verdicts on one upload's folder. The state is when it was made; its timer is when it expires."""
-    verdict = None
-    if state.hasTimedOut:
-        verdict = "expired"
-        state.remove()
-    elif not pd.isna(key[0]):  # rows without an upload only tell the time
+    """Verdicts on the folders of one group of uploads. The state is when each was made; the timer is when the first expires."""
+    live = dict(np.frombuffer(state.get[0], np.int64).reshape(-1, 2).tolist()) if state.exists else {}
+    passed, out = state.getCurrentWatermarkMs() // 1000, []
+    if not state.hasTimedOut:
         rows = pd.concat(list(frames)).sort_values("at")
-        now, manifest, created = rows["now_"].max(), rows["manifest"].iloc[-1], rows["created_"].iloc[-1]
-        if manifest is None or pd.isna(manifest) or pd.isna(created):
-            verdict = "remove_missing" if manifest is None or pd.isna(manifest) else "remove_corrupt"
-            if state.exists:
-                state.remove()
-        else:
-            ends = int(created) + TTL_SECONDS
-            passed = max(state.getCurrentWatermarkMs() // 1000, int(now))
-            if ends < passed:
-                verdict = "expired"
-                if state.exists:
-                    state.remove()
+        if pd.isna(key[0]):  # rows without an upload only tell the time
+            return
+        passed = max(passed, int(rows["now_"].max()))
+        for upload, manifest, created in rows[["upload_id", "manifest", "created_"]].itertuples(index=False):
+            live.pop(int(upload), None)
+            if pd.isna(created):
+                out.append((int(upload), "remove_missing" if manifest is None or pd.isna(manifest) else "remove_corrupt"))
             else:
-                state.update((int(created),))
-                state.setTimeoutTimestamp(max(ends * 1000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame([(key[0], verdict)] if verdict else [], columns=["upload_id", "verdict"])
+                live[int(upload)] = int(created)
+    out += [(upload, "expired") for upload, created in live.items() if created + TTL_SECONDS < passed]
+    live = {upload: created for upload, created in live.items() if created + TTL_SECONDS >= passed}
+    if live:
+        state.update((np.array(list(live.items()), np.int64).tobytes(),))
+        state.setTimeoutTimestamp(max((min(live.values()) + TTL_SECONDS) * 1000, state.getCurrentWatermarkMs() + 1))
+    elif state.exists:
+        state.remove()
+    yield pd.DataFrame(out, columns=["upload_id", "verdict"])
 
 
 def expiring(folders: DataFrame, late: str = "0 seconds") -> DataFrame:
     """Upload folders to remove, as their time comes: upload_id and verdict (remove_missing, remove_corrupt, expired).
 
     ``folders`` is a stream of upload_id (a long), manifest and at, the time of the row; rows without an upload tell the
-    time only, so a clock that ticks is enough for uploads to expire: each has a timer, and nothing else has to come in
-    for it. Broken folders are told of at once.
+    time only, so a clock that ticks is enough for uploads to expire: each group of them has a timer, set to its first
+    one's end, and nothing else has to come in for it. Broken folders are told of at once.
     """
     made = F.from_json("manifest", "upload_id string, created_at string, size long")["created_at"]
-    rows = folders.withWatermark("at", late).select("upload_id", "manifest", "at", F.unix_timestamp(F.try_to_timestamp(made)).cast("double").alias("created_"), F.unix_timestamp("at").alias("now_"))
-    return rows.groupBy("upload_id").applyInPandasWithState(_expire, "upload_id long, verdict string", "created long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = folders.withWatermark("at", late).select(F.pmod("upload_id", F.lit(BUCKETS)).alias("group_"), "upload_id", "manifest", "at", F.unix_timestamp(F.try_to_timestamp(made)).cast("double").alias("created_"), F.unix_timestamp("at").alias("now_"))
+    return rows.groupBy("group_").applyInPandasWithState(_expire, "upload_id long, verdict string", "uploads binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
