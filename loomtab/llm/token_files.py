@@ -179,6 +179,8 @@ def encode(df: DataFrame, path: str, end: int | None = END, id_col: str = "doc_i
 _BLOCK = "shard int, block int, first long, n long, doc_ids array<{}>, doc_tokens array<long>, bits binary, ranks binary, zeros array<long>"
 #: Shards whose totals are one group of the prefix sums.
 GROUP = 1024
+#: Shards whose sums (12 bytes each) are broadcast at most.
+SMALL = 100_000
 
 
 def in_order(df: DataFrame, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,7 +245,8 @@ def matrix(row: dict) -> WaveletMatrix:
 def read_shards(spark: SparkSession, directory: str) -> DataFrame:
     """The blocks of all files, each with ``start``: how many ids stand before it in all shards.
 
-    Prefix sums in two levels: over groups of ``GROUP`` shards, a row each, and over the shards of a group.
+    Prefix sums in two levels: over groups of ``GROUP`` shards, a row each, and over the shards of a group. The sums,
+    two numbers a shard, are broadcast for up to ``SMALL`` shards; beyond that the blocks are shuffled to them.
     """
     found = spark.read.parquet(directory)
     group = F.floor(F.col("shard") / GROUP).alias("group")
@@ -251,6 +254,7 @@ def read_shards(spark: SparkSession, directory: str) -> DataFrame:
     earlier = lambda w: F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     before = totals.groupBy("group").agg(F.sum("m").alias("m")).select("group", earlier(Window.orderBy("group")).alias("before"))
     offsets = totals.withColumn("own", earlier(Window.partitionBy("group").orderBy("shard"))).join(before, "group").select("shard", (F.col("before") + F.col("own")).alias("offset"))
+    offsets = F.broadcast(offsets) if totals.count() <= SMALL else offsets
     return found.join(offsets, "shard").withColumn("start", F.col("offset") + F.col("first")).drop("offset")
 
 

@@ -135,6 +135,7 @@ def test_a_crowded_slot(monkeypatch):
 def test_ids_of_any_kind_and_groups_of_shards(spark, docs, tmp_path, monkeypatch):
     monkeypatch.setattr(T, "GROUP", 2)
     monkeypatch.setattr(T, "BLOCK", 300)
+    monkeypatch.setattr(T, "SMALL", 3)
     named = docs.select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("doc_id"), "text")
     T.write_shards(T.encode(T.in_order(named, 7), PATH), str(tmp_path / "a"), 500)
     T.write_shards(T.encode(T.in_order(named, 1), PATH), str(tmp_path / "b"))
