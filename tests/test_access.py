@@ -29,3 +29,24 @@ def test_admins_reach_every_project(catalog):
     users, projects, members, _ = catalog
     got = [tuple(r) for r in C.reachable_projects(users, projects, members).select("user_id", "id", "via").collect()]
     assert len(got) == len(set(got)) and set(got) == _reached()
+
+
+def _seen():
+    best = {}
+    for i, session, owner, project in SESSIONS:
+        if session is None or not session.strip():
+            continue
+        rows = [(owner, ("own", -i), project or None)] + [(u, ("project", -i), p) for u, p, _ in _reached() if p == project]
+        for user, rank, own in rows:
+            if (user, session) not in best or rank < best[user, session][0]:
+                best[user, session] = rank, own
+    return {(u, s, p, rank[0]) for (u, s), (rank, p) in best.items()}
+
+
+@pytest.mark.parametrize("project", [None, 10, 12])
+def test_admins_see_every_session_of_projects(catalog, project):
+    users, projects, members, sessions = catalog
+    found = C.accessible_sessions(sessions, C.reach(users, projects, members), projects, project)
+    got = [tuple(r) for r in found.select("user_id", "session_id", "project_id", "via").collect()]
+    assert len(got) == len(set(got)) and set(got) == {x for x in _seen() if project is None or x[2] == project}
+    assert project or {u for u, _, _, _ in got} >= {2, 4}
