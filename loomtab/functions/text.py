@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,10 +13,15 @@ FENCES = (r"(?m)^```python\s*", r"(?m)^```\s*", r"\s*```$")
 _BLANKS = " \t\n\r\f\u000b"
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is made once however often ``f`` names it; under a condition or in a lambda it would be made anew each time."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def shorten(text: Column, most: int, mark: str = CUT_MARK) -> Column:
     """Trimmed text; one longer than ``most`` keeps most - 20 characters and the mark."""
-    t = F.btrim(F.coalesce(text, F.lit("")), F.lit(_BLANKS))
-    return F.when(F.length(t) > most, F.concat(F.substring(t, 1, max(0, most - 20)), F.lit(mark))).otherwise(t)
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(_BLANKS))
+    return once(trimmed, lambda t: F.when(F.length(t) > most, F.concat(F.substring(t, 1, max(0, most - 20)), F.lit(mark))).otherwise(t))
 
 
 def line_count(text: Column) -> Column:

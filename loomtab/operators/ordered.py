@@ -39,6 +39,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in tasks of about ``rows`` rows each: for work that is much for a row, on tables that are small by bytes."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
 def dealt(df: DataFrame, order: list[Column | str], name: str, rows: int = ROWS) -> DataFrame:
     """``df`` with part_: stretches of the order of the columns ``order``, which must be total, of about ``rows`` each.
 

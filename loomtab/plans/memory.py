@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import digest, memory, rules
 from ..operators import events as E
 from ..operators import stats as S
+from ..operators.ordered import spread
 from .common import table
 from .files import _EXT, _RESOLVED, _resolved
 
@@ -63,6 +64,8 @@ def log_entries(spark, sf_dir):
     return e.select("event_id", memory.log_entry(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), who, F.col("event_type"), kind, content).alias("entry"))
 
 
+#: Rows of which a task writes the sections.
+SECTIONS = 10_000
 _OUT = "CASE WHEN p_size % 3 = 0 THEN ' ' ELSE repeat(p_name, p_size * 6) END"
 _ERR = "CASE WHEN p_size % 4 = 0 THEN repeat(p_type || ' ', p_size * 8) END"
 _FILE = lambda out, err: f"'- 文件 `' || p_brand || '.py`: success=' || CASE WHEN p_size % 2 = 0 THEN 'True' ELSE 'False' END || ', returncode=' || (p_size % 2) || CASE WHEN {_short(out, 2500)} <> '' THEN {_NL} || '  - stdout 摘录:' || {_NL} || '```' || {_NL} || {_short(out, 2500)} || {_NL} || '```' ELSE '' END || CASE WHEN {_short(err, 2500)} <> '' THEN {_NL} || '  - stderr 摘录:' || {_NL} || '```' || {_NL} || {_short(err, 2500)} || {_NL} || '```' ELSE '' END"  # noqa: E731, E501
@@ -75,7 +78,7 @@ def worker_sections(spark, sf_dir):
     even = F.col("p_size") % 2 == 0
     of = lambda out, err: F.struct(F.concat("p_brand", F.lit(".py")).alias("path"), even.alias("success"), (F.col("p_size") % 2).alias("returncode"), F.expr(out).alias("stdout"), F.expr(err).alias("stderr"))
     section = memory.worker_section(F.when(F.col("p_size") % 10 != 0, even), F.array(F.lit(None).cast("string"), F.when(F.col("p_size") % 5 != 0, F.repeat("p_brand", F.lit(300))).otherwise("")), F.array(of(_OUT, _ERR), of(_ERR, _OUT)), F.when(F.col("p_size") % 6 != 0, F.repeat("p_name", F.lit(400))).otherwise(" "))
-    return table(spark, sf_dir, "part").select("p_partkey", F.sha2(section, 256).alias("section"))
+    return spread(table(spark, sf_dir, "part"), SECTIONS).select("p_partkey", F.sha2(section, 256).alias("section"))
 
 
 @query(f"""SELECT doc_id, '{memory.CONTEXT['en'][0]}' || {_NL} || '{memory.CONTEXT['en'][1]}' || {_NL} || '["raw/' || doc_id || '.csv", "' || source || '"]' || CASE WHEN doc_id % 3 = 0 THEN {_NL} || '{memory.CONTEXT['en'][2]}' || lang ELSE '' END ||

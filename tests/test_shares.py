@@ -16,3 +16,30 @@ def test_uploads_are_listed_in_bounded_shares(spark, monkeypatch):
         there = [p for p in range(3) if r.upload_id < 2000 and p < r.total]
         assert (r.uploaded, r.missing) == (there, [p for p in range(r.total) if p not in there])
         assert (r.uploaded_bytes, r.progress) == (2 * len(there), round(2 * len(there) / 10, 6))
+
+
+def test_sections_of_workers_are_dealt_by_rows(spark, monkeypatch):
+    from loomtab import plans
+    from loomtab.plans import memory
+
+    monkeypatch.setattr(memory, "SECTIONS", 25, raising=False)
+    found = plans.queries()["worker_sections"](spark, "/root/testdata/sf0.001")
+    assert found.groupBy(F.spark_partition_id()).count().count() == 8  # 200 rows
+
+
+def test_a_shortened_text_is_made_once(spark):
+    from pyspark.sql import types as T
+
+    from loomtab.functions.text import shorten
+
+    made = spark.sparkContext.accumulator(0)
+
+    def text(n: int) -> str:
+        made.add(1)
+        return f" {n} " * 20
+
+    own = F.udf(text, T.StringType()).asNondeterministic()(F.col("id"))
+    plan = spark.range(1).select(shorten(own, 30).alias("t"))
+    text_uses = plan._jdf.queryExecution().analyzed().toString().count("text(")
+    assert text_uses == 1
+    assert [r.t for r in plan.collect()] == ["0  0  0  0 "[:10] + "\n…（已截断）"] and made.value == 1
