@@ -22,11 +22,11 @@ from .requests import ORACLES as REQUESTS
 
 
 def delimited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as delimited files, with quotes and line breaks in the texts, and read again by blocks."""
+    """Documents written as delimited files, one a task and separator, with quotes and line breaks in the texts, and read again by blocks."""
     folder = new_folder(spark, "delimited")
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
     for name, sep in (("a.csv", ","), ("b.tsv", "\t")):
-        own = docs.where(F.col("doc_id") % 2 == (0 if sep == "," else 1)).coalesce(1)
+        own = docs.where(F.col("doc_id") % 2 == (0 if sep == "," else 1))
         own.write.options(sep=sep, quoteAll="true", escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").mode("overwrite").csv(f"{folder}/{name}")
     found = delimited.records(spark, f"{folder}/a.csv", ",").unionByName(delimited.records(spark, f"{folder}/b.tsv", "\t"))
     cell = lambda i: F.get("cells", F.lit(i))

@@ -43,3 +43,16 @@ def test_a_shortened_text_is_made_once(spark):
     text_uses = plan._jdf.queryExecution().analyzed().toString().count("text(")
     assert text_uses == 1
     assert [r.t for r in plan.collect()] == ["0  0  0  0 "[:10] + "\n…（已截断）"] and made.value == 1
+
+
+def test_no_task_writes_whole_delimited_files(spark, tmp_path, monkeypatch):
+    from oracle import compare, connect
+
+    from loomtab import plans
+    from loomtab.plans import flows
+
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(4, "doc_id").write.parquet(f"{tmp_path}/in/documents.parquet")
+    monkeypatch.setattr(flows, "new_folder", lambda spark, name: f"{tmp_path}/{name}")
+    found = plans.queries()["delimited_files"](spark, f"{tmp_path}/in")
+    assert all(len(list((tmp_path / "delimited" / name).glob("part-*"))) == 4 for name in ("a.csv", "b.tsv"))
+    assert compare(found, connect(f"{tmp_path}/in"), plans.oracle_sql()["delimited_files"]) == (200, "")
