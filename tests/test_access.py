@@ -50,3 +50,17 @@ def test_admins_see_every_session_of_projects(catalog, project):
     got = [tuple(r) for r in found.select("user_id", "session_id", "project_id", "via").collect()]
     assert len(got) == len(set(got)) and set(got) == {x for x in _seen() if project is None or x[2] == project}
     assert project or {u for u, _, _, _ in got} >= {2, 4}
+
+
+@pytest.mark.parametrize("listed", [1, 3, 128])
+def test_pairs_are_made_after_the_join(spark, monkeypatch, listed):
+    """The join passes on a row for each list, in a step of its own; the pairs, null ones too, come from the step above."""
+    monkeypatch.setattr(C, "LISTED", listed)
+    few = spark.createDataFrame([(i,) for i in [None, *range(40)]], "user_id long")
+    many = spark.range(50).selectExpr("id", "if(id % 2 = 0, 's' || id, null) AS name")
+    pairs = C.each_with_every(few, many)
+    assert pairs.columns == ["user_id", "id", "name"]
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == 41 * 50 and set(got) == {(u, i, f"s{i}" if i % 2 == 0 else None) for u in [None, *range(40)] for i in range(50)}
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Generate inline") < plan.index("Repartition 256, false") < plan.index("Join Inner")
